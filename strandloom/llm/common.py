@@ -67,3 +67,15 @@ def dropped(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``left`` left-joined with ``right``, whose ``key`` is unique and whose ``count`` says how many rows of ``left`` have it.
+
+    Keys of over a thousandth of ``total`` rows, a thousand of them at most, are broadcast, so
+    that no task gets all rows of a hot key; the rest are joined as Spark sees fit.
+    """
+    hot = right.filter(F.col(count) > total / 1000).select(key, F.struct(*(c for c in right.columns if c != key)).alias("_hot"))
+    told = left.join(F.broadcast(hot), key, "left")
+    cold = told.filter("_hot is null").drop("_hot").join(right.filter(F.col(count) <= total / 1000), key, "left")
+    return told.filter("_hot is not null").select(*left.columns, "_hot.*").unionByName(cold.select(*left.columns, *(c for c in right.columns if c != key)))

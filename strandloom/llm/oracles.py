@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from strandloom.llm.licences import NOTICES, SPELLINGS, TEXTS
 from strandloom.llm.quality import STOP_WORDS
 
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
@@ -41,3 +42,41 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
+
+OP1 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (
+  SELECT page_id, strlen(body) AS payload_bytes,
+    list_aggregate(list_transform(range(0, 160, 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(0, 5), lambda j:
+      ((instr('0123456789abcdef', substr(h, 1 + CAST((i + j) // 4 AS INTEGER), 1)) - 1) >> CAST(3 - (i + j) % 4 AS INTEGER) & 1) << CAST(4 - j AS INTEGER))) AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+    min(page_id) OVER (PARTITION BY body) AS first
+  FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM b
+"""
+
+
+def _canonical(text: str) -> str:
+    sql = f"lower({text})"
+    for variant, one in SPELLINGS:
+        sql = f"replace({sql}, '{variant}', '{one}')"
+    line = "(?m)^[ \\t\\x0b\\f/*#;-]*(?:copyright\\b|\\(c\\)|©|all rights reserved)[^\\r\\n]*$"
+    return f"sha256(trim(regexp_replace(regexp_replace({sql}, '{line}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')))"
+
+
+def _table(rows) -> str:
+    quoted = ", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in rows)
+    return f"SELECT {_canonical('text')} AS digest, min(name) AS name FROM (VALUES {quoted}) AS t(name, text) GROUP BY 1"
+
+
+OP8 = f"""
+WITH known AS ({_table(TEXTS)}), notes AS ({_table(NOTICES)}),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+n AS (SELECT l.doc_id, string_agg(DISTINCT notes.name, ',' ORDER BY notes.name) AS notices FROM l JOIN notes ON {_canonical('line')} = notes.digest WHERE regexp_matches(line, '(?i)licen[cs]e|released') GROUP BY l.doc_id),
+w AS (SELECT doc_id, {_canonical('text')} AS digest FROM d)
+SELECT w.doc_id, w.digest, known.name AS licence, coalesce(n.notices, '') AS notices
+FROM w LEFT JOIN known ON w.digest = known.digest LEFT JOIN n ON w.doc_id = n.doc_id
+"""

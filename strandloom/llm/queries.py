@@ -7,10 +7,27 @@ from pyspark.sql import DataFrame, SparkSession
 from strandloom.llm import oracles
 from strandloom.llm.common import table
 from strandloom.llm.decontaminate import decontaminate
+from strandloom.llm.html_text import extract_text
+from strandloom.llm.licences import licence_scan
 from strandloom.llm.packing import best_fit_packing
 from strandloom.llm.quality import quality_rules
 from strandloom.llm.simhash import near_duplicates
 from strandloom.llm.token_counts import context_limits, length_histogram
+from strandloom.llm.toxicity import toxicity
+from strandloom.llm.warc import archive_round_trip
+
+
+def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = archive_round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +43,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality.*")
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -35,5 +56,23 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op5_token_counts, op7_simhash_near_dedup, op9_quality_rules, op10_best_fit_packing)}
-ORACLE_SQL = {"op4_benchmark_decontamination": oracles.OP4, "op9_quality_rules": oracles.OP9}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc_archive,
+        op2_html_extraction,
+        op3_toxicity,
+        op4_benchmark_decontamination,
+        op5_token_counts,
+        op7_simhash_near_dedup,
+        op8_licence_scan,
+        op9_quality_rules,
+        op10_best_fit_packing,
+    )
+}
+ORACLE_SQL = {
+    "op1_warc_archive": oracles.OP1,
+    "op4_benchmark_decontamination": oracles.OP4,
+    "op8_licence_scan": oracles.OP8,
+    "op9_quality_rules": oracles.OP9,
+}
