@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandloom.llm import oracles
 from strandloom.llm.common import table
@@ -10,6 +11,7 @@ from strandloom.llm.decontaminate import decontaminate
 from strandloom.llm.html_text import extract_text
 from strandloom.llm.licences import licence_scan
 from strandloom.llm.packing import best_fit_packing
+from strandloom.llm.pitman_yor import held_out, score_texts
 from strandloom.llm.quality import quality_rules
 from strandloom.llm.simhash import near_duplicates
 from strandloom.llm.token_counts import context_limits, length_histogram
@@ -39,6 +41,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_limits(length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op6_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = score_texts(docs, ~held_out(F.col("doc_id")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -64,6 +72,7 @@ QUERIES = {
         op3_toxicity,
         op4_benchmark_decontamination,
         op5_token_counts,
+        op6_pitman_yor_scores,
         op7_simhash_near_dedup,
         op8_licence_scan,
         op9_quality_rules,
