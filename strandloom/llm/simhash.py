@@ -83,8 +83,8 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def plan_blocks(classes: int, radius: int = RADIUS) -> int:
-    """The least number of blocks at which a bucket of evenly spread fingerprints has about ``BUCKET`` rows."""
-    for n in range(radius + 1, radius + 6):
+    """The least number of blocks, two over the radius or more, at which a bucket of evenly spread fingerprints has about ``BUCKET`` rows."""
+    for n in range(radius + 2, radius + 6):
         if classes / 2 ** (64 * (n - radius) // n) <= BUCKET:
             return n
     return radius + 6
