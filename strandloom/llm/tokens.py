@@ -10,14 +10,19 @@ A worker keeps the ids of up to ``KEPT`` chunks as bytes.
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-KEPT = 800_000
+KEPT = 600_000
 #: Longer chunks are encoded each time, so that the memory for kept ones has a bound.
 LONGEST = 64
+#: Characters of texts that are taken together.
+PART_CHARS = 12 << 20
 #: Chunks in one call of the tokenizer.
 TOGETHER = 32
 
@@ -49,66 +54,97 @@ class Encoder:
             out |= {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in zip(part, got, strict=True)}
         return out
 
-    def _joined(self, chunks: list[str], words: list[int]) -> dict[str, bytes]:
-        """All chunks as one text, cut where the words of each end; words: how many each chunk has."""
-        ids = np.array(self.tokenizer.encode(" ".join(chunks), add_special_tokens=False).ids, dtype="<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        last = np.cumsum(words)
-        if not len(ends) or len(ends) != last[-1] or ends[-1] != len(ids):
-            return self._each(chunks)
-        stops = (ends[last - 1] * 4).tolist()
-        raw, starts = ids.tobytes(), [0, *stops[:-1]]
-        return {c: raw[a:b] for c, a, b in zip(chunks, starts, stops, strict=True)}
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        """Words of letters alone: encoded as one text, which the tokenizer cuts at each word's end."""
+        out = {}
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(stops) != len(part) or stops[-1] != len(ids) * 4:
+                out |= self._each(part)
+                continue
+            raw = ids.tobytes()
+            out |= {w: raw[a:b] for w, a, b in zip(part, [0, *stops[:-1]], stops, strict=True)}
+        return out
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        plain, words, rest, out = [], [], [], {}
+        """The ids of chunks. A word with marks behind it is the word and then the marks, which recur."""
+        words, rest, split = set(), set(), {}
         for c in chunks:
-            if c.isalpha():
-                plain.append(c), words.append(1)
-            elif c[:-1].isalpha() and c[-1] in ".,;:!?":
-                plain.append(c), words.append(2)
+            m = _WORD_MARKS.fullmatch(c)
+            if not m:
+                rest.add(c)
+            elif m[2]:
+                split[c] = m.groups()
             else:
-                rest.append(c)
-        for at in range(0, len(plain), TOGETHER):
-            out |= self._joined(plain[at : at + TOGETHER], words[at : at + TOGETHER])
-        return out | self._each(rest)
+                words.add(c)
+        known = self.ids
+        words.update(w for w, _ in split.values() if w not in known)
+        rest.update(m for _, m in split.values() if m not in known)
+        got = self._letters(list(words)) | self._each(list(rest))
+        known.update((c, ids) for c, ids in got.items() if len(c) <= LONGEST)
+        for c, pair in split.items():
+            got[c] = b"".join([got[p] if p in got else known[p] for p in pair])
+        return got
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        if len(self.ids) > KEPT:
+            self.ids.clear()
+        parts = list(map(self.ids.get, words))
+        new = {w for w, p in zip(words, parts, strict=True) if p is None}
+        if new:
+            learnt = self._learn(new)
+            parts = [learnt[w] if p is None else p for w, p in zip(words, parts, strict=True)]
+            self.ids.update((w, ids) for w, ids in learnt.items() if len(w) <= LONGEST)
+        return parts
+
+    def _part(self, texts: list[str]) -> list[bytes]:
+        if all(map(_plain, texts)):
+            split = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        else:
+            split = pa.array([chunks(t) for t in texts], pa.large_list(pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        parts = self._look_up(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        pool, starts, code = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        n = sizes[code]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = pool[np.repeat(starts[code] - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[np.asarray(split.offsets) - split.offsets[0].as_py()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit words; null is empty."""
-        if len(self.ids) > KEPT:
-            self.ids.clear()
-        known = self.ids
-        out, late, new = [], [], set()
+        out, part, size = [], [], 0
         for t in texts:
-            s = chunks(t or "")
-            parts = list(map(known.get, s))
-            if None in parts:
-                new.update(c for c, p in zip(s, parts, strict=True) if p is None)
-                late.append((len(out), s, parts))
-                out.append(b"")
-            else:
-                out.append(b"".join(parts))
-        if late:
-            learnt = self._learn(new)
-            for at, s, parts in late:
-                out[at] = b"".join([learnt[c] if p is None else p for c, p in zip(s, parts, strict=True)])
-            known.update((c, ids) for c, ids in learnt.items() if len(c) <= LONGEST)
-        return out
+            part.append(t or "")
+            size += len(part[-1])
+            if size >= PART_CHARS:
+                out += self._part(part)
+                part, size = [], 0
+        return out + (self._part(part) if part else [])
 
 
+#: Small letters of Latin-1, with the ASCII marks behind them if any: two pieces to the tokenizer.
+_WORD_MARKS = re.compile(r"([a-zßà-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 #: What str.split() takes for white space beside the ASCII one, within Latin-1.
 _ODD = "\x1c\x1d\x1e\x1f\x85\xa0"
 _SPACES = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
 
 
-def chunks(text: str) -> list[str]:
+def _plain(text: str) -> bool:
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
-        return [c for c in text.translate(_SPACES).split(" ") if c]
-    if any(c in text for c in _ODD) or "<|" in text:
-        return [c for c in text.translate(_SPACES).split(" ") if c]
-    return text.lower().split()
+        return False
+    return not any(c in text for c in _ODD) and "<|" not in text
+
+
+def chunks(text: str) -> list[str]:
+    if _plain(text):
+        return text.lower().split()
+    return [c for c in text.translate(_SPACES).split(" ") if c]
 
 
 _held: dict[str, Encoder] = {}
