@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-KEPT = 600_000
+KEPT = 1_000_000
 #: Longer chunks are encoded each time, so that the memory for kept ones has a bound.
 LONGEST = 64
 #: Characters of texts that are taken together.
