@@ -2,9 +2,9 @@
 
 A logistic model over the presence of words and word beginnings is fitted on at most
 ``SAMPLE`` labelled rows, taken by hash order of their ids. For every sample text that
-mentions a group, a counterfactual is made by swapping each identity term for another one, and
-the fit is penalised by the squared difference of the two scores' logits, so that the mention of
-a group by itself moves no score. The features are the ``FEATURES`` with the strongest
+mentions a group, counterfactuals are made by swapping each identity term for another one, and
+for a word that names no group, and the fit is penalised by the squared differences of the
+scores' logits, so that the mention of a group by itself moves no score. The features are the ``FEATURES`` with the strongest
 association over the sample, and all identity terms.
 
 Scoring reads whole texts, every row, on the executors; the model is a few thousand weights.
@@ -70,9 +70,15 @@ def _features(word: bytes) -> list[int]:
 
 
 def swapped(words: set[bytes]) -> set[bytes]:
+    """Each identity term as the next one of its group."""
     return {_SWAP.get(w, w) for w in words}
 
 
+def neutral(words: set[bytes]) -> set[bytes]:
+    """Each identity term as a word for no group."""
+    return {b"people" if w in _SWAP else w for w in words}
+
+
 @dataclass(frozen=True)
 class Model:
     features: dict[int, int]
@@ -155,9 +161,9 @@ def _chosen(features: dict[int, int]):
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
                 own.append(sorted({features[f] for w in words for f in _features(w) if f in features}))
-                after = swapped(words)
-                other.append(None if after == words else sorted({features[f] for w in after for f in _features(w) if f in features}))
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32())), batch.column(1)], ["own", "other", "toxic"])
+                after = [] if words.isdisjoint(_SWAP) else [swapped(words), neutral(words)]
+                other.append([sorted({features[f] for w in x for f in _features(w) if f in features}) for x in after])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.list_(pa.int32()))), batch.column(1)], ["own", "others", "toxic"])
 
     return run
 
@@ -180,13 +186,13 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, text: str = "te
         best = counts.select("feature", (cell(a, bad) + cell(rest, n - bad)).alias("gain")).orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()
         names = dict.fromkeys([r["feature"] for r in best] + [_features(w)[0] for w in _SWAP])
         features = {f: i for i, f in enumerate(names)}
-        chosen = rows.mapInArrow(_chosen(features), "own array<int>, other array<int>, toxic int").toArrow()
+        chosen = rows.mapInArrow(_chosen(features), "own array<int>, others array<array<int>>, toxic int").toArrow()
     finally:
         rows.unpersist()
-    own, other = chosen["own"].to_pylist(), chosen["other"].to_pylist()
+    own, other = chosen["own"].to_pylist(), chosen["others"].to_pylist()
     order = sorted(range(len(own)), key=lambda i: (own[i], chosen["toxic"][i].as_py()))  # as executors answer in any order
     x = Sparse.of([[(f, 1.0) for f in own[i]] for i in order], len(features))
-    swaps = [[(f, 1.0) for f in other[i]] + [(f, -1.0) for f in own[i]] for i in order if other[i] is not None]
+    swaps = [[(f, 1.0) for f in after] + [(f, -1.0) for f in own[i]] for i in order for after in other[i]]
     y, pairs = np.array([chosen["toxic"][i].as_py() for i in order], np.float64), Sparse.of(swaps, len(features))
     weights, bias = fit(x, y, pairs)
     return Model(features, weights, bias)
