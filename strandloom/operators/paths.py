@@ -269,13 +269,16 @@ def blocks_between(walks: dict[str, tuple], a: str, b: str) -> dict[str, tuple]:
     for read, nodes in walks.items():
         if a in nodes and b in nodes:
             i, j = nodes.index(a), len(nodes) - 1 - nodes[::-1].index(b)
-            if i < j:
+            if i < j and None not in nodes[i : j + 1]:
                 out[read] = nodes[i : j + 1]
     return out
 
 
 def full_paths(walks: dict[str, tuple], calls: dict[str, tuple], k: int, gene: str, ends: set[str], threshold: float) -> dict[tuple[str, ...], int]:
-    """Paths of calls through ``gene`` and how many reads support each."""
+    """Paths of calls through ``gene`` and how many reads support each.
+
+    walks: nodes of each read, None where one was removed; no path goes over such a place.
+    """
     full: set[tuple] = set()
     for a, b in permutations(sorted(ends), 2):
         found: dict[tuple, tuple[set, set]] = {}
@@ -289,8 +292,9 @@ def full_paths(walks: dict[str, tuple], calls: dict[str, tuple], k: int, gene: s
                 elif fwd or rev:
                     line = nodes if fwd else nodes[::-1]
                     i = _inside(line, block)[0]
-                    up.update(line[j:i] for j in range(i))
-                    down.update(line[i + len(block) : j + 1] for j in range(i + len(block), len(line)))
+                    end = i + len(block)
+                    up.update(line[j:i] for j in range(i) if None not in line[j:i])
+                    down.update(line[end : j + 1] for j in range(end, len(line)) if None not in line[end : j + 1])
         for block, (up, down) in found.items():
             if block in again:
                 continue
