@@ -1,8 +1,9 @@
 """The corpus pipeline: quality rules, toxicity, near-duplicates, decontamination, packing.
 
 Each stage takes all rows that its predecessor kept, and is written and read again as Parquet;
-all but the last return the columns of ``documents``. Rows without a doc_id pass the filters
-that judge a text alone; they can't represent a group of copies, and are kept as their own.
+all but the last return the columns of ``documents``. Duplicates and contaminated texts go by
+doc_id: rows that share one go together, and rows without one are kept, as no group can be
+represented by them.
 """
 
 from __future__ import annotations
@@ -15,17 +16,16 @@ from strandloom.llm.decontaminate import decontaminate
 from strandloom.llm.packing import best_fit_packing
 from strandloom.llm.quality import quality_rules
 from strandloom.llm.simhash import near_duplicates
-from strandloom.llm.toxicity import THRESHOLD, held_out, score, train
+from strandloom.llm.toxicity import accepted, held_out, train
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules(docs).filter("quality.kept").select(*docs.columns)
+    return quality_rules(docs, name="_verdict").filter("_verdict.kept").select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
-    rejected = score(docs, model).filter(F.col("score") >= THRESHOLD).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return accepted(docs, model)
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -123,10 +123,13 @@ def compiled(m: Column, rules=RULES) -> Column:
     return verdict
 
 
-def quality_rules(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """``docs`` with the struct ``quality``: counts, base_failed and kept."""
-    name = "quality"
-    out = docs.withColumn(name, measures(text_or_empty(text)))
-    m = F.col(name)
-    failed = (m["n_words"] < 50) | (m["n_repeat_words"] * 100 > m["n_words"] * 50)
-    return out.withColumn(name, m.withField("base_failed", failed).withField("kept", ~failed & compiled(m, rules)))
+def quality_rules(docs: DataFrame, text: str = "text", rules=RULES, name: str = "quality") -> DataFrame:
+    """``docs`` with a struct of counts, base_failed and kept; it takes the place of a column of its name."""
+    fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
+
+    def judged(m: Column) -> Column:
+        failed = (m["n_words"] < 50) | (m["n_repeat_words"] * 100 > m["n_words"] * 50)
+        return F.struct(*(m[f].alias(f) for f in fields), failed.alias("base_failed"), (~failed & compiled(m, rules)).alias("kept"))
+
+    # One let over all: a filter on the verdict, pushed below the projection, still measures each text once.
+    return docs.withColumn(name, let(measures(text_or_empty(text)), judged))

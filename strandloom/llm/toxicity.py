@@ -211,6 +211,19 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple[int, ...]] = {}
+        for batch in batches:
+            z = np.array(model.logits(batch.column(at).to_pylist(), held))
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
