@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from itertools import permutations, product
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.arrays import chained_genes, either_way, find_sublist, flipped, names
@@ -412,8 +412,63 @@ def assign_alleles(g: Graph, genes: list[str], mean_coverage: float | None = Non
     rows = stored(rows, "alleles")
     first = rows.groupBy("gene", "allele").agg(F.min("read_id").alias("read_id"))
     node = g.read_nodes.filter("node_id is not null").groupBy("read_id").agg(F.min_by("node_id", "pos").alias("node_id"))
-    placed = first.join(node, "read_id").join(component_numbers(g), "node_id").select("gene", "allele", "component")
-    return rows.join(placed, ["gene", "allele"], "left").select("component", "gene", "allele", "read_id", "start", "end")
+    parts = stored(component_numbers(g), "components")
+    placed = first.join(node, "read_id").join(parts, "node_id").select("gene", "allele", "component")
+    rows = stored(rows.join(placed, ["gene", "allele"], "left").select("component", "gene", "allele", "read_id", "start", "end"), "alleles")
+    return rows.unionByName(missed_alleles(g, genes, parts, rows))
+
+
+def missed_alleles(g: Graph, genes: list[str], components: DataFrame, alleles: DataFrame) -> DataFrame:
+    """One allele more, with every place of the gene, for each component that has the gene but none of its alleles."""
+    wanted = F.array(*map(F.lit, genes)).cast("array<string>")
+    hot = g.nodes.select("node_id", F.explode(F.array_intersect(names(F.col("genes")), wanted)).alias("gene"))
+    seen = hot.join(components, "node_id").join(g.read_nodes.select("node_id", "read_id"), "node_id").select("gene", "component", "read_id").distinct()
+    seen = seen.join(alleles.select("gene", "component").distinct(), ["gene", "component"], "left_anti")
+    before = alleles.groupBy("gene").agg(F.count_distinct("allele").alias("n"))
+    number = F.dense_rank().over(Window.partitionBy("gene").orderBy("component"))  # over components, not reads
+    named = seen.select("gene", "component").distinct().join(before, "gene", "left").select("gene", "component", F.concat_ws("_", "gene", (F.coalesce("n", F.lit(0)) + number).cast("string")).alias("allele"))
+    places = g.reads.select("read_id", F.posexplode("calls").alias("pos", "call"), "positions")
+    places = places.select("read_id", F.substring("call", 2, 1 << 30).alias("gene"), F.get("positions", F.col("pos"))["start"].alias("start"), F.get("positions", F.col("pos"))["end"].alias("end"))
+    return seen.join(named, ["gene", "component"]).join(places, ["read_id", "gene"]).select("component", "gene", "allele", "read_id", "start", "end")
+
+
+def subgraph_edges(g: Graph, nodes: DataFrame) -> DataFrame:
+    """Edges between the nodes of a subset: its adjacency, as rows."""
+    ends = lambda c: nodes.select(F.col("node_id").alias(c)).distinct()
+    return g.edges.join(ends("src"), "src", "left_semi").join(ends("tgt"), "tgt", "left_semi").select(*g.edges.columns)
+
+
+def subset_anchors(g: Graph, nodes: DataFrame) -> DataFrame:
+    """(node_id, anchor, junction): nodes without a neighbour of the subset on one side, and with several on one."""
+    e = subgraph_edges(g, nodes).select("src", "src_dir", "tgt").distinct()
+    side = lambda s: F.coalesce(F.sum((F.col("src_dir") == s).cast("int")), F.lit(0))
+    n = e.groupBy(F.col("src").alias("node_id")).agg(side(1).alias("front"), side(-1).alias("back"))
+    rows = nodes.select("node_id").distinct().join(n, "node_id", "left").na.fill(0)
+    return rows.select("node_id", ((F.col("front") == 0) | (F.col("back") == 0)).alias("anchor"), ((F.col("front") > 1) | (F.col("back") > 1)).alias("junction"))
+
+
+def paths_between(g: Graph, nodes: DataFrame, ends: DataFrame, most: int) -> DataFrame:
+    """(path): simple walks within a subset of nodes from one of ``ends`` to another, of up to ``most`` nodes, in their smaller way."""
+    starts = ends.select("node_id").distinct().withColumn("dir", F.explode(F.array(F.lit(1), F.lit(-1))))
+    walks = bounded_paths(subgraph_edges(g, nodes), starts, most)
+    last = walks.withColumn("node_id", F.element_at("path", -1)["node_id"]).join(ends.select("node_id").distinct(), "node_id", "left_semi")
+    return last.select(F.least("path", turned_path(F.col("path"))).alias("path")).distinct()
+
+
+def path_sequences(g: Graph, paths: DataFrame, sequences: DataFrame) -> DataFrame:
+    """(path, read_id, sequence): of each read that shares nodes with a path, what lies from the first to the last of them."""
+    rows = paths.select("path", F.explode("path.node_id").alias("node_id")).distinct().join(g.read_nodes, "node_id")
+    span = rows.groupBy("path", "read_id").agg(F.min("start").alias("start"), F.max("end").alias("end")).filter("start is not null and end is not null")
+    cut = F.col("sequence").substr(F.col("start") + 1, F.col("end") - F.col("start") + 1)
+    return span.join(sequences, "read_id").select("path", "read_id", cut.alias("sequence"))
+
+
+def anchor_suffixes(walks: DataFrame, anchor: str, hot: DataFrame, least: int = 1) -> DataFrame:
+    """(suffix, n_reads): what follows an anchor in reads (read_id, items) whose next item is in ``hot``, with enough reads."""
+    at = F.array_position("items", anchor).cast("int")
+    rows = walks.filter(at > 0).select("read_id", F.slice("items", at, F.size("items")).alias("suffix"))
+    rows = rows.withColumn("node_id", F.get("suffix", F.lit(1))).join(hot.select("node_id").distinct(), "node_id", "left_semi")
+    return rows.groupBy("suffix").agg(F.count_distinct("read_id").alias("n_reads")).filter(F.col("n_reads") >= least)
 
 
 def short_read_alleles(reads: DataFrame, genes: list[str], found: DataFrame) -> DataFrame:

@@ -117,6 +117,27 @@ def test_alleles_of_a_line(spark):
     assert sorted(map(sorted, by.values())) == [[(f"read{i}", s, s + 1) for i in (1, 2, 3)] for s in (8, 12)]
 
 
+def test_subsets(spark):
+    g = graph.build_graph(reads(spark, "+a +b +c +d +e", "+a +b +c +x +y"), 3).stored()
+    every = g.nodes.select("node_id")
+    told = {r["node_id"]: (r["anchor"], r["junction"]) for r in paths.subset_anchors(g, every).collect()}
+    assert told["+a~~~+b~~~+c"] == (True, True) and told["+b~~~+c~~~+d"] == (False, False)
+    ends = paths.subset_anchors(g, every).filter("anchor")
+    assert sorted(len(r["path"]) for r in paths.paths_between(g, every, ends, 5).collect()) == [3, 3]
+    walks = graph.walks_of(g).select("read_id", F.col("walk.node_id").alias("items"))
+    got = paths.anchor_suffixes(walks, "+a~~~+b~~~+c", every).collect()
+    assert sorted(r["n_reads"] for r in got) == [1, 1]
+
+
+def test_a_component_without_alleles_gets_one(spark):
+    g = graph.build_graph(reads(spark, LINE, LINE, "+p -q +gene5 +r", positions=PLACES), 3).stored()
+    none = spark.createDataFrame([(1, "gene5", "gene5_1", "read1", 8, 9)], "component long, gene string, allele string, read_id string, start int, end int")
+    from strandloom.plans.components import component_numbers as parts
+
+    got = paths.missed_alleles(g, ["gene5"], parts(g), none).collect()
+    assert [tuple(r) for r in got] == [(2, "gene5", "gene5_2", "read3", 4, 5)]
+
+
 def search(lines, gene="geneX", k=3, threshold=1, ends=None):
     calls = {f"r{i}": tuple(x.split()) for i, x in enumerate(lines)}
 
