@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.arrays import canonical_windows, flipped, names
 from strandloom.functions.tokens import JOIN
-from strandloom.plans.storage import stored
+from strandloom.plans.storage import numbered, stored
 
 READS = "read_id string, calls array<string>, positions array<struct<start:int,end:int>>"
 
@@ -167,16 +167,8 @@ def get_node(g: Graph, genes: list[str]) -> DataFrame:
 
 
 def node_numbers(g: Graph) -> DataFrame:
-    """(node_id, number): from 0 in order of first sight.
-
-    Numbers are counted within ranges of the order and offset by the ranges before, so that no
-    single task sorts all nodes.
-    """
-    n = int(g.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stored(g.nodes.select("node_id", "first_seen").repartitionByRange(n, "first_seen").withColumn("part", F.spark_partition_id()), "numbered")
-    before = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy("first_seen", "node_id")) - 1
-    return ranged.withColumn("own", own).join(F.broadcast(before), "part").select("node_id", (F.col("own") + F.col("before")).alias("number"))
+    """(node_id, number): from 0 in order of first sight."""
+    return numbered(g.nodes.select("node_id", "first_seen"), "number", "first_seen", "node_id").select("node_id", "number")
 
 
 def node_colours(g: Graph, genes_of_interest: list[str]) -> DataFrame:

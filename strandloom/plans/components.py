@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators.graph import Graph
-from strandloom.plans.storage import stored
+from strandloom.plans.storage import numbered, stored
 
 
 def label_components(nodes: DataFrame, links: DataFrame, rounds: int = 100) -> DataFrame:
@@ -35,5 +35,5 @@ def component_numbers(g: Graph) -> DataFrame:
     """(node_id, component): from 1, in order of the first node seen of each component."""
     labels = label_components(g.nodes, g.edges.select(F.col("src").alias("a"), F.col("tgt").alias("b")))
     seen = labels.join(g.nodes.select("node_id", "first_seen"), "node_id").groupBy("label").agg(F.min("first_seen").alias("seen"))
-    numbers = seen.select("label", F.row_number().over(Window.orderBy("seen", "label")).cast("long").alias("component"))
+    numbers = numbered(seen, "number", "seen", "label").select("label", (F.col("number") + 1).alias("component"))
     return labels.join(numbers, "label").select("node_id", "component")

@@ -14,15 +14,17 @@ LENGTH_LOW, LENGTH_HIGH = 0.5, 1.5
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """read_id, sequence, quality. Of records with the same id the last one counts.
 
-    Records are split where a header follows a quality line, so plain files can be cut
-    anywhere by Spark's own line separator; a .gz file is one split.
+    Lines are numbered by the counts of the splits before their own, so that large plain files
+    are read and numbered in parallel; a .gz file is one split.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line")).filter("line <> ''")
-    numbered = lines.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1)
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.spark_partition_id().alias("split"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    splits = lines.groupBy("file", "split").agg(F.count("*").alias("lines"), F.min("at").alias("first"))
+    before = splits.select("file", "split", "first", (F.sum("lines").over(Window.partitionBy("file").orderBy("first")) - F.col("lines")).alias("before"))
+    numbered = lines.join(before, ["file", "split"]).withColumn("n", F.col("before") + F.col("at") - F.col("first"))
     record = F.floor(F.col("n") / 4)
     part = F.col("n") % 4
     rows = numbered.groupBy("file", record.alias("record")).agg(*(F.max(F.when(part == i, F.col("line"))).alias(c) for i, c in ((0, "head"), (1, "sequence"), (3, "quality"))))
-    rows = rows.select(F.regexp_extract("head", r"^@(\S+)", 1).alias("read_id"), "sequence", "quality", F.struct("file", "record").alias("at"))
+    rows = rows.filter(F.col("head").startswith("@")).select(F.regexp_extract("head", r"^@(\S+)", 1).alias("read_id"), "sequence", "quality", F.struct("file", "record").alias("at"))
     return rows.groupBy("read_id").agg(F.max_by(F.struct("sequence", "quality"), "at").alias("r")).select("read_id", "r.*")
 
 
