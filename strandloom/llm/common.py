@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +83,21 @@ def looked_up(left: DataFrame, right: DataFrame, key: str, count: str, total: in
     told = left.join(F.broadcast(hot), key, "left")
     cold = told.filter("_hot is null").drop("_hot").join(right.filter(F.col(count) <= total / 1000), key, "left")
     return told.filter("_hot is not null").select(*left.columns, "_hot.*").unionByName(cold.select(*left.columns, *(c for c in right.columns if c != key)))
+
+
+_worker: tuple[str, Any] | None = None
+
+
+def worker_cache(owner: str, make: Callable[[], Any] = dict) -> Any:
+    """What an operator keeps in a Python worker between its tasks.
+
+    Spark gives one worker to task after task, of whatever operator. What another one has left is
+    dropped first, so that a worker holds the cache of one operator at most.
+    """
+    global _worker
+    if _worker is None or _worker[0] != owner:
+        _worker = None
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _worker = (owner, make())
+    return _worker[1]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import stored
+from strandloom.llm.common import stored, worker_cache
 from strandloom.llm.tokens import END_ID, encoder, vocabulary_path
 
 CAPACITY = 4096
@@ -129,6 +129,7 @@ def _bins(placed: np.ndarray) -> Bins:
 
 def _breed(capacity: int, epoch: int):
     def breed(key, items: pd.DataFrame, elites: pd.DataFrame) -> pd.DataFrame:
+        worker_cache("packing")
         shard, island = (int(k) for k in key)
         items = items.sort_values("row", kind="stable")
         lengths = items["length"].tolist()

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import stored
+from strandloom.llm.common import stored, worker_cache
 from strandloom.llm.components import components
 
 SEED, RADIUS = 42, 4
@@ -71,6 +71,7 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_cache("simhash")
     for batch in batches:
         got = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], ["doc_id", "fp"])
@@ -146,6 +147,7 @@ def _bucket_links(radius: int):
         return join(a), join(b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush(keys: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:

@@ -16,9 +16,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from strandloom.llm.common import worker_cache
+
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-KEPT = 1_000_000
+KEPT = 700_000
 #: Longer chunks are encoded each time, so that the memory for kept ones has a bound.
 LONGEST = 64
 #: Characters of texts that are taken together.
@@ -39,6 +41,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         with open(path) as f:
             suffix = json.load(f)["model"].get("end_of_word_suffix") or ""
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -89,14 +92,16 @@ class Encoder:
         return got
 
     def _look_up(self, words: list[str]) -> list[bytes]:
-        if len(self.ids) > KEPT:
-            self.ids.clear()
+        """Chunks seen lately stay: when half of the room is full, what was not asked for since the last time goes."""
+        if len(self.ids) > KEPT // 2:
+            self.older, self.ids = self.ids, {}
         parts = list(map(self.ids.get, words))
         new = {w for w, p in zip(words, parts, strict=True) if p is None}
         if new:
-            learnt = self._learn(new)
-            parts = [learnt[w] if p is None else p for w, p in zip(words, parts, strict=True)]
-            self.ids.update((w, ids) for w, ids in learnt.items() if len(w) <= LONGEST)
+            again = {w: p for w in new if (p := self.older.get(w)) is not None}
+            got = self._learn(new - again.keys()) | again
+            parts = [got[w] if p is None else p for w, p in zip(words, parts, strict=True)]
+            self.ids.update((w, ids) for w, ids in got.items() if len(w) <= LONGEST)
         return parts
 
     def _part(self, texts: list[str]) -> list[bytes]:
@@ -147,11 +152,6 @@ def chunks(text: str) -> list[str]:
     return [c for c in text.translate(_SPACES).split(" ") if c]
 
 
-_held: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker process."""
-    if path not in _held:
-        _held[path] = Encoder(path)
-    return _held[path]
+    """One encoder for each worker process, for as long as the worker's tasks encode."""
+    return worker_cache(f"tokens {path}", lambda: Encoder(path))

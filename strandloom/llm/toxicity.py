@@ -25,12 +25,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.common import worker_cache
+
 SAMPLE, FEATURES = 8000, 2000
 LEAST_DOCS = 5
 RIDGE, SWAP_PENALTY, STEPS = 0.1, 4.0, 600
 THRESHOLD = 0.7
 BEGINNINGS = (4, 5, 6, 7, 8)
-KEPT = 300_000
+KEPT = 200_000
 
 #: Identity terms by language and kind; swaps stay within a group.
 IDENTITY = tuple(
@@ -148,6 +150,7 @@ def fit(x: Sparse, y: np.ndarray, pairs: Sparse, ridge: float = RIDGE, penalty:
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_cache("toxicity")
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = list({f for w in words_of(text) for f in _features(w)})
@@ -202,6 +205,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
     """(doc_id, score) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         held: dict[bytes, tuple[int, ...]] = {}
         for batch in batches:
             z = np.array(model.logits(batch.column(1).to_pylist(), held))
@@ -216,6 +220,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         held: dict[bytes, tuple[int, ...]] = {}
         for batch in batches:
             z = np.array(model.logits(batch.column(at).to_pylist(), held))
