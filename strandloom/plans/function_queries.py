@@ -54,7 +54,7 @@ def sublist_match(spark, sf_dir):
 
 @query(E3 + _FIRST8 + " SELECT read_id, array_to_string(g[i:j], ',') AS sub, count(*) AS n FROM lists, unnest(range(1, len(g) + 1)) AS t(i), unnest(range(1, len(g) + 1)) AS u(j) WHERE j >= i GROUP BY ALL")
 def sublists(spark, sf_dir):
-    rows = _events(spark, sf_dir).select("read_id", F.explode(arrays.all_sublists(F.slice("calls", 1, 8))).alias("s"))
+    rows = _events(spark, sf_dir).select("read_id", F.explode(arrays.all_sublists(F.col("calls"))).alias("s"))
     return rows.groupBy("read_id", F.array_join("s", ",").alias("sub")).agg(F.count("*").alias("n"))
 
 
