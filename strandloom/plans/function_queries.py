@@ -72,8 +72,7 @@ def smaller_way(spark, sf_dir):
 
 @query(E3 + _FIRST8 + " SELECT read_id, 'up' AS side, array_to_string(g[i:2], ',') AS part FROM lists, unnest([1, 2, 3]) AS t(i) WHERE len(g) >= 5 UNION ALL SELECT read_id, 'down', array_to_string(g[5:i], ',') FROM lists, unnest(range(4, len(g) + 1)) AS t(i) WHERE len(g) >= 5")
 def context_options(spark, sf_dir):
-    first = F.slice("calls", 1, 8)
-    up, down = arrays.context_options(first, F.lit(2), F.lit(3))
+    up, down = arrays.context_options(F.col("calls"), F.lit(2), F.lit(3))
     rows = _events(spark, sf_dir).filter(F.size("calls") >= 5)
     part = lambda c, side: rows.select("read_id", F.lit(side).alias("side"), F.explode(c).alias("p"))
     return part(up, "up").unionByName(part(down, "down")).select("read_id", "side", F.array_join("p", ",").alias("part"))

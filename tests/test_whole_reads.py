@@ -23,3 +23,10 @@ def test_sublists_of_long_reads(spark, calls):
     folder, by = calls
     expected = Counter((i, ",".join(c[a:b])) for i, c in by.items() for a in range(len(c)) for b in range(a + 1, len(c) + 1))
     assert {(r["read_id"], r["sub"]): r["n"] for r in function_queries.sublists(spark, folder).collect()} == expected
+
+
+def test_context_options_of_long_reads(spark, calls):
+    folder, by = calls
+    c = by["1"]
+    expected = [("1", "up", ",".join(c[2 - m : 2])) for m in range(3)] + [("1", "down", ",".join(c[4 : 4 + m])) for m in range(len(c) - 3)]
+    assert sorted(map(tuple, function_queries.context_options(spark, folder).collect())) == sorted(expected)
