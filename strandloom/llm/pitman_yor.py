@@ -10,8 +10,8 @@ The seating is distributed by word: all that a word eats, at every level, is in
 and restaurants know of each other only by their totals, which are summed up over all
 partitions between sweeps (a few thousand numbers, whatever the corpus). A sweep draws anew, for
 each restaurant and dish, the number of tables from its exact conditional given everything else,
-by generalised Stirling numbers; dishes of over ``STIRLING`` customers are seated one after
-another by the restaurant's own rule. The first sweep is burn-in; the predictive
+by generalised Stirling numbers; those of dishes of over ``STIRLING`` customers come from an
+integral instead of a table. The first sweep is burn-in; the predictive
 probabilities of the later ones are averaged, each with the totals of its own seating.
 
 Tokens are routed to their word's partition once and checkpointed. Words of over a share of
@@ -241,17 +241,116 @@ def _tables(c: np.ndarray, t: np.ndarray, level: int, tables: np.ndarray, parent
         at = stop
     i = order[small:]
     if len(i):
-        seated, k = np.ones(len(i)), np.ones(len(i), np.int64)
-        live = np.arange(len(i))
-        while len(live):  # on to the customer who opens the next table
-            j = i[live]
-            open_ = (s + d * (others[j] + k[live])) * parent[j]
-            old = d * k[live]
-            wait = -np.log(np.maximum(rng.random(len(live)), 1e-300)) / np.maximum(open_, 1e-12)
-            seated[live] = np.ceil((seated[live] - old) * np.exp(np.minimum(wait, 50)) + old) + 1
-            live = live[seated[live] <= c[j]]
-            k[live] += 1
-        out[i] = np.minimum(k, c[i])
+        out[i] = _many_tables(c[i], level, others[i], parent[i], rng)
+    return out
+
+
+def _bisected(f, low: float, high: float, n: int) -> np.ndarray:
+    """Where the falling ``f`` of the logarithm is 0, for each of n."""
+    a, b = np.full(n, low), np.full(n, high)
+    for _ in range(44):
+        mid = (a + b) / 2
+        up = f(np.exp(mid)) > 0
+        a, b = np.where(up, mid, a), np.where(up, b, mid)
+    return np.exp((a + b) / 2)
+
+
+def _slope(x: np.ndarray, d: float):
+    """f = 1 - (1 - exp(-x)) ** d and -f' / f."""
+    log = np.log(-np.expm1(-x))
+    f = -np.expm1(d * log)
+    return f, d * np.exp((d - 1) * log - x) / f
+
+
+def log_stirling(c: np.ndarray, t: np.ndarray, steps: int, d: float) -> np.ndarray:
+    """log(S(c, t + k) * (t + k)! * d ** (t + k) / c!) for k under ``steps``, one row for each c and t.
+
+    The generating function of S(., t) is ((1 - (1 - x) ** d) / d) ** t / t!. With x = exp(-z) its
+    coefficient is an integral over a contour around the cut z <= 0: a parabola, or a straight
+    line where the saddle is far from the cut. Both pass the saddle of the middle t, so nothing
+    large cancels and 40 points give about ten digits.
+    """
+    c = c.astype(float)
+    z = _bisected(lambda x: _slope(x, d)[1] - c / np.minimum(t + (steps - 1) / 2, c), -80, 3.0, len(c))
+    u = (np.arange(40) + 0.5) / 40
+    near = z < 0.5
+    top = np.maximum(z, 3 / c)
+    span = np.sqrt(80 / (c * top))[:, None]
+    v = span * u
+    bent = top[:, None] * (1 + 1j * v) ** 2
+    low, high = _slope(z * 0.99, d)[1], _slope(z * 1.01, d)[1]
+    curve = np.maximum((low - high) / (0.02 * z) * t, 1e-12)
+    reach = np.minimum(np.pi, 14 / np.sqrt(curve))[:, None]
+    at = np.where(near[:, None], bent, z[:, None] + 1j * reach * u)
+    weight = np.where(near[:, None], top[:, None] * 2 * (1 + 1j * v) * span, reach) / (np.pi * 40)
+    f = -np.expm1(d * np.log(-np.expm1(-at)))
+    log = c[:, None] * at + t[:, None] * np.log(f)
+    most = log.real.max(axis=1)
+    g, out = np.exp(log - most[:, None]) * weight, np.empty((len(c), steps))
+    for k in range(steps):
+        out[:, k] = g.real.sum(axis=1)
+        g *= f
+    return np.log(np.maximum(out, 1e-300)) + most[:, None]
+
+
+def _law(c: np.ndarray, low: np.ndarray, high: np.ndarray, d: float, a: np.ndarray, parent: np.ndarray):
+    """Dish, tables and log weight for all numbers of tables from low to high, and where each dish begins."""
+    n = high - low + 1
+    starts = np.cumsum(n) - n
+    of = np.repeat(np.arange(len(c)), n)
+    t = np.arange(len(of)) - starts[of] + low[of]
+    logp = np.cumsum(np.log((a[of] + t - 1) / t * parent[of]))
+    logp -= logp[starts][of]
+    # Where tables are about as many as customers, the integrand changes faster with t.
+    for steps, dense in ((16, False), (4, True)):
+        mine = np.flatnonzero((high * 2 > c) == dense)
+        per = -(-n[mine] // steps)
+        panel, dish = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per), np.repeat(mine, per)
+        for x in range(0, len(dish), 2048):
+            i, p = dish[x : x + 2048], panel[x : x + 2048]
+            s = log_stirling(c[i], low[i] + p * steps, steps, d)
+            k = p[:, None] * steps + np.arange(steps)
+            inside = k < n[i][:, None]
+            logp[(starts[i][:, None] + k)[inside]] += s[inside]
+    return of, t, logp, starts
+
+
+def _many_tables(c: np.ndarray, level: int, others: np.ndarray, parent: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Draws from the same conditional for dishes of many customers, over the tables that have weight.
+
+    The weights are log-concave in t (a is over 1), so beyond a bound where they are under
+    exp(-30) of the largest they fall at least as fast as on the way there; the range is
+    doubled until both its ends are that low, or are the ends of the law.
+    """
+    d, out = DISCOUNT[level], np.zeros(len(c), np.int64)
+    a = (STRENGTH[level] + d * others) / d
+    parent = np.minimum(parent, 1.0)
+
+    def missing(x: np.ndarray) -> np.ndarray:
+        f, slope = _slope(x, d)
+        return a * parent * f * slope / np.maximum(1 - parent * f, 1e-300) - c
+
+    x = _bisected(missing, -80, 3.0, len(c))
+    f = _slope(x, d)[0]
+    middle = np.clip(a * parent * f / np.maximum(1 - parent * f, 1e-300), 1, c)
+    width = 10 * np.sqrt(middle) + 16
+    left = np.argsort(middle, kind="stable")
+    while len(left):
+        # As many dishes at once as have 200000 weights.
+        room = np.cumsum(2 * width[left])
+        i = left[: max(1, int(np.searchsorted(room, 200_000)))]
+        low = np.clip(np.floor(middle[i] - width[i]), 1, c[i]).astype(np.int64)
+        high = np.clip(np.ceil(middle[i] + width[i]), low, c[i]).astype(np.int64)
+        of, t, logp, starts = _law(c[i], low, high, d, a[i], parent[i])
+        most, last = np.maximum.reduceat(logp, starts), np.r_[starts[1:], len(of)] - 1
+        fine = ((low == 1) | (logp[starts] < most - 30)) & ((high == c[i]) | (logp[last] < most - 30))
+        p = np.cumsum(np.exp(logp - most[of]))
+        before = np.r_[0.0, p][starts]
+        k = np.searchsorted(p, before + rng.random(len(i)) * (p[last] - before), side="right")
+        drawn = t[np.clip(k, starts, last)]
+        out[i[fine]] = drawn[fine]
+        width[i[~fine]] *= 2
+        left = np.r_[left[len(i) :], i[~fine]]
     return out
 
 
