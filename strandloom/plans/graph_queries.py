@@ -108,17 +108,16 @@ def neighbours(spark, sf_dir):
 @query(L3 + " SELECT e.src AS a, e.tgt AS b, e.src_dir, e.tgt_dir, e.coverage FROM edges e WHERE e.coverage >= 3")
 def edges_between_pairs(spark, sf_dir):
     g = _orders(spark, sf_dir)
-    pairs = g.edges.filter("coverage >= 3").select(F.col("src").alias("a"), F.col("tgt").alias("b")).distinct()
-    found = graph.edges_between(g, pairs).filter("coverage >= 3").filter("a = src and b = tgt")
+    pairs = g.edges.select(F.col("src").alias("a"), F.col("tgt").alias("b")).distinct()
+    found = graph.edges_between(g, pairs).filter("a = src and b = tgt")
     return found.select("a", "b", F.col("src_dir").cast("int").alias("src_dir"), F.col("tgt_dir").cast("int").alias("tgt_dir"), "coverage")
 
 
 @query(L3 + " SELECT DISTINCT src AS a, tgt AS b, -tgt_dir AS dir FROM edges WHERE coverage >= 3")
 def direction_between_nodes(spark, sf_dir):
     g = _orders(spark, sf_dir)
-    strong = filters.replace(g, edges=g.edges.filter("coverage >= 3"))
-    pairs = strong.edges.select(F.col("src").alias("a"), F.col("tgt").alias("b")).distinct()
-    return graph.direction_between(strong, pairs).distinct().select("a", "b", F.col("dir").cast("int").alias("dir"))
+    pairs = g.edges.select(F.col("src").alias("a"), F.col("tgt").alias("b")).distinct()
+    return graph.direction_between(g, pairs).distinct().select("a", "b", F.col("dir").cast("int").alias("dir"))
 
 
 @query(L3 + " SELECT DISTINCT a, b FROM (SELECT src AS a, tgt AS b FROM edges)")

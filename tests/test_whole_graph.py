@@ -1,4 +1,4 @@
-from strandloom.plans import path_queries
+from strandloom.plans import graph_queries, path_queries
 
 
 def orders(spark, folder, *reads):
@@ -14,3 +14,10 @@ def test_junction_paths_of_eight_nodes(spark, tmp_path):
     folder = orders(spark, tmp_path, "A B C x1 x2 x3 x4 D E F", "A B C y1 y2 y3 y4 D E F")
     got = [r["path"].split(",") for r in path_queries.junction_paths(spark, folder).collect()]
     assert [len(p) for p in got] == [8, 8] and got[0] != got[1]
+
+
+def test_lookups_of_weak_edges(spark, tmp_path):
+    folder = orders(spark, tmp_path, "A B C D")
+    u, v = "+A~~~+B~~~+C", "+B~~~+C~~~+D"
+    assert sorted(map(tuple, graph_queries.edges_between_pairs(spark, folder).collect())) == [(u, v, 1, 1, 1), (v, u, -1, -1, 1)]
+    assert sorted(map(tuple, graph_queries.direction_between_nodes(spark, folder).collect())) == [(u, v, -1), (v, u, 1)]
