@@ -1,16 +1,19 @@
-"""Encoding by a public tokenizer, with each distinct chunk encoded once per worker.
+"""Encoding by a public tokenizer, with each distinct word encoded once per worker.
 
 The tokenizer of ``VOCABULARY`` drops white space and never joins characters across it, so the
 ids of a text are the ids of its chunks between ASCII white space, one after another; special
 tokens hold no white space either. It lower-cases by itself; doing that first, where all
 characters are of Latin-1 and no composing or context is involved, leaves fewer distinct chunks.
-A worker keeps the ids of up to ``KEPT`` chunks as bytes.
+A chunk of letters with ASCII marks behind them is two pieces to the tokenizer, so distinct
+chunks are split that way and only distinct words are encoded, by the merges of the
+tokenizer's model alone: there is nothing left in them to normalise or to cut. A worker
+keeps the ids of up to ``KEPT`` words as bytes; what it has not asked for lately goes first.
+All else is done on whole Arrow columns.
 """
 
 from __future__ import annotations
 
-import json
-import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,90 +38,101 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it prints, else one from U+0100 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) if b in prints else chr(256 + rest.index(b)) for b in range(256)}
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[0], ... starts[0] + sizes[0] - 1, starts[1], ..."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.bytes = byte_letters()
         self.ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        with open(path) as f:
-            suffix = json.load(f)["model"].get("end_of_word_suffix") or ""
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        if suffix:
-            for piece, i in self.tokenizer.get_vocab().items():
-                self.ends[i] = piece.endswith(suffix)
-
-    def _each(self, chunks: list[str]) -> dict[str, bytes]:
-        out = {}
-        for at in range(0, len(chunks), TOGETHER):
-            part = chunks[at : at + TOGETHER]
-            got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            out |= {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in zip(part, got, strict=True)}
-        return out
+        # Another kind of vocabulary, whose model alone gives other ids, is asked as a whole.
+        probes = ["a", "word", "kindergartens", "straße", "déjà", "ñandú", "öffentlichkeit", "x" * 40]
+        self.direct = [self._letters(w) for w in probes] == self._whole(probes)
 
-    def _letters(self, words: list[str]) -> dict[str, bytes]:
-        """Words of letters alone: encoded as one text, which the tokenizer cuts at each word's end."""
-        out = {}
-        for at in range(0, len(words), TOGETHER):
-            part = words[at : at + TOGETHER]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(stops) != len(part) or stops[-1] != len(ids) * 4:
-                out |= self._each(part)
-                continue
-            raw = ids.tobytes()
-            out |= {w: raw[a:b] for w, a, b in zip(part, [0, *stops[:-1]], stops, strict=True)}
+    def _letters(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.bytes)
+        return array("I", [t.id for t in self.merge(word)]).tobytes()
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(chunks), TOGETHER):
+            got = self.tokenizer.encode_batch_fast(chunks[at : at + TOGETHER], add_special_tokens=False)
+            out += [np.array(e.ids, dtype="<u4").tobytes() for e in got]
         return out
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """The ids of chunks. A word with marks behind it is the word and then the marks, which recur."""
-        words, rest, split = set(), set(), {}
-        for c in chunks:
-            m = _WORD_MARKS.fullmatch(c)
-            if not m:
-                rest.add(c)
-            elif m[2]:
-                split[c] = m.groups()
-            else:
-                words.add(c)
-        known = self.ids
-        words.update(w for w, _ in split.values() if w not in known)
-        rest.update(m for _, m in split.values() if m not in known)
-        got = self._letters(list(words)) | self._each(list(rest))
-        known.update((c, ids) for c, ids in got.items() if len(c) <= LONGEST)
-        for c, pair in split.items():
-            got[c] = b"".join([got[p] if p in got else known[p] for p in pair])
-        return got
-
-    def _look_up(self, words: list[str]) -> list[bytes]:
+    def _look_up(self, chunks: list[str], letters: bool) -> list[bytes]:
         """Chunks seen lately stay: when half of the room is full, what was not asked for since the last time goes."""
         if len(self.ids) > KEPT // 2:
             self.older, self.ids = self.ids, {}
-        parts = list(map(self.ids.get, words))
-        new = {w for w, p in zip(words, parts, strict=True) if p is None}
-        if new:
-            again = {w: p for w in new if (p := self.older.get(w)) is not None}
-            got = self._learn(new - again.keys()) | again
-            parts = [got[w] if p is None else p for w, p in zip(words, parts, strict=True)]
-            self.ids.update((w, ids) for w, ids in got.items() if len(w) <= LONGEST)
+        parts: list = list(map(self.ids.get, chunks))
+        new = [i for i, p in enumerate(parts) if p is None]
+        older, unknown = self.older.get, []
+        for i in new:
+            if (p := older(chunks[i])) is None:
+                unknown.append(i)
+            else:
+                parts[i] = p
+        asked = [chunks[i] for i in unknown]
+        got = list(map(self._letters, asked)) if letters and self.direct else self._whole(asked)
+        for i, p in zip(unknown, got, strict=True):
+            parts[i] = p
+        self.ids.update((chunks[i], parts[i]) for i in new if len(chunks[i]) <= LONGEST)
         return parts
 
-    def _part(self, texts: list[str]) -> list[bytes]:
-        if all(map(_plain, texts)):
-            split = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
-        else:
-            split = pa.array([chunks(t) for t in texts], pa.large_list(pa.large_string()))
-        coded = split.flatten().dictionary_encode()
-        parts = self._look_up(coded.dictionary.to_pylist())
+    def _pool(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct chunks: a pool of ids, and where in it each chunk starts and how many it has."""
+        cut = pc.extract_regex(distinct, _WORD_MARKS)
+        whole = np.asarray(pc.is_null(cut))
+        n = len(distinct)
+        parts, atoms = [], np.empty((n, 2), np.int64)
+        for column, values, letters in ((0, cut.field(0), True), (1, cut.field(1), False), (0, distinct, False)):
+            rows = np.flatnonzero(whole if values is distinct else ~whole)
+            coded = values.take(pa.array(rows)).dictionary_encode()
+            atoms[rows, column] = coded.indices.to_numpy(zero_copy_only=False) + len(parts)
+            parts += self._look_up(coded.dictionary.to_pylist(), letters)
+        atoms[whole, 1] = len(parts)
+        parts.append(b"")
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        pool, starts, code = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        pool, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
+        flat = atoms.reshape(-1)
+        ids = pool[_spans(starts[flat], sizes[flat])]
+        n_ids = sizes[atoms].sum(axis=1)
+        return ids, np.cumsum(n_ids) - n_ids, n_ids
+
+    def _columns(self, split: pa.Array) -> list[bytes]:
+        """The ids of texts that come as lists of chunks."""
+        coded = split.flatten().dictionary_encode()
+        pool, starts, sizes = self._pool(coded.dictionary)
+        code = coded.indices.to_numpy(zero_copy_only=False)
         n = sizes[code]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        ids = pool[np.repeat(starts[code] - ends[:-1], n) + np.arange(ends[-1])]
+        ids, ends = pool[_spans(starts[code], n)], np.concatenate(([0], np.cumsum(n)))
         cuts = ends[np.asarray(split.offsets) - split.offsets[0].as_py()].tolist()
         return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
+    def _part(self, texts: list[str]) -> list[bytes]:
+        plain = [_plain(t) for t in texts]
+        if all(plain):
+            return self._columns(pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string()))))
+        some = iter(self._part([t for t, p in zip(texts, plain, strict=True) if p])) if any(plain) else iter(())
+        rest = iter(self._columns(pa.array([chunks(t) for t, p in zip(texts, plain, strict=True) if not p], pa.large_list(pa.large_string()))))
+        return [next(some if p else rest) for p in plain]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit words; null is empty."""
         out, part, size = [], [], 0
@@ -132,17 +146,19 @@ class Encoder:
 
 
 #: Small letters of Latin-1, with the ASCII marks behind them if any: two pieces to the tokenizer.
-_WORD_MARKS = re.compile(r"([a-zßà-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_WORD_MARKS = r"^(?P<word>[a-zß-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 #: What str.split() takes for white space beside the ASCII one, within Latin-1.
 _ODD = "\x1c\x1d\x1e\x1f\x85\xa0"
 _SPACES = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
 
 
 def _plain(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
+    """Whether all characters are of Latin-1 and white space is the ASCII one, without special tokens."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
     return not any(c in text for c in _ODD) and "<|" not in text
 
 
