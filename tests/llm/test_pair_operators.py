@@ -92,28 +92,86 @@ def test_components_of_a_long_path(spark):
 # Packing.
 
 
+def by_length(lengths):
+    return np.argsort(-lengths, kind="stable")
+
+
+def check_packing(p, lengths, capacity):
+    assert sorted(set(p.bin_of.tolist())) == list(range(len(p.fill)))
+    assert (np.bincount(p.bin_of, lengths) == p.fill).all() and p.fill.max() <= capacity
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 99), min_size=1, max_size=60), st.integers(0, 5))
 def test_evolution_packs_everything_once(lengths, seed):
-    bins = packing.evolve(lengths, [], 100, seed)
-    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
-    assert all(sum(lengths[i] for i in b) <= 100 for b in bins)
-    assert packing.fewest(lengths, 100) <= len(bins) <= len(packing.best_fit(lengths, sorted(range(len(lengths)), key=lambda i: -lengths[i]), [], 100))
-    again = packing.evolve(lengths, [bins], 100, seed + 1)
-    assert len(again) <= len(bins)
+    lengths = np.array(lengths)
+    bred = packing.evolve(lengths, [], 100, seed)
+    greedy = packing.best_fit(lengths, by_length(lengths), 100)
+    check_packing(bred, lengths, 100), check_packing(greedy, lengths, 100)
+    assert greedy.fitness() <= bred.fitness() <= packing.ideal(lengths, 100)
+    again = packing.evolve(lengths, [bred.bin_of], 100, seed + 1)
+    assert again.fitness() >= bred.fitness()
 
 
-def test_crossover_beats_best_fit_alone():
-    rng = random.Random(5)
-    lengths = []
-    for _ in range(60):  # triples that fill a bin
-        a = rng.randint(20, 45)
-        b = rng.randint(20, 99 - a)
-        lengths += [a, b, 100 - a - b]
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 99), min_size=2, max_size=60), st.integers(0, 10**6))
+def test_children_of_any_parents_are_packings(lengths, seed):
+    lengths, rng = np.array(lengths), np.random.default_rng(seed)
+    one, other = (packing.best_fit(lengths, rng.permutation(len(lengths)), 100) for _ in range(2))
+    check_packing(packing.crossed(one, other, lengths, 100, rng), lengths, 100)
+
+
+def triples(n, seed, capacity=100):
+    """Pieces that fill n bins by threes."""
+    rng, lengths = random.Random(seed), []
+    for _ in range(n):
+        a = rng.randint(capacity // 5, capacity * 9 // 20)
+        b = rng.randint(capacity // 5, capacity - 1 - a)
+        lengths += [a, b, capacity - a - b]
     rng.shuffle(lengths)
-    greedy = packing.best_fit(lengths, sorted(range(len(lengths)), key=lambda i: -lengths[i]), [], 100)
+    return np.array(lengths)
+
+
+def test_crossover_beats_best_fit_alone():
+    lengths = triples(60, 5)
+    greedy = packing.best_fit(lengths, by_length(lengths), 100)
     bred = packing.evolve(lengths, [], 100, 1, population=10, generations=60)
-    assert len(bred) <= len(greedy) and len(bred) <= 62
+    assert bred.fitness() > greedy.fitness() and len(bred.fill) <= 61
+
+
+def test_migrants_are_bred_further():
+    better = 0
+    for k in range(6):
+        lengths = triples(100, k, 1000)
+        islands = [packing.evolve(lengths, [], 1000, seed) for seed in (1, 2)]
+        after = packing.evolve(lengths, [p.bin_of for p in islands], 1000, 3)
+        best = max(p.fitness() for p in islands)
+        assert after.fitness() >= best
+        better += after.fitness() > best
+    assert better >= 2
+
+
+def test_generations_change_the_packing_of_a_table(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, int(n)) for i, n in enumerate(triples(100, 3, 1000))], "row long, length long")
+    fitness = []
+    for generations in (0, 6):
+        monkeypatch.setattr(packing, "evolve", lambda *a, evolve=EVOLVE, g=generations: evolve(*a, generations=g))
+        out = packing.pack(rows, 1000).toPandas()
+        assert sorted(out["row"]) == list(range(300))
+        fills = out.merge(rows.toPandas(), on="row").groupby("sequence_id")["length"].sum()
+        assert fills.max() <= 1000
+        fitness.append((-len(fills), (fills**2).sum()))
+    assert fitness[0] < fitness[1]
+
+
+@pytest.mark.parametrize("length", [60, 99])
+def test_levels_end_where_no_bin_can_be_closed(spark, monkeypatch, length):
+    monkeypatch.setattr(packing, "SHARD", 20)
+    out = packing.pack(spark.range(500).selectExpr("id as row", f"cast({length} as long) as length"), 100).toPandas()
+    assert len(out) == out["sequence_id"].nunique() == out["row"].nunique() == 500 and not out["offset"].any()
+
+
+EVOLVE = packing.evolve
 
 
 def test_packing_of_texts(spark, monkeypatch):
