@@ -11,9 +11,9 @@ sum of squared fills, which still tells packings of equally many bins apart, as
 what is left free in few bins. After each epoch the best packing of every island
 migrates to all islands of its shard.
 
-Bins filled to ``CLOSED`` of the capacity become sequences. So do the fullest others, until a
-tenth of the shard's pieces is left at most; these are dealt out anew to fewer shards and bred
-with the leftovers of other shards. Each level has a tenth of the pieces of the one before at
+Bins filled to ``CLOSED`` of the capacity become sequences. So do the fullest others, until
+half of the shard's pieces are left at most; these are dealt out anew to fewer shards and bred
+with the leftovers of other shards. Each level has half of the pieces of the one before at
 most, so it ends with one shard at any size, and no task holds more than about a shard.
 
 Null texts are empty: one end token. Null and repeated doc_ids are packed like others; rows
@@ -39,8 +39,10 @@ CAPACITY = 4096
 SHARD, ISLANDS, EPOCHS = 4096, 2, 2
 POPULATION, GENERATIONS = 6, 6
 CLOSED = 0.985
+#: Bins of a shard at least, so that tiny pieces don't end up in shards of one bin.
+LEAST_BINS = 16
 #: Part of a shard's pieces that goes on to the next level at most.
-LEFT_OVER = 0.1
+LEFT_OVER = 0.5
 
 
 class Packing(NamedTuple):
@@ -177,7 +179,7 @@ def _closing(capacity: int, level: int, last: bool):
                 fill, held = np.bincount(bin_of, lengths), np.bincount(bin_of)
                 emptiest = np.lexsort((np.arange(len(fill)), fill))
                 goes_on = (fill < CLOSED * capacity) & (not last)
-                goes_on[emptiest] &= np.cumsum(held[emptiest]) <= max(LEFT_OVER * len(rows), held[emptiest[0]])
+                goes_on[emptiest] &= np.cumsum(held[emptiest]) <= LEFT_OVER * len(rows)
                 order = np.argsort(bin_of, kind="stable")
                 ends = np.cumsum(lengths[order])
                 offset = ends - lengths[order] - (np.cumsum(fill) - fill)[bin_of[order]].astype(np.int64)
@@ -191,8 +193,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """items: row long, length long below the capacity. Returns row, sequence_id, offset for each."""
     parts, level = [], 0
     while True:
-        count = items.count()
-        shards = max(1, -(-count // SHARD))
+        count, tokens = items.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        shards = max(1, min(-(-count // SHARD), tokens // (LEAST_BINS * capacity)))
         dealt = items.groupBy(F.pmod(F.xxhash64("row", F.lit(level)), F.lit(shards)).cast("long").alias("shard"))
         dealt = dealt.agg(F.sort_array(F.collect_list(F.struct("length", "row"))).alias("p")).select("shard", "p.length", "p.row")
         dealt = stored(dealt, "shards")

@@ -171,6 +171,12 @@ def test_levels_end_where_no_bin_can_be_closed(spark, monkeypatch, length):
     assert len(out) == out["sequence_id"].nunique() == out["row"].nunique() == 500 and not out["offset"].any()
 
 
+def test_tiny_pieces_end_in_full_bins(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 100)
+    out = packing.pack(spark.range(5000).selectExpr("id as row", "1L as length"), 100).toPandas()
+    assert out["sequence_id"].nunique() <= 53 and (out.groupby("sequence_id")["offset"].max() < 100).all()
+
+
 EVOLVE = packing.evolve
 
 
