@@ -1,11 +1,14 @@
 import base64
 import hashlib
 import math
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandloom.llm import pitman_yor as py
@@ -69,6 +72,81 @@ def test_main_text():
     assert "unclosed" in main_text("<article><p>unclosed, text <a href='x")
 
 
+ARTICLE = "<article><p>One sentence, then. Another one, as long as that.</p></article>"
+PLAIN = "One sentence, then. Another one, as long as that."
+
+
+@pytest.mark.parametrize("wrapper", ["layout has-sidebar", "no-comments", "sidebar", "with-menu", "page header", "widget"])
+def test_wrappers_of_the_article_stay(wrapper):
+    assert main_text(f'<div class="{wrapper}">{ARTICLE}</div><footer>Us, 2020.</footer>') == PLAIN
+    assert main_text(f'<form id=f><div class="{wrapper}">{ARTICLE}</div><input></form>') == PLAIN
+    assert main_text(f"<div class='{wrapper}'><div>{PLAIN * 9}</div></div><p>x</p>").startswith(PLAIN)
+
+
+@pytest.mark.parametrize("name", ["comments", "sidebar", "site-footer", "ad-slot", "cookie-notice", "c-comment-list", "newsletter2", "main-menu"])
+def test_named_elements_beside_the_article_go(name):
+    other = f'<div class="{name}"><p>Some other words, also with marks. And even more of them, here.</p></div>'
+    assert main_text(other + ARTICLE) == main_text(ARTICLE + other) == PLAIN
+    assert main_text(f"<article><p>{PLAIN}</p>{other}</article>") == PLAIN
+    assert main_text(f'<main>{ARTICLE}<section class="comments"><article>{"A reader, who says much. " * 40}</article></section></main>') == PLAIN
+
+
+def test_breaks_and_cells():
+    assert main_text("<article>three.<br>four <b>five</b><br/>six</article>") == "three. four five six"
+    assert main_text(f"<article><p>{PLAIN}</p><table><tr><td>1<td>a b</table></article>") == f"{PLAIN}\n1\na b"
+    links = "<ul>" + "<li><a href=/>Home</a>" * 12 + "</ul>"
+    assert main_text(f"{links}<article>{f'<p>{PLAIN} <a href=x>A link, too</a>.</p>' * 4}</article>") == "\n".join([f"{PLAIN} A link, too."] * 4)
+    assert main_text("<article><header><h1>Title</h1></header><p>Text.</p></article>") == "Title\nText."
+    assert main_text("<p>1 < 2, </3 and <em>x</em> &lt;b&gt;</p>") == "1 < 2, </3 and x <b>"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<b>", "</i>", "<p><b>x", "<li>", "<ul><li>", "<table><tr><td>", '<div class="a ', "class=\"", "<x =", "<!-- ", "<", '<div class=ad>x', "<i><td><b></i>"])
+def test_time_grows_with_the_page(part):
+    def took(n):
+        began = time.process_time()
+        main_text(part * (n // len(part)))
+        return time.process_time() - began
+
+    small = min(took(1 << 16) for _ in range(2))
+    assert took(1 << 19) < 40 * max(small, 0.02)  # eight times the page; a quadratic scan takes 64 times as long
+
+
+def brute_ratios(nodes):
+    """nodes: (path, text); by the definition, without zones or articles."""
+    sums = {}
+    for path, text in nodes:
+        sums.setdefault(path, []).append(text)
+    raw = {p: math.log(1 + sum(map(len, t)) / len(t)) * (1 + math.log(1 + sum(c in ".,!?" for x in t for c in x) / len(t))) for p, t in sums.items()}
+    kernel = {0: 0.4, 1: 0.2, 2: 0.1}
+    smooth = {}
+    for i, (path, _) in enumerate(nodes):
+        near = [(kernel[abs(i - j)], raw[p]) for j, (p, _) in enumerate(nodes) if abs(i - j) in kernel]
+        smooth.setdefault(path, []).append(sum(k * v for k, v in near) / sum(k for k, _ in near))
+    return {p: sum(v) / len(v) for p, v in smooth.items()}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["p", "div", "h2", "section p", "section div span"]), st.sampled_from(["a", "Word, word. And more!", "x y z " * 20, "One. Two, three? Four.", "long, " * 40])), min_size=1, max_size=25))
+def test_ratios_against_their_definition(blocks):
+    html, nodes = "", []
+    for tags, text in blocks:
+        path = tags.split()
+        html += "".join(f"<{t}>" for t in path) + text + "".join(f"</{t}>" for t in reversed(path))
+        nodes.append((tags, text))
+    ratios = brute_ratios(nodes)
+    least = 0.2 * max(ratios.values())
+    assert all(abs(r - least) > 1e-9 for r in ratios.values())
+    assert main_text(html) == "\n".join(" ".join(text.split()) for tags, text in nodes if ratios[tags] >= least)
+
+
+def test_extraction_of_edge_tables(spark):
+    assert extract_text(spark.createDataFrame([], PAGES)).count() == 0
+    long = "<article>" + "<p>Some words, and more of them.</p>" * 60_000 + "</article>"
+    rows = spark.createDataFrame([(1, "u", long, 5, "t", 1), (1, "u", long, 5, "t", 1)], PAGES + ", n_chars int, text string, block int")
+    got = extract_text(rows).collect()
+    assert len(got) == 2 and all(r["text"] == "\n".join(["Some words, and more of them."] * 60_000) for r in got)
+
+
 def test_extraction_keeps_rows(spark):
     rows = [(1, "u", PAGE), (2, None, None), (None, "v", "<p>x, y.</p>"), (1, "u", PAGE)]
     got = extract_text(spark.createDataFrame(rows, PAGES)).collect()
