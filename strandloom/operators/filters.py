@@ -114,6 +114,34 @@ def shared_reads(g: Graph, least: int = 1) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
+def removal_order(shared: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """(node_id, below): how many nodes each shares under ``least`` reads with, itself included, of nodes (node_id, number).
+
+    The one that goes first is that with the most, and of equal ones that of the least number;
+    shared has (a, b, n), absent pairs share none.
+    """
+    enough = shared.filter(F.col("n") >= least).groupBy(F.col("a").alias("node_id")).agg(F.count("*").alias("enough"))
+    whole = nodes.agg(F.count("*").alias("whole"))
+    rows = nodes.join(enough, "node_id", "left").crossJoin(F.broadcast(whole))  # one row, broadcast
+    return rows.select("node_id", "number", (F.col("whole") - F.coalesce("enough", F.lit(0))).alias("below"))
+
+
+def weakest_node(shared: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """(node_id): the node that shares too few reads with the most others; the first of equal ones, none without nodes."""
+    return removal_order(shared, nodes, least).agg(F.min(F.struct((-F.col("below")).alias("less"), "number", "node_id")).alias("m")).select("m.node_id").filter("node_id is not null")
+
+
+def intersection_filter(shared: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """(a, b, n) without the pairs of the weakest node.
+
+    The rule goes on while some node has a row that is untouched, but taking a node away leaves a
+    gap in every row, so it ends after the first.
+    """
+    gone = weakest_node(shared, nodes, least)
+    out = shared.join(gone.withColumnRenamed("node_id", "a"), "a", "left_anti").join(gone.withColumnRenamed("node_id", "b"), "b", "left_anti")
+    return out.select("a", "b", "n")
+
+
 def fringe_trim(g: Graph, least: int) -> DataFrame:
     """Nodes that share enough reads with some node, themselves included; that is with themselves."""
     return g.nodes.filter(F.col("n_reads") >= least)

@@ -189,7 +189,10 @@ def graph_totals(g: Graph) -> DataFrame:
 
 
 def merge_graphs(graphs: list[Graph]) -> Graph:
-    """Union of graphs of one k: coverages add up; of a read that several have, the last one stays."""
+    """Union of graphs of one k: coverages add up; of a read that several have, the last one stays.
+
+    n_reads counts a read once, however many graphs have it.
+    """
     if len({g.k for g in graphs}) != 1:
         raise ValueError("graphs of one k merge")
 
@@ -200,8 +203,12 @@ def merge_graphs(graphs: list[Graph]) -> Graph:
         return out
 
     last = union([g.reads for g in graphs])
-    reads = last.groupBy("read_id").agg(F.max_by(F.struct("calls", "positions"), "_at").alias("r")).select("read_id", "r.*")
-    nodes = union([g.nodes for g in graphs]).groupBy("node_id").agg(F.first("genes").alias("genes"), F.sum("coverage").alias("coverage"), F.sum("n_reads").alias("n_reads"), F.min("first_seen").alias("first_seen"))
+    winners = last.groupBy("read_id").agg(F.max_by(F.struct("calls", "positions"), "_at").alias("r"), F.max("_at").alias("_at"))
+    reads = winners.select("read_id", "r.*")
+    seen = union([g.read_nodes for g in graphs])
+    n_reads = seen.filter("node_id is not null").select("node_id", "read_id").distinct().groupBy("node_id").agg(F.count("*").alias("n_reads"))
+    nodes = union([g.nodes for g in graphs]).groupBy("node_id").agg(F.first("genes").alias("genes"), F.sum("coverage").alias("coverage"), F.min("first_seen").alias("first_seen"))
+    nodes = nodes.join(n_reads, "node_id", "left").select("node_id", "genes", "coverage", F.coalesce("n_reads", F.lit(0)).alias("n_reads"), "first_seen")
     edges = union([g.edges for g in graphs]).groupBy("src", "src_dir", "tgt", "tgt_dir").agg(F.sum("coverage").alias("coverage"), F.min("first_seen").alias("first_seen"))
-    read_nodes = union([g.read_nodes for g in graphs]).drop("_at").dropDuplicates(["read_id", "pos"])
+    read_nodes = seen.join(winners.select("read_id", "_at"), ["read_id", "_at"], "left_semi").drop("_at")
     return Graph(graphs[0].k, reads, read_nodes, nodes, edges)

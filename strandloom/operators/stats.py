@@ -12,8 +12,8 @@ from strandloom.functions.tokens import reverse_complement
 from strandloom.operators.graph import Graph
 
 KMER = 15
-#: Counts above this bound come together in the last bin of a histogram that goes to the driver.
-HISTOGRAM_BINS = 1_000_000
+#: Bases of a sequence that are cut into k-mers together: each cut walks a short text only.
+CHUNK = 256
 
 
 def coverage_histogram(g: Graph, width: int = 5) -> DataFrame:
@@ -105,11 +105,26 @@ def peak_depth(histogram: list[tuple[int, int]]) -> int | None:
 
 
 def kmers(sequences: DataFrame, k: int = KMER, canonical: bool = True) -> DataFrame:
-    """read_id, pos and kmer of every place; the smaller of a k-mer and its reverse complement if canonical."""
-    n = F.length("sequence") - k
-    places = F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
-    rows = sequences.select("read_id", "sequence", F.explode(places).alias("pos")).select("read_id", "pos", F.col("sequence").substr(F.col("pos") + 1, F.lit(k)).alias("kmer"))
-    return rows.withColumn("kmer", F.least("kmer", reverse_complement(F.col("kmer")))) if canonical else rows
+    """read_id, pos and kmer of every place; the smaller of a k-mer and its reverse complement if canonical.
+
+    Sequences are cut into chunks first, each with the k - 1 bases behind it and its own reverse
+    complement, so that the work is in proportion to the length of a sequence.
+    """
+    size = max(CHUNK, k)
+    first = lambda parts: F.transform(
+        parts,
+        lambda c, i: F.struct((i * size).alias("base"), F.length(c).alias("own"), F.concat(c, F.coalesce(F.substring(F.get(parts, i + 1), 1, k - 1), F.lit(""))).alias("bases")),
+    )
+    parts = F.regexp_extract_all("sequence", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    rows = sequences.select("read_id", F.explode(F.flatten(F.transform(F.array(parts), first))).alias("c")).select("read_id", "c.*")
+    rows = rows.withColumn("turned", reverse_complement(F.col("bases"))) if canonical else rows
+    last = F.least(F.col("own") - 1, F.length("bases") - k)
+    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    rows = rows.select("*", F.explode(places).alias("at"))
+    kmer = F.col("bases").substr(F.col("at") + 1, F.lit(k))
+    if canonical:
+        kmer = F.least(kmer, F.col("turned").substr(F.length("bases") - F.col("at") - (k - 1), F.lit(k)))
+    return rows.select("read_id", (F.col("base") + F.col("at")).alias("pos"), kmer.alias("kmer"))
 
 
 def kmer_counts(sequences: DataFrame, k: int = KMER) -> DataFrame:
@@ -117,7 +132,8 @@ def kmer_counts(sequences: DataFrame, k: int = KMER) -> DataFrame:
 
 
 def count_histogram(counts: DataFrame) -> DataFrame:
-    return counts.groupBy(F.least("n", F.lit(HISTOGRAM_BINS)).alias("count")).agg(F.count("*").alias("n_kmers"))
+    """(count, n_kmers); distinct counts are at most the square root of twice the number of all k-mers."""
+    return counts.groupBy(F.col("n").alias("count")).agg(F.count("*").alias("n_kmers"))
 
 
 def read_depth(sequences: DataFrame, k: int = KMER) -> tuple[int | None, DataFrame]:

@@ -1,4 +1,10 @@
-"""Connected components of node tables by grouped minima and joins, round after round."""
+"""Connected components of link tables by alternating large and small stars, round after round.
+
+Every step is a grouped minimum and a lookup of it, so no list of neighbours is ever gathered;
+the minima of nodes with very many links are broadcast, a thousand at most, so that no task
+gets all links of a centre. Each round is written to the shared folder and the one before it
+deleted: the lineage stays short and a lost executor costs one round.
+"""
 
 from __future__ import annotations
 
@@ -6,34 +12,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators.graph import Graph
-from strandloom.plans.storage import numbered, stored
+from strandloom.plans.storage import dropped, looked_up, numbered, stored
+
+
+def _to_least(pairs: DataFrame, total: int) -> DataFrame:
+    """``pairs`` (a, b) with the least node among each a and its b."""
+    least = pairs.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"), F.count("*").alias("n"))
+    return looked_up(pairs, least, "a", "n", total)
+
 
+def _stars(pairs: DataFrame, larger: bool, total: int) -> DataFrame:
+    """Large star: larger neighbours move to the least one. Small star: smaller ones and the node itself do."""
+    if larger:
+        both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        moved = _to_least(both, 2 * total).filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    else:
+        down = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        joined = _to_least(down, total)
+        moved = joined.select("a", F.col("least").alias("b")).union(joined.select(F.col("b").alias("a"), F.col("least").alias("b")))
+    return moved.filter("a <> b").distinct()
 
-def label_components(nodes: DataFrame, links: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node_id, label): nodes (node_id), links (a, b) in any direction; the label is the component's least node.
 
-    Each round takes the least label of the neighbours and then the label of the label, so that
-    the number of rounds grows with the logarithm of a path's length.
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, component) of all nodes of ``pairs`` (a, b); the component is the least node of it.
+
+    Pairs of a node with itself, repeated ones and nulls tell nothing; without pairs there are no rows.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = stored(both, "links")
-    now = nodes.select("node_id", F.col("node_id").alias("label"))
-    for _ in range(rounds):
-        around = both.join(now, both["b"] == now["node_id"]).groupBy(F.col("a").alias("node_id")).agg(F.min("label").alias("near"))
-        nearer = now.join(around, "node_id", "left").select("node_id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        jump = now.select(F.col("node_id").alias("label"), F.col("label").alias("further"))
-        later = nearer.join(jump, "label").select("node_id", "old", F.least("label", "further").alias("label"))
-        later = stored(later, "labels")
-        changed = later.filter("old <> label").limit(1).count()
-        now = later.select("node_id", "label")
-        if not changed:
-            return now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    now, state = stored(pairs.select("a", "b").filter("a <> b").distinct(), "links"), None
+    while True:
+        total = now.count() if state is None else state[0]
+        later = stored(_stars(_stars(now, True, total), False, total), "links")
+        told = tuple(later.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        dropped(now)
+        now = later
+        if told == state:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        state = told
+
+
+def label_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node_id, label): nodes (node_id), links (a, b) in any direction; the label is the component's least node."""
+    found = components(links.select("a", "b")).withColumnRenamed("node", "node_id")
+    return nodes.select("node_id").join(found, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("label"))
 
 
 def component_numbers(g: Graph) -> DataFrame:
     """(node_id, component): from 1, in order of the first node seen of each component."""
-    labels = label_components(g.nodes, g.edges.select(F.col("src").alias("a"), F.col("tgt").alias("b")))
-    seen = labels.join(g.nodes.select("node_id", "first_seen"), "node_id").groupBy("label").agg(F.min("first_seen").alias("seen"))
-    numbers = numbered(seen, "number", "seen", "label").select("label", (F.col("number") + 1).alias("component"))
-    return labels.join(numbers, "label").select("node_id", "component")
+    labels = stored(label_components(g.nodes, g.edges.select(F.col("src").alias("a"), F.col("tgt").alias("b"))), "labels")
+    seen = labels.join(g.nodes.select("node_id", "first_seen"), "node_id").groupBy("label").agg(F.min("first_seen").alias("seen"), F.count("*").alias("n"))
+    numbers = numbered(seen, "number", "seen", "label").select("label", "n", (F.col("number") + 1).alias("component"))
+    return looked_up(labels, numbers, "label", "n", labels.count()).select("node_id", "component")

@@ -1,4 +1,4 @@
-"""Cutting lineage through the folder that driver and executors share."""
+"""Cutting lineage through the folder that driver and executors share, and joins that hot keys don't hold up."""
 
 from __future__ import annotations
 
@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, one is made on a single machine, and a cluster is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="strandloom-")
+        if held.isDefined():
+            base = held.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            base = tempfile.mkdtemp(prefix="strandloom-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -26,6 +32,29 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table made by ``stored`` once nothing reads it any more."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for f in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if "/strandloom/" in f:
+            path = jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``left`` left-joined with ``right``, whose ``key`` is unique and whose ``count`` says how many rows of ``left`` have it.
+
+    Keys of over a thousandth of ``total`` rows, a thousand of them at most, are broadcast, so
+    that no task gets all rows of a hot key; the rest are joined as Spark sees fit.
+    """
+    more = [c for c in right.columns if c not in (key, count)]
+    hot = right.filter(F.col(count) > total / 1000).select(key, F.struct(*more).alias("_hot"))
+    told = left.join(F.broadcast(hot), key, "left")
+    cold = told.filter("_hot is null").drop("_hot").join(right.filter(F.col(count) <= total / 1000).select(key, *more), key, "left")
+    return told.filter("_hot is not null").select(*left.columns, "_hot.*").unionByName(cold.select(*left.columns, *more))
+
+
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     """``df`` with a number from 0 in the order of some columns.
 

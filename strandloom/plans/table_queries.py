@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandloom.functions import tokens
 from strandloom.operators import filters, graph, paths, results, stats
 from strandloom.plans.queries import query
 from strandloom.plans.sequences import L1_GENES, event_reads, event_sql, order_reads, order_sql, table
@@ -83,19 +84,13 @@ def longest_sequence(spark, sf_dir):
 
 @query("WITH b AS (SELECT p_brand AS rname, max(p_size / 50) AS coverage, max(p_partkey % 97 / 97) AS match FROM part GROUP BY p_brand) SELECT rname, coverage >= 0.85 AS valid, rank() OVER (PARTITION BY coverage >= 0.85 ORDER BY least(1.0, coverage) DESC, match DESC) AS rank FROM b")
 def closest_reference(spark, sf_dir):
-    """Parts as alignments to their brand: of 97 query bases, p_partkey mod 97 are equal, and p_size of 50 are covered."""
+    """Parts as alignments to their brand, of 50 x 97 bases: of 97 query bases p_partkey mod 97 are equal, and p_size x 97 bases are covered."""
     n, size = (F.col("p_partkey") % 97).cast("int"), F.col("p_size").cast("int")
     op = lambda o, x: F.struct(F.lit(o).alias("op"), x.cast("int").alias("len"))
-    # Equal bases, then insertions up to 97 query bases; references are covered by deletions as far as size goes beyond.
-    equal = F.least(n, size)
-    part = table(spark, sf_dir, "part").select(F.lit(0).alias("flag"), F.col("p_brand").alias("rname"), F.col("p_partkey").cast("string").alias("qname"), F.array(op(7, n), op(1, F.lit(97) - n), op(2, F.lit(0))).alias("cigar"), size.alias("size"), equal.alias("equal"))
-    rows = part.select("rname", "qname", (F.col("size") / 50).alias("coverage"), results.cigar_sum(F.col("cigar"), 7).alias("m"))
-    best = rows.groupBy("rname").agg(F.max(F.col("m") / 97).alias("match"), F.max("coverage").alias("coverage"))
-    from pyspark.sql import Window
-
-    valid = F.col("coverage") >= 0.85
-    order = Window.partitionBy(valid).orderBy(F.desc(F.least(F.lit(1.0), "coverage")), F.desc("match"))
-    return best.select("rname", valid.alias("valid"), F.rank().over(order).cast("long").alias("rank"))
+    cigar = F.array(op(tokens.EQUAL, n), op(tokens.DIFF, F.lit(97) - n), op(tokens.DELETE, (size - 1) * 97))
+    align = table(spark, sf_dir, "part").select(F.lit(0).alias("flag"), F.col("p_brand").alias("rname"), F.col("p_partkey").cast("string").alias("qname"), cigar.alias("cigar"))
+    refs = align.select("rname").distinct().withColumn("length", F.lit(50 * 97))
+    return results.closest_alleles(align, refs, 0.9).select("rname", "valid", F.col("rank").cast("long").alias("rank"))
 
 
 @query(L3 + " SELECT DISTINCT read_id FROM calls ORDER BY md5('2024|' || read_id), read_id LIMIT 100")
