@@ -124,7 +124,7 @@ def sketch_scaled10(spark, sf_dir):
     return sketch.hashes(document_dna(spark, sf_dir), 11, 10).groupBy("read_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH RECURSIVE k AS (SELECT DISTINCT read_id, least(s, reverse(translate(s, 'ACGT', 'TGCA'))) AS kmer FROM (SELECT read_id, sequence[i:i + 8] AS s FROM ({_BENCH}), unnest(range(1, len(sequence) - 7)) AS t(i))), n AS (SELECT read_id, count(*) AS n FROM k GROUP BY read_id), link AS (SELECT a.read_id AS a, b.read_id AS b FROM k a JOIN k b ON a.kmer = b.kmer AND a.read_id <> b.read_id JOIN n x ON x.read_id = a.read_id JOIN n y ON y.read_id = b.read_id GROUP BY ALL HAVING count(*) / least(any_value(x.n), any_value(y.n)) >= 0.85), label(path_id, cluster) USING KEY (path_id) AS (SELECT read_id, read_id FROM n UNION SELECT l.b, min(c.cluster) FROM label c JOIN link l ON l.a = c.path_id JOIN recurring.label r ON r.path_id = l.b GROUP BY l.b, r.cluster HAVING min(c.cluster) < r.cluster) SELECT path_id, cluster FROM label")
 def sketch_clusters(spark, sf_dir):
     h = sketch.hashes(_benchmark_dna(spark, sf_dir), 9).withColumnRenamed("read_id", "path_id")
     return sketch.clusters(h, 0.85)
@@ -138,7 +138,7 @@ def alignment(spark, sf_dir):
     return pairs.select("id", arrays.align_udf("calls", "other").alias("aln")).select("id", arrays.snps(F.col("aln")).alias("snps"), arrays.indels(F.col("aln")).alias("indels"))
 
 
-@query()
+@query(L3 + _LISTS + ", two AS (SELECT CAST(x.read_id AS BIGINT) AS id, x.g AS a, y.g AS b FROM lists x JOIN lists y ON CAST(y.read_id AS BIGINT) = CAST(x.read_id AS BIGINT) + 1), part AS (SELECT id, a[i:j] AS run, i, j - i + 1 AS n FROM two, unnest(range(1, len(a) + 1)) AS t(i), unnest(range(1, len(a) + 1)) AS u(j) WHERE j >= i AND len(list_filter(range(1, len(b) + 1), lambda p: b[p:p + j - i] = a[i:j])) > 0), best AS (SELECT id, arg_min(run, (-n, i)) AS run FROM part GROUP BY id) SELECT two.id, coalesce(array_to_string(run, ','), '') AS run FROM two LEFT JOIN best ON two.id = best.id")
 def longest_common_run(spark, sf_dir):
     reads = order_reads(spark, sf_dir).select(F.col("read_id").cast("long").alias("id"), "calls")
     pairs = reads.join(reads.select((F.col("id") - 1).alias("id"), F.col("calls").alias("other")), "id")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from strandloom.operators import filters, graph, stats
 from strandloom.plans.components import component_numbers
 from strandloom.plans.queries import query
-from strandloom.plans.sequences import E0_GENES, L1_GENES, event_reads, event_sql, order_reads, order_sql
+from strandloom.plans.sequences import COMPONENTS_SQL, E0_GENES, L1_GENES, event_reads, event_sql, order_reads, order_sql, recursive
 
 E3, L3 = event_sql(3), order_sql(3)
+LC = recursive(L3) + COMPONENTS_SQL
 _NAMED = "list_transform(string_split(node_id, '~~~'), lambda g: g[2:])"
 _L_HOT = "list_has_any(" + _NAMED + f", {L1_GENES})"
 _FILTERED = """, kept AS (SELECT * FROM nodes WHERE coverage >= 3),
@@ -228,24 +229,24 @@ def bubble_starts(spark, sf_dir):
     return filters.bubble_starts(_orders(spark, sf_dir)).select("node_id", F.col("dir").cast("int").alias("dir"), "n")
 
 
-@query()
+@query(LC + " SELECT node_id, component FROM numbered")
 def components(spark, sf_dir):
     return component_numbers(_orders(spark, sf_dir))
 
 
-@query()
+@query(LC + ", best AS (SELECT component FROM numbered JOIN nodes USING (node_id) GROUP BY component HAVING max(coverage) >= 3) SELECT node_id, coverage FROM nodes JOIN numbered USING (node_id) JOIN best USING (component)")
 def component_coverage_filter(spark, sf_dir):
     g = _orders(spark, sf_dir).stored()
     return filters.strong_components(g, component_numbers(g), 3).nodes.select("node_id", "coverage")
 
 
-@query()
+@query(LC + " SELECT DISTINCT component, read_id FROM numbered JOIN mers USING (node_id)")
 def component_reads(spark, sf_dir):
     g = _orders(spark, sf_dir).stored()
     return component_numbers(g).join(g.read_nodes, "node_id").select("component", "read_id").distinct()
 
 
-@query()
+@query(LC + f", hot AS (SELECT read_id, any_value(n) >= 5 AS long_enough FROM calls GROUP BY read_id HAVING bool_or(gene[2:] IN ({', '.join(repr(g) for g in L1_GENES)}))), per AS (SELECT DISTINCT component, read_id FROM numbered JOIN mers USING (node_id)), told AS (SELECT component, avg(CAST(long_enough AS INT)) AS share FROM per JOIN hot USING (read_id) GROUP BY component) SELECT component, coalesce(share, 1) >= 0.8 AS valid FROM parts LEFT JOIN told USING (component)")
 def component_validity(spark, sf_dir):
     g = _orders(spark, sf_dir).stored()
     return filters.component_is_valid(g.reads, component_numbers(g), g.read_nodes, L1_GENES, 3)

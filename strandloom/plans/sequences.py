@@ -72,4 +72,18 @@ def order_sql(k: int, symbol: str = "p_brand") -> str:
     return "WITH " + _windows(_L_CALLS.format(symbol=symbol), k)
 
 
+#: Components of nodes and edges, after ``_windows``; each step only looks at nodes whose label has just fallen.
+COMPONENTS_SQL = """, label(node_id, label) USING KEY (node_id) AS (
+SELECT node_id, node_id FROM nodes
+UNION
+SELECT e.tgt, min(c.label) FROM label c JOIN edges e ON e.src = c.node_id JOIN recurring.label r ON r.node_id = e.tgt GROUP BY e.tgt, r.label HAVING min(c.label) < r.label),
+first AS (SELECT node_id, min({'read_id': read_id, 'pos': pos}) AS seen FROM mers GROUP BY node_id),
+parts AS (SELECT label, row_number() OVER (ORDER BY min(seen), label) AS component FROM label JOIN first USING (node_id) GROUP BY label),
+numbered AS (SELECT node_id, component FROM label JOIN parts USING (label))"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 DNA_SQL = "SELECT CAST(doc_id AS VARCHAR) AS read_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS sequence FROM documents"

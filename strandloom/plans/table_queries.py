@@ -136,7 +136,15 @@ def path_support(spark, sf_dir):
     return paths.path_places(reads, path).select("read_id")
 
 
-@query()
+_GML = """, kept AS (SELECT n.node_id, n.coverage, row_number() OVER (ORDER BY f.seen) - 1 AS number FROM nodes n JOIN (SELECT node_id, min({'read_id': read_id, 'pos': pos}) AS seen FROM mers GROUP BY node_id) f ON f.node_id = n.node_id WHERE n.coverage >= 3),
+r AS (SELECT node_id, string_agg(read_id, ',' ORDER BY read_id) AS reads FROM (SELECT DISTINCT node_id, read_id FROM mers) GROUP BY node_id)
+SELECT 0 AS part, 0 AS a, 0 AS b, 'graph' || chr(9) || '[' AS value
+UNION ALL SELECT 3, 0, 0, ']'
+UNION ALL SELECT 1, number, 0, replace(replace('>node>[|>>id ' || number || '|>>label "' || kept.node_id || '"|>>coverage ' || coverage || '|>>reads "' || reads || '"|>]', '>', chr(9)), '|', chr(10)) FROM kept JOIN r ON r.node_id = kept.node_id
+UNION ALL SELECT 2, s.number, t.number, replace(replace('>edge>[|>>source ' || s.number || '|>>target ' || t.number || '|>>source_direction ' || src_dir || '|>>target_direction ' || tgt_dir || '|>>weight ' || edges.coverage || '|>]', '>', chr(9)), '|', chr(10)) FROM edges JOIN kept s ON s.node_id = src JOIN kept t ON t.node_id = tgt"""
+
+
+@query(L3 + _GML)
 def gml(spark, sf_dir):
     g = filters.filter_graph(graph.build_graph(order_reads(spark, sf_dir), 3), 3, 1).stored()
     return writers.gml_lines(g)
