@@ -158,7 +158,11 @@ def merged_alignment(aln: Column) -> Column:
 def row_indices(aln: Column) -> Column:
     """Columns in which each row has no gap: struct<a: array<int>, b: array<int>>."""
     at = _range(0, F.size(aln) - 1)
-    return F.struct(*(F.filter(at, lambda i, r=r: F.get(aln, i)[r] != "*").alias(r) for r in ("a", "b")))
+
+    def without_gap(row: str) -> Column:
+        return F.filter(at, lambda i: F.get(aln, i)[row] != "*").alias(row)
+
+    return F.struct(without_gap("a"), without_gap("b"))
 
 
 # Plain Python versions of the quadratic ones, and the UDFs made of them.
