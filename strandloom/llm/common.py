@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -12,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.plans.storage import dropped, looked_up, shared_folder, stored
+
+__all__ = ["ascii_lower", "dropped", "let", "looked_up", "ready_for_checkpoints", "shared_folder", "space_words", "stored", "table", "text_or_empty", "worker_cache"]
+
 #: ASCII white space, as the contracts of the operators define it.
 SPACES = "\t\n\x0b\x0c\r "
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,55 +38,15 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="strandloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def ready_for_checkpoints(spark: SparkSession) -> None:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/strandloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by ``stored`` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for f in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        if "/strandloom/" in f:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def looked_up(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """``left`` left-joined with ``right``, whose ``key`` is unique and whose ``count`` says how many rows of ``left`` have it.
-
-    Keys of over a thousandth of ``total`` rows, a thousand of them at most, are broadcast, so
-    that no task gets all rows of a hot key; the rest are joined as Spark sees fit.
-    """
-    hot = right.filter(F.col(count) > total / 1000).select(key, F.struct(*(c for c in right.columns if c != key)).alias("_hot"))
-    told = left.join(F.broadcast(hot), key, "left")
-    cold = told.filter("_hot is null").drop("_hot").join(right.filter(F.col(count) <= total / 1000), key, "left")
-    return told.filter("_hot is not null").select(*left.columns, "_hot.*").unionByName(cold.select(*left.columns, *(c for c in right.columns if c != key)))
-
-
 _worker: tuple[str, Any] | None = None
 
 

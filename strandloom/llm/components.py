@@ -1,43 +1,5 @@
-"""Connected components of an edge table by alternating large and small stars.
+"""Connected components, as the graph of windows has them: hot centres are dealt out, rounds are stored."""
 
-Every step is a grouped minimum and a join, so no list of neighbours is ever gathered. Each
-round is written to the shared folder: the lineage stays short and a lost executor costs one
-round at most.
-"""
+from strandloom.plans.components import components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from strandloom.llm.common import dropped, stored
-
-
-def _least(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("least"))
-
-
-def _stars(pairs: DataFrame, larger: bool) -> DataFrame:
-    """Large star: larger neighbours move to the least one. Small star: smaller ones and the node itself do."""
-    if larger:
-        both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        moved = both.join(_least(both), "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    else:
-        down = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        joined = down.join(_least(down), "a")
-        moved = joined.select("a", F.col("least").alias("b")).union(joined.select(F.col("b").alias("a"), F.col("least").alias("b")))
-    return moved.filter("a <> b").distinct()
-
-
-def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of all nodes of ``pairs`` (a, b); the component is the least node of it."""
-    now, state = stored(pairs.select("a", "b").filter("a <> b").distinct(), "links"), None
-    for _ in range(rounds):
-        later = stored(_stars(_stars(now, True), False), "links")
-        told = later.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        dropped(now)
-        now = later
-        if tuple(told) == state:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        state = tuple(told)
-    raise RuntimeError(f"no fixed point after {rounds} rounds")
+__all__ = ["components"]

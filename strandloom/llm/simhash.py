@@ -17,7 +17,8 @@ so that no task holds more than two parts.
 
 Null and empty texts have fingerprint zero and are linked to each other and to near ones.
 Rows with a null doc_id are kept; they take the least id of their group, null if there is
-none. Repeated rows come out as often as they came in. Other columns are not read.
+none. Repeated rows come out as often as they came in. A text of any length is read whole, a
+part of its shingles at a time. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import stored, worker_cache
+from strandloom.llm.common import looked_up, stored, worker_cache
 from strandloom.llm.components import components
 
 SEED, RADIUS = 42, 4
@@ -192,12 +193,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     told = classes.agg(F.count("*").alias("classes"), F.sum("n").alias("rows")).first()
     groups = components(fingerprint_links(classes, told["classes"], radius))
     named = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = stored(named.join(least, "component").select("fp", "n", "component_id"), "named")
-
-    # At most 1000 fingerprints can have over a thousandth of the rows: those go by broadcast, so no task gets a hot one.
-    hot = named.filter(F.col("n") > (told["rows"] or 0) / 1000).select("fp", F.struct("component_id").alias("hot"))
-    out = fps.join(F.broadcast(hot), "fp", "left")
-    rest = out.filter("hot is null").drop("hot").join(named.select("fp", "component_id"), "fp")
-    out = out.filter("hot is not null").select("fp", "doc_id", "hot.component_id").unionByName(rest)
+    named = stored(named.select("fp", "n", "least", "component"), "labelled")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
+    # Neither the classes of a large component nor the rows of a frequent fingerprint meet in one task.
+    named = stored(looked_up(named, least, "component", "classes", told["classes"]).select("fp", "n", "component_id"), "named")
+    out = looked_up(fps, named, "fp", "n", told["rows"] or 0)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

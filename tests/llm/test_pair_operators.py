@@ -82,6 +82,13 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_near_duplicates_of_long_texts_beside_other_columns(spark):
+    long = " ".join(f"w{i % 977}" for i in range(200_000))
+    rows = [(9, long, "f", 1), (3, long, "f", 1), (4, long + " w5 w6", "f", 1), (7, "other words", "f", 1)]
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS + ", fp string, component int")).collect()}
+    assert {d: c for d, (_, c) in got.items()} == {9: 3, 3: 3, 4: 3, 7: 7} and got[9][0] == f"{brute_fingerprint(long):016x}"
+
+
 def test_components_of_a_long_path(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(pairs).collect()}
