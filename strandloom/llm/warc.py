@@ -7,9 +7,12 @@ and payloads are hashed anew whenever they are read, so that a damaged one is fo
 
 Of records with equal payloads that with the least page_id is the response and the others
 revisit it; payloads under ``least_bytes`` are responses always. A null html is an empty
-payload. Records with a null page_id come after all others; of equal rows the first read is
-the response. Control characters in a url are percent-encoded; a null url is empty. An
-empty table makes an empty archive. Other columns are not read.
+payload. Records with a null page_id come after all others; of rows with the same page_id one is
+the response and the others revisit it. Record ids are made from the row's number, so that equal
+rows have ids of their own; page ids stand in headers of the archive's own (``X-Page-Id`` and
+``X-Refers-To-Page-Id``), which are left out where they are null. Control characters in a url are
+percent-encoded; a null url is empty. Payloads may be as long as a column can hold. An empty
+table makes an empty archive. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,12 +23,13 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import looked_up, shared_folder, stored
+from strandloom.llm.common import dropped, looked_up, shared_folder, stored
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -54,17 +58,21 @@ def base32_sha1(body: Column) -> Column:
     return F.translate(F.concat(*groups), DIGITS32, BASE32)
 
 
-def _heads(kind: Column, url: Column) -> Column:
+def _heads(kind: Column, url: Column, date: str) -> Column:
     """The header bytes of a record, up to its payload."""
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
+    digits = lambda row: F.md5(F.concat(F.lit("record "), row.cast("string")))
+    record_id = lambda row: F.concat(F.lit("<urn:uuid:"), F.regexp_replace(digits(row), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), F.lit(">"))
+    own = lambda name, value: F.when(value.isNotNull(), line(name, value.cast("string"))).otherwise("")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     block = F.length(http) + F.when(kind == "response", F.col("bytes")).otherwise(0)
-    revisit = F.concat(line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("refers_to").cast("string"), F.lit("none")), F.lit(">"))), line("WARC-Profile", F.lit(PROFILE)))
+    revisit = F.concat(line("WARC-Refers-To", record_id(F.col("first_row"))), own("X-Refers-To-Page-Id", F.col("refers_to")), line("WARC-Profile", F.lit(PROFILE)))
     return F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", kind),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), page, F.lit(">"))),
+        line("WARC-Record-ID", record_id(F.col("row"))),
+        line("WARC-Date", F.lit(date)),
+        own("X-Page-Id", F.col("page_id")),
         line("WARC-Target-URI", url),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         F.when(kind == "revisit", revisit).otherwise(""),
@@ -75,8 +83,9 @@ def _heads(kind: Column, url: Column) -> Column:
     ).cast("binary")
 
 
-def write_archive(pages: DataFrame, path: str, least_bytes: int = 0) -> Archive:
-    """Write ``pages`` (page_id, url, html) as an archive."""
+def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, date: str | None = None) -> Archive:
+    """Write ``pages`` (page_id, url, html) as an archive; date: the WARC-Date of its records, that of writing by default."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     for c in "\r\n\t\0 ":
@@ -88,8 +97,9 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0) -> Archive:
     first = first.filter("n > 1")
     told = looked_up(rows, first, "digest", "n", rows.count())
     again = F.col("first.row").isNotNull() & (F.col("first.row") != F.col("row"))
-    told = told.select("page_id", "digest", "sha1", "bytes", "url", F.when(again, F.col("first.page_id")).alias("refers_to"), F.when(again, "revisit").otherwise("response").alias("kind"))
-    told.select("page_id", "digest", _heads(F.col("kind"), F.col("url")).alias("head")).write.parquet(f"{path}/headers")
+    told = told.select("row", "page_id", "digest", "sha1", "bytes", "url", F.when(again, F.col("first.row")).alias("first_row"), F.when(again, F.col("first.page_id")).alias("refers_to"), F.when(again, "revisit").otherwise("response").alias("kind"))
+    told.select("page_id", "digest", _heads(F.col("kind"), F.col("url"), date).alias("head")).write.parquet(f"{path}/headers")
+    dropped(rows)
     stock = pages.select(digest.alias("digest"), body.alias("body")).groupBy("digest").agg(F.count("*").alias("n_records"), F.first("body").alias("body"))
     stock.write.parquet(f"{path}/payloads")
     return Archive(pages.sparkSession, path)
@@ -111,8 +121,8 @@ def read_records(archive: Archive) -> DataFrame:
     head = F.decode("head", "UTF-8")
     rows = archive.headers.select("digest", head.alias("head"))
     kind = _field(F.col("head"), "WARC-Type")
-    page = lambda name: F.expr("try_cast(regexp_extract(head, '" + name + ": <urn:page:(-?[0-9]+)>', 1) AS BIGINT)")
-    rows = rows.select("digest", page("WARC-Record-ID").alias("page_id"), _field(F.col("head"), "WARC-Target-URI").alias("url"), kind.alias("record_type"), page("WARC-Refers-To").alias("refers_to"), _field(F.col("head"), "WARC-Payload-Digest").alias("named"))
+    page = lambda name: F.expr("try_cast(regexp_extract(head, '\\r\\n" + name + ": (-?[0-9]+)\\r', 1) AS BIGINT)")
+    rows = rows.select("digest", page("X-Page-Id").alias("page_id"), _field(F.col("head"), "WARC-Target-URI").alias("url"), kind.alias("record_type"), page("X-Refers-To-Page-Id").alias("refers_to"), _field(F.col("head"), "WARC-Payload-Digest").alias("named"))
     stock = verified_payloads(archive)
     told = looked_up(rows, stock, "digest", "n_records", rows.count())
     digest = F.when(F.concat(F.lit("sha1:"), F.col("sha1")) == F.col("named"), F.col("sha1")).otherwise(F.raise_error(F.concat(F.lit("no payload as in the header: "), F.col("named"))).cast("string"))
