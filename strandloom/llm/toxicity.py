@@ -11,6 +11,8 @@ Scoring reads whole texts, every row, on the executors; the model is a few thous
 Null and empty texts score by the intercept. Labels that are null are no labels; a document
 labelled twice is toxic if either label says so. Without labels, or with one class only, the
 score is the smoothed rate of the class. Rows with a null doc_id are scored and are not held out.
+Of labels only those of ids that occur count towards the sample, and of rows with one id only
+the least text is learnt from, so that the sample's bound holds. A text of any length is a set of words.
 Other columns are not read.
 """
 
@@ -174,8 +176,9 @@ def _chosen(features: dict[int, int]):
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, text: str = "text", sample: int = SAMPLE) -> Model:
     """A model from labelled rows for whose doc_id ``may_learn`` holds."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & may_learn).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.col(text).cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic")
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")  # of at most ``sample`` ids
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
     rows = rows.persist()
     try:
         totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
