@@ -6,7 +6,7 @@ total of them. Suffix sums over it give, for every context limit, the documents
 or above it and the tokens that remain when all documents are cut to it.
 
 Null and empty texts have length 0. Repeated rows count as often as they come. An empty table
-has an empty histogram. Other columns are not read.
+has an empty histogram. Texts are encoded whole, however long. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.llm.common import stored
 from strandloom.llm.tokens import encoder, vocabulary_path
 
 
@@ -37,17 +38,17 @@ def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str | None
 
 def context_limits(histogram: DataFrame) -> DataFrame:
     """Per distinct length L: totals below and from L on, the tokens kept at a limit of L, and the quantile that L is."""
-    up = Window.orderBy("length").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n, total = F.col("n_docs"), F.col("n_docs") * F.col("length")
-    out = histogram.select(
-        "length",
-        "n_docs",
-        F.sum(n).over(up).alias("docs_to"),
-        F.sum(total).over(up).alias("tokens_to"),
-        F.sum(n).over(down).alias("docs_from"),
-        F.sum(total).over(down).alias("tokens_from"),
-    )
+    # Sums within ranges of lengths, set off by the sums of the ranges before: one row per range meets in one task.
+    parts = int(histogram.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(histogram.repartitionByRange(parts, "length").withColumn("part", F.spark_partition_id()), "lengths")
+    sums = ranged.groupBy("part").agg(F.sum(n).alias("docs"), F.sum(total).alias("tokens"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(F.lit(1))
+    sums = sums.select("part", *(x for c in ("docs", "tokens") for x in (F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before"), F.sum(c).over(every).alias(f"{c}_all"))))
+    up = Window.partitionBy("part").orderBy("length").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ranged.join(F.broadcast(sums), "part").select("*", (F.sum(n).over(up) + F.col("docs_before")).alias("docs_to"), (F.sum(total).over(up) + F.col("tokens_before")).alias("tokens_to"))
+    out = out.select("length", "n_docs", "docs_to", "tokens_to", (F.col("docs_all") - F.col("docs_to") + n).alias("docs_from"), (F.col("tokens_all") - F.col("tokens_to") + total).alias("tokens_from"))
     whole = F.col("docs_to") + F.col("docs_from") - n
     return out.select(
         "*",
