@@ -50,12 +50,13 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def _repeat_words(hashes: Column, n: Column) -> Column:
+def _repeat_words(words: Column, hashes: Column, n: Column) -> Column:
     """Words inside three-word windows that occur twice or more.
 
-    Windows are compared by a 64-bit hash of their words' hashes whose lowest bits give way to the position: as many
-    bits as the word count needs. Sorting brings equal windows together, so no map and no
-    nested loop is needed.
+    Windows are sorted by a 64-bit hash of their words' hashes whose lowest bits give way to the position: as many
+    bits as the word count needs. That brings equal windows together, so no map and no
+    nested loop is needed; windows next to each other are then compared word by word. Up to two other windows of the
+    same hash may stand between equal ones.
     """
     bits = F.ceil(F.log2(n + F.lit(1))).cast("int")
 
@@ -66,8 +67,18 @@ def _repeat_words(hashes: Column, n: Column) -> Column:
 
         def twice(s: Column) -> Column:
             head = lambda x: F.call_function("shiftright", x, bits)
-            same = lambda x, j: head(x).eqNullSafe(head(F.get(s, j - 1))) | head(x).eqNullSafe(head(F.get(s, j + 1)))
             low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+            at = lambda x, k: F.get(words, x.bitwiseAND(low).cast("int") + k)
+
+            def equal(x: Column, y: Column) -> Column:
+                return head(x).eqNullSafe(head(y)) & (at(x, 0) == at(y, 0)) & (at(x, 1) == at(y, 1)) & (at(x, 2) == at(y, 2))
+
+            def same(x: Column, j: Column) -> Column:
+                back, on = F.get(s, j - 1), F.get(s, j + 1)
+                near = equal(x, back) | equal(x, on)
+                far = lambda y, k: head(x).eqNullSafe(head(y)) & (equal(x, F.get(s, j + 2 * k)) | equal(x, F.get(s, j + 3 * k)))
+                return F.coalesce(near, F.lit(False)) | F.coalesce(far(back, -1), F.lit(False)) | F.coalesce(far(on, 1), F.lit(False))
+
             return F.array_sort(F.transform(F.filter(s, same), lambda x: x.bitwiseAND(low)))
 
         runs = let(F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), packed)), twice)
@@ -92,7 +103,7 @@ def measures(text: Column) -> Column:
                 count(F.length(F.translate(text, SPACES, ""))).alias("word_chars"),
                 count(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"),
                 count(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
-                let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _repeat_words(h, n)).alias("n_repeat_words"),
+                let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _repeat_words(words, h, n)).alias("n_repeat_words"),
                 count(F.size(lines)).alias("n_lines"),
                 count(F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS)))).alias("n_stop_words"),
             ),
