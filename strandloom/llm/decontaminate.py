@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import LOWER, UPPER, let, text_or_empty
+from strandloom.llm.common import LOWER, UPPER, let, looked_up, stored, text_or_empty
 
 SPAN, GRAM = 13, 6
 WINDOW = SPAN - GRAM + 1
@@ -79,20 +79,25 @@ def _marked(v: Column, marks: list[int] | None) -> Column:
 
 
 def item_windows(items: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """One row per distinct window: its words, length, kept hash, the hash's offset, and the items that have it."""
+    """(wid, win, item): the distinct windows of each item; wid tells windows apart."""
     words = items.select(F.col(item_id).cast("string").alias("item"), item_words(text_or_empty(text)).alias("words"))
     n = F.size("words")
     start = F.explode(F.when(n >= SPAN, F.sequence(F.lit(0), n - SPAN)).when(n > 0, F.array(F.lit(0)))).alias("start")
     rows = words.filter(F.col("item").isNotNull()).select("item", "words", start)
     rows = rows.select("item", F.slice("words", F.col("start") + 1, F.lit(SPAN)).alias("win"))
-    rows = rows.groupBy("win").agg(F.collect_set("item").alias("items"))
-    rows = rows.withColumn("len", F.size("win"))
+    rows = rows.distinct().withColumn("wid", F.sha2(F.array_join("win", " "), 256))
+    return rows.select("wid", "win", "item")
+
+
+def window_marks(windows: DataFrame) -> DataFrame:
+    """One row per distinct window of (wid, win, ...): its words, length, kept hash and the hash's offset."""
+    rows = windows.select("wid", "win").distinct().withColumn("len", F.size("win"))
     rows = rows.withColumn("hashes", _word_hashes(F.col("win")))
     short = F.lit(None).cast("long")
     for k in range(1, SPAN):
         short = F.when(F.col("len") == k, _gram(F.col("hashes"), F.lit(0), k)).otherwise(short)
     mark = F.when(F.col("len") == SPAN, F.get(_kept(F.col("hashes")), F.lit(0))).otherwise(short)
-    return rows.select("win", "items", "len", mark.bitwiseAND(F.lit(HEAD)).alias("mark"), F.when(F.col("len") == SPAN, mark.bitwiseAND(F.lit(PLACE))).otherwise(F.lit(0)).cast("int").alias("off"))
+    return rows.select("wid", "win", "len", mark.bitwiseAND(F.lit(HEAD)).alias("mark"), F.when(F.col("len") == SPAN, mark.bitwiseAND(F.lit(PLACE))).otherwise(F.lit(0)).cast("int").alias("off"))
 
 
 def _hits(words: Column, short: list[int], marks: list[int] | None) -> Column:
@@ -129,7 +134,8 @@ def _covered(runs: Column) -> Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; ``row`` numbers the rows."""
-    windows = item_windows(items)
+    of_items = stored(item_windows(items), "windows")
+    windows = window_marks(of_items)
     kinds = windows.groupBy("len").count().collect()  # at most 13 rows
     short = sorted(r["len"] for r in kinds if r["len"] < SPAN)
     marks = None
@@ -145,10 +151,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     extended = F.slice("near", F.greatest(start - F.col("first"), F.lit(0)) + 1, F.col("len"))
     true = (start >= F.col("first")) & (extended == F.col("win"))
     out = row.join(windows, ["mark", "len"], "left")
-    out = out.select("row", "doc_id", "n_words", F.when(true, F.struct(start.alias("start"), F.col("len"))).alias("run"), F.when(true, F.col("items")).alias("items"))
-    out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_set("run").alias("runs"), F.collect_set("items").alias("items"))
-    ids = F.array_sort(F.array_distinct(F.flatten("items")))
+    out = out.select("row", "doc_id", "n_words", F.when(true, F.struct(start.alias("start"), F.col("len"))).alias("run"), F.when(true, F.col("wid")).alias("wid"))
+    out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_set("run").alias("runs"), F.array_sort(F.collect_set("wid")).alias("wids"))
+    out = stored(out.select("row", "doc_id", "n_words", _covered(F.col("runs")).alias("n_hit"), F.when(F.size("wids") > 0, F.sha2(F.array_join("wids", ""), 256)).alias("set"), "wids"), "hits")
+    # The items of a set of windows are listed once, however many documents have just that set.
+    sets = out.filter("set is not null").groupBy("set").agg(F.first("wids").alias("wids"), F.count("*").alias("rows"))
+    ids = sets.select("set", "rows", F.explode("wids").alias("wid")).join(of_items.select("wid", "item"), "wid").groupBy("set", "rows").agg(F.array_sort(F.collect_set("item")).alias("ids"))
+    told = stored(ids.select("set", "rows", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256")), "item_sets")
     hit, n = F.col("n_hit"), F.col("n_words")
-    return out.select("row", "doc_id", "n_words", _covered(F.col("runs")).alias("n_hit"), ids.alias("ids")).select(
-        "row", "doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), ((hit > 0) & (hit * 20 >= n)).alias("contaminated")
-    )
+    found = looked_up(out.filter("set is not null"), told, "set", "rows", out.count())
+    none = out.filter("set is null").withColumn("n_items", F.lit(0).cast("long")).withColumn("items_sha256", F.sha2(F.lit(""), 256))
+    both = found.select("row", "doc_id", "n_words", "n_hit", "n_items", "items_sha256").unionByName(none.select("row", "doc_id", "n_words", "n_hit", "n_items", "items_sha256"))
+    return both.select("*", ((hit > 0) & (hit * 20 >= n)).alias("contaminated"))
