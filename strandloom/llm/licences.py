@@ -6,13 +6,21 @@ is joined by hash with the digests of known licences, so that a text that is a l
 a whole is found however it is wrapped, punctuated or attributed. Each line is looked up in the
 same way among the known notices, of which there are a fixed number.
 
+Short licences are known by their text, long ones by the digest alone: Apache-2.0 (also its
+header by itself), GPL 1 to 3, LGPL 2 to 3, MPL 1.1 and 2.0, CC0-1.0, GFDL 1.2 and 1.3, Artistic
+1.0, MIT, ISC, 0BSD, BSD with 2 and 3 clauses, Unlicense and Zlib. The known side is a table of
+literals, a row of under 100 bytes for each text, and is broadcast. Other licences can be
+given as texts or digests.
+
 Null and empty texts and texts of copyright lines alone have the empty form and match nothing.
 Repeated rows are told one by one. Rows whose doc_id is null are kept. An empty table gives
-an empty result. Other columns are not read.
+an empty result. Texts are read whole, however long. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +77,35 @@ TEXTS: tuple[tuple[str, str], ...] = (
     ("Zlib", "zlib License\n" + _ZLIB),
     ("Apache-2.0-header", _APACHE_HEADER),
 )
+# Digests of the canonical forms of long licences, as a whole, and without the
+# appendix, before and behind the line that ends their terms.
+DIGESTS: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "3f3112fe3656909b8bf79c7ec7988f83a43b47aeadf2b7d62205aaf449d9f1be"),
+    ("Apache-2.0", "a59acb355ce555a1fa4343147138e7cf6fa02a8efa49c4b10b8a5b9e9ace8911"),
+    ("Apache-2.0", "93c166a0858ad5fc8ee860a087818d84b9afe007ed085d189dd32c12f841d3c6"),
+    ("Artistic-1.0-Perl", "de5e8896b763918701eb91e7bf8bf81f20a97c9f8dd1cacc44519e47d3462bf8"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "835e93c269f96ffb287b3c8c1c5d41482a48fe84971237b192ae3d0f85299142"),
+    ("GFDL-1.3", "2d23a1792689607291f114da9fdb3b413c6ef2346dfb9e4fafe0c5cf9b969da3"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0", "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
+    ("GPL-2.0", "a1e7ba14d8d85807f384435b77f91e925decc43da128311c991c4f2337e44017"),
+    ("GPL-2.0", "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999"),
+    ("GPL-3.0", "f3ab5ee40da170411ea6671f9845ada2aaba303ee57ba6086b373d1e66c9dc3f"),
+    ("GPL-3.0", "3d4de016a08e1d98b27dec755cdf4530b92807d97aaa185b32e12d52942b1943"),
+    ("GPL-3.0", "3dcf77ad8c25248618918aaff1de8a2cb80cea6ca922ef4a7a389cca96a7560b"),
+    ("LGPL-2.0", "e2c319279ddf282349927826fd110bdb5b471edc3a726a66fe333c8184a4b135"),
+    ("LGPL-2.0", "a745f6517e6dd821b7e0352067dcf8f32789a02694b661bfad965280370e9b1a"),
+    ("LGPL-2.0", "a07313094d4e63b099417491ebc80c933bf85c36d5afddbf13be9a11457c8513"),
+    ("LGPL-2.1", "13cd11e9ccd3aae212d64d9b0f62b3a67f21019c6a65212e582b2cbbeb91cb70"),
+    ("LGPL-2.1", "4656c6936fdab5334aa4c4800c6a7881ffce24f3abb1f578c24da0bbb2735d0a"),
+    ("LGPL-2.1", "bfe8e5dc6cef43d0c4777d9c1891f596159cda682ef40545ad2105f66b9746f1"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"),
+    ("MPL-2.0", "8f0473f9c917c507827dca355168119bb065ca1a9dab0e366988bcdba5fa039b"),
+)
 NOTICES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -109,21 +146,50 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_licences(spark: SparkSession, texts=TEXTS) -> DataFrame:
-    """(digest, licence) of the texts; one row per digest."""
-    rows = spark.createDataFrame(list(texts), "licence string, text string")
-    return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("licence").alias("licence"))
+def known_licences(spark: SparkSession, texts=TEXTS, digests=DIGESTS) -> DataFrame:
+    """(digest, licence) of texts and digests, both as (licence, value); one row per digest, the least name of several."""
+    rows = [F.struct(digest(F.lit(t)).alias("digest"), F.lit(name).alias("licence")) for name, t in texts]
+    rows += [F.struct(F.lit(d).alias("digest"), F.lit(name).alias("licence")) for name, d in digests]
+    table = spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return table.groupBy("digest").agg(F.min("licence").alias("licence"))
+
+
+def tell_tales(notices) -> str:
+    """A pattern that every line holds that is one of the notices: of each a long word, in all its spellings."""
+    chosen: list[str] = []
+    for _, text in notices:
+        text = text.lower()
+        for variant, one in SPELLINGS:
+            text = text.replace(variant, one)
+        words = re.findall(r"\w+", text)
+        if words and not set(words) & set(chosen):
+            chosen.append(max(words, key=len))
+    parts = []
+    for word in chosen:
+        part = re.escape(word)
+        for variant, one in SPELLINGS:
+            part = part.replace(re.escape(one), f"(?:{re.escape(one)}|{re.escape(variant)})")
+        parts.append(part)
+    return "(?iu)" + "|".join(parts) if parts else "(?!)"
 
 
 def licence_scan(docs: DataFrame, known: DataFrame | None = None, notices=NOTICES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, digest, licence (of the whole text, or null) and notices (licences named by lines, sorted)."""
-    spark = docs.sparkSession
-    known = known_licences(spark) if known is None else known
-    names = {r["digest"]: r["licence"] for r in known_licences(spark, notices).collect()}  # as many as NOTICES
+    """Per row: doc_id, digest, licence (of the whole text, or null) and notices (licences named by lines, sorted).
+
+    known: (digest, licence), one row per digest; it is broadcast only if Spark finds it small.
+    """
+    known = F.broadcast(known_licences(docs.sparkSession)) if known is None else known
     body = text_or_empty(text)
-    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike("(?i)licen[cs]e|released"))
-    named = F.transform(lines, digest)
-    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
-    found = F.array_sort(F.array_distinct(F.filter(F.transform(named, lambda d: F.try_element_at(table, d)), lambda x: x.isNotNull())))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), digest(body).alias("digest"), found.alias("notices"))
+    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(tell_tales(notices)))
+    table = F.map_from_entries(F.array(*(F.struct(digest(F.lit(t)), F.lit(name)) for name, t in dict((canonical_text(t), (n, t)) for n, t in sorted(notices, reverse=True)).values())))
+    found = F.array_sort(F.array_distinct(F.filter(F.transform(F.transform(lines, digest), lambda d: F.try_element_at(table, d)), lambda x: x.isNotNull())))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), digest(body).alias("digest"), (found if notices else F.array().cast("array<string>")).alias("notices"))
     return rows.join(known, "digest", "left").select("doc_id", "digest", "licence", F.array_join("notices", ",").alias("notices"))
+
+
+def canonical_text(text: str) -> str:
+    """The canonical form of a line without a copyright notice, to tell equal notices apart on the driver."""
+    text = text.lower()
+    for variant, one in SPELLINGS:
+        text = text.replace(variant, one)
+    return " ".join(re.findall(r"[^\W_]+", text))

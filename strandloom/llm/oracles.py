@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-from strandloom.llm.licences import NOTICES, SPELLINGS, TEXTS
+from strandloom.llm.licences import DIGESTS, NOTICES, SPELLINGS, TEXTS
 from strandloom.llm.quality import STOP_WORDS
 
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
@@ -49,11 +49,11 @@ b AS (
   SELECT page_id, strlen(body) AS payload_bytes,
     list_aggregate(list_transform(range(0, 160, 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(0, 5), lambda j:
       ((instr('0123456789abcdef', substr(h, 1 + CAST((i + j) // 4 AS INTEGER), 1)) - 1) >> CAST(3 - (i + j) % 4 AS INTEGER) & 1) << CAST(4 - j AS INTEGER))) AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
-    min(page_id) OVER (PARTITION BY body) AS first
-  FROM p)
+    row_number() OVER w AS nth, first_value(page_id) OVER w AS first
+  FROM p WINDOW w AS (PARTITION BY body ORDER BY page_id NULLS LAST))
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
-  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN first <> page_id THEN first END AS refers_to
+  CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN nth > 1 THEN first END AS refers_to
 FROM b
 """
 
@@ -72,7 +72,7 @@ def _table(rows) -> str:
 
 
 OP8 = f"""
-WITH known AS ({_table(TEXTS)}), notes AS ({_table(NOTICES)}),
+WITH known AS (SELECT digest, min(name) AS name FROM ({_table(TEXTS)} UNION ALL SELECT * FROM (VALUES {", ".join(f"('{d}', '{n}')" for n, d in DIGESTS)})) GROUP BY digest), notes AS ({_table(NOTICES)}),
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
 n AS (SELECT l.doc_id, string_agg(DISTINCT notes.name, ',' ORDER BY notes.name) AS notices FROM l JOIN notes ON {_canonical('line')} = notes.digest WHERE regexp_matches(line, '(?i)licen[cs]e|released') GROUP BY l.doc_id),

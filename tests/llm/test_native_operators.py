@@ -1,14 +1,19 @@
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from strandloom.llm import licences
 from strandloom.llm.decontaminate import decontaminate
 from strandloom.llm.licences import TEXTS, licence_scan
 from strandloom.llm.quality import Rule, quality_rules
+from strandloom.llm.queries import ORACLE_SQL, QUERIES
+from strandloom.llm.warc import archive_round_trip
 
 DOCS = "doc_id long, text string"
 
@@ -110,3 +115,63 @@ def test_licences(spark):
     got = sorted(((r["doc_id"], r["licence"], r["notices"]) for r in licence_scan(spark.createDataFrame(rows, DOCS)).collect()), key=str)
     assert got == sorted([(1, "MIT", ""), (1, "MIT", ""), (2, "BSD-3-Clause", ""), (3, None, ""), (4, None, ""), (5, None, "MIT"), (None, None, ""), (6, None, "")], key=str)
     assert licence_scan(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_licences_by_digest_and_other_notices(spark):
+    long = "Some Public Licence\n\nCopyright 2001 Somebody\n\n" + "You may copy it, and change it. " * 400
+    made = licences.known_licences(spark, [("Some-1.0", long)], [])
+    digest = made.first()["digest"]
+    known = licences.known_licences(spark, [("MIT", TEXTS[0][1])], [("Some-1.0", digest)])
+    docs = [(1, long.upper().replace("LICENCE", "LICENSE")), (2, long + " no"), (3, TEXTS[0][1]), (4, "x\nDo as you wish, by the Wish Favour.\n"), (5, "do AS you wish by the wish favor")]
+    rows = spark.createDataFrame([(*d, "d", "l", "n") for d in docs], DOCS + ", digest string, licence string, notices string")
+    got = {r["doc_id"]: (r["licence"], r["notices"]) for r in licence_scan(rows, known, [("Wish", "Do as you wish by the wish favour")]).collect()}
+    assert got == {1: ("Some-1.0", ""), 2: (None, ""), 3: ("MIT", ""), 4: (None, "Wish"), 5: (None, "Wish")}
+    assert licence_scan(rows, known, []).filter("notices <> ''").count() == 0
+    assert len({d for _, d in licences.DIGESTS}) == len(licences.DIGESTS) and all(re.fullmatch("[0-9a-f]{64}", d) for _, d in licences.DIGESTS)
+
+
+COMMON = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.exists(f"{COMMON}/GPL-3"), reason="this machine has no licence texts")
+def test_whole_long_licences(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = {name: open(f"{COMMON}/{f}").read() for f, name in files.items()}
+    rows = [(n, k, " ".join(t.split()).upper() if n % 2 else t) for n, (k, t) in enumerate(texts.items())] + [(99, None, texts["GPL-3.0"][:-2000])]
+    got = {r["doc_id"]: r["licence"] for r in licence_scan(spark.createDataFrame([(n, t, k) for n, k, t in rows], DOCS + ", licence string")).collect()}
+    flat = {n for n, k, _ in rows if n % 2 and "opyright (C)" in (texts.get(k) or "")}  # in one line a copyright notice takes the rest along
+    assert all(got[n] == k for n, k, _ in rows if n not in flat)
+
+
+def same_as_sql(df, sql, **tables):
+    con = duckdb.connect()
+    for name, rows in tables.items():
+        con.register(name, rows.toArrow())
+    expected = con.execute(sql).to_arrow_table()
+    rows = lambda t: sorted((tuple(str(r[c]) for c in sorted(t.column_names)) for r in t.to_pylist()), key=str)
+    got = df.toArrow()
+    assert sorted(got.column_names) == sorted(expected.column_names) and rows(got) == rows(expected)
+
+
+LONG = " ".join(f"w{i} the" for i in range(600))
+EDGES = [(1, None), (2, ""), (3, " \n\t "), (None, "the cat " * 60), (4, "a b c " * 40), (5, LONG), (5, LONG), (6, PASSAGE), (6, "x " + PASSAGE), (7, "Released under the MIT License.\nx"), (8, TEXTS[0][1])]
+
+
+@pytest.mark.parametrize("name", ["op4_benchmark_decontamination", "op8_licence_scan", "op9_quality_rules"])
+def test_edge_rows_as_in_sql(spark, tmp_path, name):
+    clash = "row long, words string, hits string, wid int, set int, quality string, digest string, kept int, item string, text2 string"
+    docs = spark.createDataFrame([(*r, 1, "w", "h", 2, 3, "q", "d", 4, "i", "t") for r in EDGES if r[0] != 6 or r[1] != PASSAGE], f"{DOCS}, {clash}")
+    items = spark.createDataFrame([(1, PASSAGE, "r"), (2, "x", "r"), (3, None, "r"), (1, PASSAGE, "r")], "item_id long, text string, wid string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet"), items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    unique = docs.filter("doc_id <> 5 or doc_id is null").unionByName(docs.filter("doc_id = 5").limit(1)).filter("doc_id is not null")
+    unique.write.parquet(f"{tmp_path}/one/documents.parquet"), items.write.parquet(f"{tmp_path}/one/benchmark.parquet")
+    assert QUERIES[name](spark, str(tmp_path)).count() == docs.count()
+    same_as_sql(QUERIES[name](spark, f"{tmp_path}/one"), ORACLE_SQL[name], documents=unique, benchmark=items)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(1, 4)), st.sampled_from([None, "", "a", "é b"])), min_size=1, max_size=9))
+def test_archives_as_in_sql(spark, rows):
+    pages = spark.createDataFrame([(p, "u", h, "d", "f") for p, h in rows], "page_id long, url string, html string, digest string, first string")
+    out = archive_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    same_as_sql(out, ORACLE_SQL["op1_warc_archive"], pages=pages)

@@ -187,6 +187,25 @@ def test_toxicity_learns_words_and_not_groups(spark):
     assert got[9004]["score"] == got[9005]["score"] < 0.5
 
 
+def test_swapping_the_group_moves_no_score(spark):
+    rows, labels = corpus()
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = tox.train(docs, marks, F.lit(True))
+    for text in ("word1 muslims word2", "idiot muslims word3", "scum women word9 word4"):
+        own = model.logits([text], {})[0]
+        for swapped in (tox.swapped(tox.words_of(text)), tox.neutral(tox.words_of(text))):
+            assert abs(model.logits([" ".join(w.decode() for w in swapped)], {})[0] - own) < 0.35
+
+
+def test_repeated_ids_and_foreign_labels_keep_the_bound(spark):
+    rows, labels = corpus(200)
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows] * 3 + [(0, "word1 " * 100_000, "x", 1)], DOCS + ", toxic string, feature int")
+    marks = spark.createDataFrame([*labels, *((i, 1, 1) for i in range(10**6, 10**6 + 500))], "doc_id long, quality int, toxic int")
+    model = tox.train(docs, marks, F.lit(True), sample=200)
+    again = tox.train(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.lit(True))
+    assert set(model.features) == set(again.features) and tox.toxicity(docs, marks).count() == docs.count()
+
+
 def test_swap_penalty_evens_out_groups():
     x = tox.Sparse.of([[(0, 1.0), (1, 1.0)], [(0, 1.0)], [(2, 1.0)], [(3, 1.0)]] * 20, 4)
     y = np.array([1, 1, 0, 0] * 20, float)
@@ -216,6 +235,25 @@ def test_token_counts(spark):
     assert context_limits(length_histogram(docs.limit(0))).count() == 0
 
 
+def test_token_counts_against_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    from strandloom.llm.tokens import vocabulary_path
+
+    rng, tokenizer = np.random.default_rng(4), Tokenizer.from_file(vocabulary_path())
+    words = ["thing", "Word,", "naïve", "don't", "42", "漢字", "İ", "\n", "x" * 90]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 40))) for _ in range(300)] + [None, "", "long " * 50_000]
+    lengths = [len(tokenizer.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    docs = spark.createDataFrame([(1, t, 7, "x", 3) for t in texts], DOCS + ", length int, part string, n_docs int")
+    got = {r["length"]: r for r in context_limits(length_histogram(docs)).collect()}
+    assert sorted(got) == sorted(set(lengths))
+    for n, r in got.items():
+        below, above = [x for x in lengths if x <= n], [x for x in lengths if x >= n]
+        assert (r["n_docs"], r["docs_to"], r["tokens_to"], r["docs_from"], r["tokens_from"]) == (lengths.count(n), len(below), sum(below), len(above), sum(above))
+        assert (r["tokens_kept"], r["tokens_cut"]) == (sum(min(x, n) for x in lengths), sum(max(0, x - n) for x in lengths))
+        assert r["quantile"] == pytest.approx(len(below) / len(lengths))
+
+
 # Language model.
 
 
