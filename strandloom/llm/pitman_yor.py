@@ -1,60 +1,63 @@
 """A hierarchical Pitman-Yor language model, seated by Gibbs sampling, that scores every text.
 
-Every token is drawn in the restaurant of its context. Contexts form a tree: the class of the
-word before (``CONTEXTS`` of them, by its last bytes and its hash) shares a parent with all
-classes of the same last bytes (``ENDINGS``), those share the root, and the root's base is
-uniform over the training vocabulary and one unknown word. Tables of a restaurant are
-customers of its parent.
-
-The seating is distributed by word: all that a word eats, at every level, is in one partition,
-and restaurants know of each other only by their totals, which are summed up over all
-partitions between sweeps (a few thousand numbers, whatever the corpus). A sweep draws anew, for
+Every token is drawn in the restaurant of its context, the word before. All contexts share the
+root, and the root's base is uniform over the training vocabulary and one unknown word. Tables
+of a restaurant are customers of its parent. There are as many restaurants as the corpus has
+words; words and contexts are told by 64-bit hashes.
+
+Texts are read in blocks. Each block sends its distinct pairs (word, context) with their counts
+to the partition of the word, and keeps which of its rows the pairs are of as a home row; both
+are checkpointed. A partition seats all pairs of its words. What it needs from others are the
+totals of the contexts that it meets: it sends its own part to the owner of each context and
+gets the sums back, before the first sweep and after each. A sweep draws anew, for
 each restaurant and dish, the number of tables from its exact conditional given everything else,
 by generalised Stirling numbers; those of dishes of over ``STIRLING`` customers come from an
-integral instead of a table. The first sweep is burn-in; the predictive
-probabilities of the later ones are averaged, each with the totals of its own seating.
-
-Tokens are routed to their word's partition once and checkpointed. Words of over a share of
-1 / ``HEAVY`` of all training tokens, ``HEAVY`` words at most, aren't routed: their counts are
-summed up before the shuffle, seated on the driver as one more partition, and broadcast as a
-table with a fixed bound. So no partition gets a hot word, and the rest of the words are
-spread by hash over as many partitions as the corpus needs. Words are known by 64-bit hashes.
-
-Null and empty texts are the end token alone. Repeated rows count and are scored as often as they
-come. Rows with null doc_ids train and are not held out. Without training tokens all counts
-are zero and the score is that of the base. An empty table gives an empty result.
+integral instead of a table. The first ``BURN_IN`` sweeps are not used; the predictive
+probabilities of the later ones are averaged, each with the totals of its own seating, and go
+back to the home rows, which sum them up.
+
+Words of over a share of 1 / ``HEAVY`` of all training tokens (2 * ``HEAVY`` words at most) are
+frequent: their pairs are spread over the partitions by word and context, so that no partition
+gets a hot word; the partitions' sums of their tables are seated in the root on the driver, as
+one more partition of bounded size; and messages name them by two bytes. Any other word brings at
+most a share of 1 / ``HEAVY`` of the tokens into its partition. Random numbers are
+seeded by partition and sweep, so scores don't depend on how the input is split.
+
+Null and empty texts are the end token alone. Very long texts are blocks of their own. Repeated
+rows count and are scored as often as they come. Rows with null doc_ids train and are not held
+out. Without training tokens all counts are zero and the score is that of the base. An empty
+table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import ready_for_checkpoints, stored, worker_cache
+from strandloom.llm.common import dropped, ready_for_checkpoints, stored, worker_cache
 
-ENDINGS, PER_ENDING = 64, 32
-CONTEXTS = ENDINGS * PER_ENDING
-HEAVY = 2048
-DISCOUNT = (0.75, 0.7, 0.6)
-STRENGTH = (1.0, 5.0, 20.0)
-SWEEPS, BURN_IN = 3, 1
+HEAVY = 32767
+DISCOUNT = (0.75, 0.6)
+STRENGTH = (1.0, 20.0)
+SWEEPS, BURN_IN = 4, 1
 STIRLING = 128
 FLUSH_CHARS = 6 << 20
-LEAST_PARTITIONS, TOKENS_EACH = 96, 1_000_000
+LEAST_PARTITIONS, TOKENS_EACH = 96, 2_000_000
 END, SEED = b"\n", 7
+ESCAPE = 65535
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 class Block:
-    """Tokens of some consecutive rows: codes into ``hashes``, contexts, and the row each is of."""
+    """Tokens of some consecutive rows: codes into ``hashes``, codes of the words before, and the row each is of."""
 
     def __init__(self, texts: list[str]):
         raw = pa.array([t.encode().translate(_TABLE) for t in texts], pa.large_binary()).cast(pa.large_string())
@@ -76,10 +79,7 @@ class Block:
         self.row = np.repeat(np.arange(len(texts)), per + 1)
         self.n = per + 1
         self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        tail = np.fromiter((xxhash.xxh32_intdigest(w[-3:]) for w in words), np.int64, len(words)) % ENDINGS
-        group = tail * PER_ENDING + (self.hashes % np.uint64(PER_ENDING)).astype(np.int64)
-        before = np.r_[len(words) - 1, self.code[:-1]]  # the end token of the text before stands for the start
-        self.context = group[before].astype(np.uint16)
+        self.before = np.r_[len(words) - 1, self.code[:-1]]  # the end token of the text before stands for the start
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, pa.RecordBatch]]:
@@ -95,112 +95,148 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, pa.Recor
                 at, size = i + 1, 0
 
 
+def _learning(rows: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(rows.column(3).to_numpy(zero_copy_only=False), bool)
+
+
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block the training tokens, under hash 0, and the words that may be heavy."""
+    """Per block the training tokens, under hash 0, and the words that may be frequent."""
     for block, rows in _blocks(batches):
-        learns = np.asarray(rows.column(3).to_numpy(zero_copy_only=False), bool)
-        n = np.bincount(block.code[learns[block.row]], minlength=len(block.hashes))
+        n = np.bincount(block.code[_learning(rows)[block.row]], minlength=len(block.hashes))
         often = np.flatnonzero(n * HEAVY * 2 >= n.sum()) if n.sum() else np.zeros(0, int)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.uint64(0), block.hashes[often]].view(np.int64)), pa.array(np.r_[n.sum(), n[often]])], ["hash", "n"])
 
 
-def _routed(heavy: np.ndarray, partitions: int):
-    """Each block's tokens by the partition of their word; counts of heavy words go to any."""
+# Arrays as bytes.
+
+
+def _packed(x: np.ndarray, kind) -> bytes:
+    raw = np.ascontiguousarray(x, kind).tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def _unpacked(x: bytes, kind) -> np.ndarray:
+    n = int.from_bytes(x[:8], "little")
+    return np.frombuffer(pa.decompress(x[8:], n, "zstd", asbytes=True) if n else b"", kind)
+
+
+def _place(book: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Where each hash is in the sorted book, or ``ESCAPE``."""
+    if not len(book):
+        return np.full(len(hashes), ESCAPE)
+    at = np.minimum(np.searchsorted(book, hashes), len(book) - 1)
+    return np.where(book[at] == hashes, at, ESCAPE)
+
+
+def _named(place: np.ndarray, hashes: np.ndarray) -> tuple[bytes, bytes]:
+    return _packed(place, np.uint16), hashes[place == ESCAPE].tobytes()
+
+
+def _hashes(place: bytes, rest: bytes, book: np.ndarray) -> np.ndarray:
+    at = _unpacked(place, np.uint16)
+    out = np.empty(len(at), np.uint64)
+    out[at == ESCAPE] = np.frombuffer(rest, np.uint64)
+    out[at != ESCAPE] = book[at[at != ESCAPE]]
+    return out
+
+
+def _owner(hashes: np.ndarray, partitions: int) -> np.ndarray:
+    return ((hashes >> np.uint64(20)) % np.uint64(partitions)).astype(np.int64)
+
+
+_ROUTED = ("kind", "part", "first", "words", "words_rest", "pairs", "contexts", "contexts_rest", "trained", "doc_ids")
+
+
+def _routed(book: np.ndarray, partitions: int):
+    """Each block's pairs by the partition of their word (kind 0), and its home row (kind 1).
+
+    A home row has the rows of its tokens and how often each pair comes, both in the order of the
+    pairs over all partitions, and the ids and tokens of its rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _blocks(batches):
-            first = rows.column(0)[0].as_py()
-            learns = np.asarray(rows.column(3).to_numpy(zero_copy_only=False), bool)
-            at = np.searchsorted(heavy, block.hashes)
-            is_heavy = np.zeros(len(block.hashes), bool) if not len(heavy) else heavy[np.minimum(at, len(heavy) - 1)] == block.hashes
-            known = is_heavy[block.code]
-            trained = known & learns[block.row]
-            key, n = np.unique(at[block.code[trained]] * CONTEXTS + block.context[trained], return_counts=True)
-            out = [(-1, first % partitions, first, b"", key.astype(np.int64).tobytes(), n.astype(np.int64).tobytes(), b"", b"")]
-            part = (block.hashes >> np.uint64(20)) % np.uint64(partitions)
-            code, row, context = block.code[~known], block.row[~known], block.context[~known]
-            order = np.lexsort((code, part[code]))
-            code, row, context = code[order], row[order].astype(np.uint16), context[order]
-            bounds = np.searchsorted(part[code], np.arange(partitions + 1, dtype=np.uint64))
-            bits = np.packbits(learns).tobytes()
+            first, size = rows.column(0)[0].as_py(), len(block.hashes)
+            key, of, tokens = np.unique(block.code * size + block.before, return_inverse=True, return_counts=True)
+            trained = np.bincount(of, _learning(rows)[block.row], len(key)).astype(np.int64)
+            word, context = np.divmod(key, size)
+            place = _place(book, block.hashes)
+            mixed = block.hashes[word] ^ np.where(place[word] == ESCAPE, np.uint64(0), block.hashes[context] * np.uint64(0x9E3779B97F4A7C15))
+            part = _owner(mixed, partitions)
+            order = np.argsort(part, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            of_row = block.row[np.argsort(rank[of], kind="stable")]
+            ids = rows.column(1)
+            home = (1, first % partitions, first, _packed(of_row, np.uint16), b"", _packed(tokens[order], np.uint32), _packed(block.n, np.uint32), b"", b"")
+            word, context, trained = word[order], context[order], trained[order]
+            bounds = np.searchsorted(part[order], np.arange(partitions + 1))
+            out = [home]
             for p in np.flatnonzero(np.diff(bounds)).tolist():
                 a, b = bounds[p], bounds[p + 1]
-                uniq, counts = np.unique(code[a:b], return_counts=True)
-                out.append((0, p, first, block.hashes[uniq].tobytes(), counts.astype(np.uint32).tobytes(), row[a:b].tobytes(), context[a:b].tobytes(), bits))
-            kinds = (pa.int32(), pa.int32(), pa.int64(), *(pa.binary(),) * 5)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["kind", "part", "first", "hashes", "counts", "rows", "contexts", "learns"])
+                at = np.flatnonzero(np.r_[True, word[a + 1 : b] != word[a : b - 1]])
+                uniq, u = word[a:b][at], context[a:b]
+                out.append((0, p, first, *_named(place[uniq], block.hashes[uniq]), _packed(np.diff(np.r_[at, b - a]), np.uint32), *_named(place[u], block.hashes[u]), _packed(trained[a:b], np.uint32)))
+            kinds = (pa.int32(), pa.int32(), pa.int64(), *(pa.binary(),) * 6)
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * len(out), pa.int32()), ids)
+            yield pa.RecordBatch.from_arrays([*columns, lists], _ROUTED)
 
     return run
 
 
-class Seating:
-    """All restaurants of some words: pairs (word, context) with their customers and tables at each level."""
+def _predictive(c, t, level: int, customers, tables, parent):
+    d, s = DISCOUNT[level], STRENGTH[level]
+    return (c - d * t + (s + d * tables) * parent) / (s + customers)
+
+
+@dataclass
+class Root:
+    """The root's totals over all partitions, and its dishes of frequent words."""
 
-    def __init__(self, word: np.ndarray, context: np.ndarray, count: np.ndarray, words: int):
-        """Pairs sorted by word, then context."""
-        self.words, self.word, self.u1, self.c1 = words, word, context.astype(np.int64), count.astype(np.int64)
-        key, self.up = np.unique(word * ENDINGS + self.u1 // PER_ENDING, return_inverse=True)
-        self.w2, self.u2 = key // ENDINGS, key % ENDINGS
-        self.t1, self.t2 = np.ones(len(word), np.int64), np.ones(len(key), np.int64)
-        self.t3 = np.zeros(words, np.int64)
-        self.t3[word] = 1
+    customers: float
+    tables: float
+    distinct: int
+    c: np.ndarray
+    t: np.ndarray
 
     @property
-    def c2(self) -> np.ndarray:
-        return np.bincount(self.up, self.t1, len(self.t2)).astype(np.int64)
+    def base(self) -> float:
+        return 1.0 / (self.distinct + 1)
+
+
+class Seating:
+    """The restaurants' dishes of some words, and the root's dishes of those that are no frequent ones."""
+
+    def __init__(self, word: np.ndarray, context: np.ndarray, count: np.ndarray, place: np.ndarray):
+        """Distinct pairs with their customers; ``place`` of each word among the frequent ones, or ``ESCAPE``."""
+        self.word, self.context, self.c, self.place = word, context, count.astype(np.int64), place
+        self.own = place == ESCAPE
+        self.t = np.ones(len(word), np.int64)
+        self.root_t = np.minimum(self.root_c, 1)
 
     @property
-    def c3(self) -> np.ndarray:
-        return np.bincount(self.w2, self.t2, self.words).astype(np.int64)
-
-    def totals(self) -> np.ndarray:
-        """Customers of contexts; tables of contexts, endings and the root; distinct words."""
-        return np.r_[np.bincount(self.u1, self.c1, CONTEXTS), np.bincount(self.u1, self.t1, CONTEXTS), np.bincount(self.u2, self.t2, ENDINGS), self.t3.sum(), len(np.unique(self.word))]
-
-    def sweep(self, totals: Totals, rng: np.random.Generator) -> None:
-        root, middle = self.root(totals), self.middle(totals)
-        self.t1 = _tables(self.c1, self.t1, 0, totals.t1[self.u1], middle[self.up], rng)
-        self.t2 = _tables(c2 := self.c2, np.minimum(self.t2, c2), 1, totals.t2[self.u2], root[self.w2], rng)
-        c3, eaten = self.c3, np.flatnonzero(self.c3)
-        self.t3[eaten] = _tables(c3[eaten], np.minimum(self.t3[eaten], c3[eaten]), 2, np.full(len(eaten), totals.t3), np.full(len(eaten), totals.base), rng)
-
-    def root(self, totals: Totals) -> np.ndarray:
-        return _predictive(self.c3, self.t3, 2, totals.c3, totals.t3, totals.base)
-
-    def middle(self, totals: Totals) -> np.ndarray:
-        return _predictive(self.c2, self.t2, 1, totals.c2[self.u2], totals.t2[self.u2], self.root(totals)[self.w2])
-
-    def probabilities(self, totals: Totals, word: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Of any (word, context), eaten before or not; word -1 is one never eaten."""
-        context = context.astype(np.int64)
-        ending = context // PER_ENDING
-        unknown = totals.base * (STRENGTH[2] + DISCOUNT[2] * totals.t3) / (STRENGTH[2] + totals.c3)
-        p = np.where(word < 0, unknown, np.r_[self.root(totals), unknown][word])
-        c, t = _found(self.w2 * ENDINGS + self.u2, word * ENDINGS + ending, self.c2, self.t2)
-        p = _predictive(c, t, 1, totals.c2[ending], totals.t2[ending], p)
-        c, t = _found(self.word * CONTEXTS + self.u1, word * CONTEXTS + context, self.c1, self.t1)
-        return _predictive(c, t, 0, totals.c1[context], totals.t1[context], p)
-
-
-class Totals:
-    def __init__(self, x: np.ndarray):
-        self.c1, self.t1, self.t2 = x[:CONTEXTS], x[CONTEXTS : 2 * CONTEXTS], x[2 * CONTEXTS : 2 * CONTEXTS + ENDINGS]
-        self.t3, self.distinct = float(x[-2]), int(x[-1])
-        self.c2, self.c3 = self.t1.reshape(ENDINGS, PER_ENDING).sum(1), float(self.t2.sum())
-        self.base = 1.0 / (self.distinct + 1)
-
-
-def _found(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    if not len(keys):
-        return [np.zeros(len(wanted)) for _ in values]
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    hit = keys[at] == wanted
-    return [np.where(hit, v[at], 0) for v in values]
+    def root_c(self) -> np.ndarray:
+        return np.bincount(self.word, self.t, len(self.place)).astype(np.int64)
 
+    def root(self, root: Root) -> np.ndarray:
+        """The root's probability of every word."""
+        c, t = self.root_c, self.root_t.copy()
+        shared = ~self.own
+        c[shared], t[shared] = root.c[self.place[shared]], root.t[self.place[shared]]
+        return _predictive(c, t, 1, root.customers, root.tables, root.base)
 
-def _predictive(c, t, level: int, customers, tables, parent):
-    d, s = DISCOUNT[level], STRENGTH[level]
-    return (c - d * t + (s + d * tables) * parent) / (s + customers)
+    def sweep(self, tables: np.ndarray, root: Root, rng: np.random.Generator) -> None:
+        """tables: of each context, over all partitions, before this sweep."""
+        self.t = _tables(self.c, self.t, 0, tables[self.context], self.root(root)[self.word], rng)
+        c = self.root_c
+        eaten = np.flatnonzero((c > 0) & self.own)
+        self.root_t = np.minimum(self.root_t, c)
+        self.root_t[eaten] = _tables(c[eaten], self.root_t[eaten], 1, np.full(len(eaten), root.tables), np.full(len(eaten), root.base), rng)
+
+    def probabilities(self, word, context, c, t, customers: np.ndarray, tables: np.ndarray, root: Root) -> np.ndarray:
+        """Of pairs that c customers at t tables have eaten, or none; customers and tables of each context."""
+        return _predictive(c, t, 0, customers[context], tables[context], self.root(root)[word])
 
 
 _stirling: dict[int, np.ndarray] = {}
@@ -354,117 +390,140 @@ def _many_tables(c: np.ndarray, level: int, others: np.ndarray, parent: np.ndarr
     return out
 
 
-class _Words:
-    """The tokens of one partition."""
-
-    def __init__(self, batches: Iterator[pa.RecordBatch]):
-        hashes, counts, rows, contexts, learns, blocks = [], [], [], [], [], []
-        for batch in batches:
-            kind = batch.column(0).to_pylist()
-            for i in (i for i, k in enumerate(kind) if k == 0):
-                first, h, n, r, u, bits = (batch.column(c)[i].as_py() for c in range(2, 8))
-                hashes.append(np.frombuffer(h, np.uint64)), counts.append(np.frombuffer(n, np.uint32))
-                rows.append(np.frombuffer(r, np.uint16)), contexts.append(np.frombuffer(u, np.uint16))
-                learns.append(np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)[rows[-1]])
-                blocks.append((first, len(rows[-1])))
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.hashes, code = np.unique(join(hashes, np.uint64), return_inverse=True)
-        self.word = np.repeat(code, join(counts, np.uint32))
-        self.rows, self.context, self.learns, self.blocks = rows, join(contexts, np.uint16), join(learns, bool), blocks
-        key, n = np.unique(self.word[self.learns] * CONTEXTS + self.context[self.learns], return_counts=True)
-        self.seating = Seating(key // CONTEXTS, key % CONTEXTS, n, len(self.hashes))
+class _Part:
+    """The pairs of one partition, from the messages of all blocks. Nothing depends on their order but ``pairs``."""
+
+    def __init__(self, messages: pa.Table, book: np.ndarray, partitions: int):
+        worker_cache("pitman_yor")
+        rows = messages.select(_ROUTED[1:9]).to_pylist()
+        self.part = rows[0]["part"]
+        words = [_hashes(r["words"], r["words_rest"], book) for r in rows]
+        per = [_unpacked(r["pairs"], np.uint32) for r in rows]
+        contexts = [_hashes(r["contexts"], r["contexts_rest"], book) for r in rows]
+        self.blocks = [(r["first"], len(c)) for r, c in zip(rows, contexts, strict=True)]
+        trained = np.concatenate([_unpacked(r["trained"], np.uint32) for r in rows])
+        hashes, word = np.unique(np.concatenate(words), return_inverse=True)
+        self.contexts, context = np.unique(np.concatenate(contexts), return_inverse=True)
+        key, self.pairs = np.unique(np.repeat(word, np.concatenate(per)) * len(self.contexts) + context, return_inverse=True)
+        self.word, self.context = np.divmod(key, len(self.contexts))
+        self.count = np.bincount(self.pairs, trained, len(key)).astype(np.int64)
+        self.eaten = np.flatnonzero(self.count)
+        self.seating = Seating(self.word[self.eaten], self.context[self.eaten], self.count[self.eaten], _place(book, hashes))
+        owner = _owner(self.contexts, partitions)
+        self.order = np.argsort(owner, kind="stable")
+        self.bounds = np.searchsorted(owner[self.order], np.arange(partitions + 1))
+
+    def restore(self, state: dict) -> None:
+        s = self.seating
+        s.t[s.c > 1] = _unpacked(state["b"], np.uint32)
+        s.root_t = _unpacked(state["c"], np.uint32).astype(np.int64)
+
+    def totals(self, sums: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of each context, from the rows of their owners."""
+        sums = sorted(sums, key=lambda r: r["to"])
+        out = np.zeros((2, len(self.contexts)), np.int64)
+        for x, name in zip(out, "bc", strict=True):
+            x[self.order] = np.concatenate([_unpacked(r[name], np.uint32) for r in sums])
+        return out[0], out[1]
+
+    def told(self, sweep: int) -> pa.Table:
+        """What this partition has for the owners of contexts (kind 0), for the root (1) and for itself (2)."""
+        s, n = self.seating, len(self.contexts)
+        c = np.bincount(s.context, s.c, n).astype(np.int64)[self.order]
+        t = np.bincount(s.context, s.t, n).astype(np.int64)[self.order]
+        hashes, out = self.contexts[self.order], []
+        for q in np.flatnonzero(np.diff(self.bounds)).tolist():
+            a, b = self.bounds[q], self.bounds[q + 1]
+            out.append((0, sweep, q, self.part, hashes[a:b].tobytes(), _packed(c[a:b], np.uint32), _packed(t[a:b], np.uint32)))
+        frequent, root_c = np.flatnonzero(~s.own), s.root_c
+        size = int(ESCAPE)
+        count = np.bincount(s.word, s.c, len(s.place))[frequent]
+        at = np.r_[s.place[frequent], size + s.place[frequent], 2 * size, 2 * size + 1, 2 * size + 2]
+        n = np.r_[root_c[frequent], count, root_c[s.own].sum(), s.root_t[s.own].sum(), (root_c[s.own] > 0).sum()]
+        out.append((1, sweep, self.part, self.part, b"", _packed(at, np.uint32), _packed(n, np.uint64)))
+        out.append((2, sweep, self.part, self.part, b"", _packed(s.t[s.c > 1], np.uint32), _packed(s.root_t, np.uint32)))
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _TOLD_KINDS, strict=True)], _TOLD)
+
+
+_TOLD = ["kind", "sweep", "to", "part", "a", "b", "c"]
+_TOLD_KINDS = (*(pa.int32(),) * 4, *(pa.binary(),) * 3)
+_TOLD_SCHEMA = "kind int, sweep int, to int, part int, a binary, b binary, c binary"
+
+
+def _started(book: np.ndarray, partitions: int):
+    return lambda messages: _Part(messages, book, partitions).told(0)
+
+
+def _owned(messages: pa.Table) -> pa.Table:
+    """The totals of an owner's contexts, to every partition in the order in which it named them (kind 3)."""
+    rows = messages.to_pylist()
+    hashes = [np.frombuffer(r["a"], np.uint64) for r in rows]
+    uniq, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    sums = [np.bincount(at, np.concatenate([_unpacked(r[x], np.uint32) for r in rows]), len(uniq))[at] for x in "bc"]
+    ends = np.cumsum([len(h) for h in hashes])[:-1]
+    out = [(3, r["sweep"], r["to"], r["part"], b"", _packed(c, np.uint32), _packed(t, np.uint32)) for r, c, t in zip(rows, np.split(sums[0], ends), np.split(sums[1], ends), strict=True)]
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _TOLD_KINDS, strict=True)], _TOLD)
+
+
+def _for_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums for the root over the partitions in one task."""
+    total = np.zeros(2 * ESCAPE + 3, np.int64)
+    for batch in batches:
+        for at, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[_unpacked(at, np.uint32)] += _unpacked(n, np.uint64).astype(np.int64)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
 
 def _rng(part: int, sweep: int) -> np.random.Generator:
     return np.random.default_rng([SEED, part + 1, sweep])
 
 
-def _sweeps(seating: Seating, part: int, given: list[np.ndarray], sweeps: range) -> Iterator[Seating]:
-    """Sweep after sweep, each given the totals of the last one that were summed up before it."""
-    for k in sweeps:
-        seating.sweep(Totals(given[min(k, len(given)) - 1]), _rng(part, k))
-        yield seating
-
-
-def _summed(given: list[np.ndarray], upto: int):
-    """Totals after each sweep from the number of those given, up to ``upto``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(batches)
-        out = [words.seating.totals()] if not given else []
-        for k, seating in enumerate(_sweeps(words.seating, TaskContext.get().partitionId(), given, range(1, upto + 1)), 1):
-            if k >= len(given):
-                out.append(seating.totals())
-        for k, x in enumerate(out):
-            at = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(x[at].astype(np.int64))], ["sweep", "at", "n"])
+def _swept(book: np.ndarray, partitions: int, root: Root, sweep: int):
+    def run(messages: pa.Table, told: pa.Table) -> pa.Table:
+        part, rows = _Part(messages, book, partitions), told.to_pylist()
+        part.restore(next(r for r in rows if r["kind"] == 2))
+        part.seating.sweep(part.totals([r for r in rows if r["kind"] == 3])[1], root, _rng(part.part, sweep))
+        return part.told(sweep)
 
     return run
 
 
-def _scored(samples: list[np.ndarray], given: list[np.ndarray]):
-    """Per block and row of the partition's tokens: known ones, base and model sums."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(batches)
-        s = words.seating
-        eaten = np.zeros(len(words.hashes), bool)
-        eaten[s.word] = True
-        c = np.bincount(s.word, s.c1, len(words.hashes))
-        key, back = np.unique(words.word * CONTEXTS + words.context, return_inverse=True)
-        word, context = key // CONTEXTS, key % CONTEXTS
-        word = np.where(eaten[word], word, -1) if len(word) else word
-        p = np.zeros(len(key))
-        for k, seating in enumerate(_sweeps(s, TaskContext.get().partitionId(), given, range(1, SWEEPS + 1)), 1):
-            if k > BURN_IN:
-                p += seating.probabilities(Totals(samples[k - BURN_IN - 1]), word, context)
-        model = np.log10(p / (SWEEPS - BURN_IN))[back]
-        base, known, at = np.log10(c + 0.1)[words.word], (c > 0)[words.word], 0
-        for (first, n), rows in zip(words.blocks, words.rows, strict=True):
-            part = slice(at, at + n)
-            at += n
-            seen, to = np.unique(rows, return_inverse=True)
-            sums = [np.bincount(to, x[part]) for x in (known, base, model)]
-            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (seen, sums[0].astype(np.uint32), sums[1].astype(np.float32), sums[2].astype(np.float32)))], ["first", "rows", "known", "base", "model"])
+def _scored(book: np.ndarray, partitions: int, roots: dict[int, Root], counts: np.ndarray):
+    """For each block, the log10 probability and the training tokens of the word of each of its pairs."""
+
+    def run(messages: pa.Table, told: pa.Table) -> pa.Table:
+        part, rows = _Part(messages, book, partitions), told.to_pylist()
+        s, p = part.seating, np.zeros(len(part.word))
+        for k, root in roots.items():
+            part.restore(next(r for r in rows if r["kind"] == 2 and r["sweep"] == k))
+            customers, tables = part.totals([r for r in rows if r["kind"] == 3 and r["sweep"] == k])
+            t = np.zeros(len(part.word), np.int64)
+            t[part.eaten] = s.t
+            p += s.probabilities(part.word, part.context, part.count, t, customers, tables, root)
+        model = np.log10(p / len(roots))[part.pairs].astype(np.float32)
+        n = np.bincount(s.word, s.c, len(s.place))
+        n[~s.own] = counts[s.place[~s.own]]
+        n, at, out = n[part.word][part.pairs], 0, []
+        for first, size in part.blocks:
+            out.append((first, part.part, model[at : at + size].tobytes(), _packed(n[at : at + size], np.uint64)))
+            at += size
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["first", "part", "model", "n"])
 
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of each row over the partitions of its words; all of a block's rows come together and in order."""
-    held: dict[int, list[np.ndarray]] = {}
-
-    def out(first: int) -> pa.RecordBatch:
-        known, base, model = held.pop(first)
-        at = np.flatnonzero((model != 0) | (base != 0))  # rows that have tokens here
-        return pa.RecordBatch.from_arrays([pa.array(first + at), pa.array(known[at].astype(np.int64)), pa.array(base[at]), pa.array(model[at])], ["row", "known", "base", "model"])
-
-    for batch in batches:
-        for i, first in enumerate(batch.column(0).to_pylist()):
-            rows = np.frombuffer(batch.column(1)[i].as_py(), np.uint16)
-            if first not in held:
-                for other in list(held):
-                    yield out(other)
-                held[first] = [np.zeros(1 << 16) for _ in range(3)]
-            for total, c, kind in zip(held[first], (2, 3, 4), (np.uint32, np.float32, np.float32), strict=True):
-                total[rows] += np.frombuffer(batch.column(c)[i].as_py(), kind)
-    for other in list(held):
-        yield out(other)
-
-
-def _heavy_scored(heavy: np.ndarray, base: np.ndarray, model: np.ndarray):
-    """Per row: id, tokens, and the sums over heavy words; model: by word and context."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in _blocks(batches):
-            at = np.minimum(np.searchsorted(heavy, block.hashes), max(0, len(heavy) - 1))
-            hit = heavy[at] == block.hashes if len(heavy) else np.zeros(len(at), bool)
-            mine = hit[block.code]
-            word, row = at[block.code[mine]], block.row[mine]
-            sums = [np.bincount(row, x, len(block.n)) for x in (np.ones(len(row)), base[word], model[word, block.context[mine]])] if len(heavy) else [np.zeros(len(block.n))] * 3
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(block.n.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["row", "doc_id", "n_tokens", "known", "base", "model"])
-
-    return run
+def _gathered(home: pa.Table, told: pa.Table) -> pa.Table:
+    """doc_id, tokens, known tokens, and the sums of both logarithms of the rows of one block."""
+    h = home.select(["words", "pairs", "contexts"]).to_pylist()[0]
+    rows, tokens, n = _unpacked(h["words"], np.uint16), _unpacked(h["pairs"], np.uint32), _unpacked(h["contexts"], np.uint32)
+    told = told.select(["part", "model", "n"]).sort_by("part").to_pylist()
+    model = np.concatenate([np.frombuffer(r["model"], np.float32) for r in told]).astype(float)
+    count = np.concatenate([_unpacked(r["n"], np.uint64) for r in told]).astype(float)
+    sums = [np.bincount(rows, np.repeat(x, tokens), len(n)) for x in (count > 0, np.log10(count + 0.1), model)]
+    ids = pa.concat_arrays([c.flatten() for c in home.column("doc_ids").chunks])
+    return pa.Table.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "n_tokens", "known", "base", "model"])
 
 
 def score_texts(docs: DataFrame, learns: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -473,54 +532,53 @@ def score_texts(docs: DataFrame, learns: Column, text: str = "text", doc_id: str
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(learns, F.lit(True)).alias("learns"))
 
-    often = rows.mapInArrow(_frequent, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    often = stored(often, "frequent")
+    often = stored(rows.mapInArrow(_frequent, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "frequent")
     n_train = often.filter("hash = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    heavy = np.sort(np.array([r["hash"] for r in often.filter((F.col("hash") != 0) & (F.col("n") * HEAVY >= n_train)).collect()], np.int64).view(np.uint64))
+    frequent = often.filter((F.col("hash") != 0) & (F.col("n") * HEAVY * 2 >= n_train)).collect()  # 2 * HEAVY at most
+    book = np.sort(np.array([r["hash"] for r in frequent], np.int64).view(np.uint64))
+    dropped(often)
     partitions = max(LEAST_PARTITIONS, -(-n_train // TOKENS_EACH))
 
-    names = "kind int, part int, first long, hashes binary, counts binary, rows binary, contexts binary, learns binary"
-    routed = rows.mapInArrow(_routed(heavy, partitions), names).repartition(partitions, "part").checkpoint()
-
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.int64)), pa.array(np.frombuffer(n, np.int64))], ["key", "n"])
-
-    pairs = routed.filter("kind = -1").select("counts", "rows").mapInArrow(unpacked, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()
-    key = pairs["key"].to_numpy()  # of heavy words and contexts: HEAVY * CONTEXTS at most
-    mine = Seating(key // CONTEXTS, key % CONTEXTS, pairs["n"].to_numpy(), len(heavy))
-    tail = routed.filter("kind = 0")
-
-    def summed(given: list[np.ndarray], upto: int, own: list[np.ndarray]) -> list[np.ndarray]:
-        out = [x.copy() for x in own]
-        for r in tail.mapInArrow(_summed(given, upto), "sweep long, at long, n long").groupBy("sweep", "at").agg(F.sum("n").alias("n")).collect():
-            out[r["sweep"]][r["at"]] += r["n"]
-        return out
-
-    given = summed([], 0, [mine.totals()])  # one table for each dish
-    after = list(_sweeps(mine, -1, given, range(1, BURN_IN + 1)))
-    given += summed(given, BURN_IN, [after[-1].totals()])
-    own, table = [], np.zeros((len(heavy), CONTEXTS))
-    word, context = np.divmod(np.arange(len(heavy) * CONTEXTS), CONTEXTS)
-    kept = []
-    for seating in _sweeps(mine, -1, given, range(BURN_IN + 1, SWEEPS + 1)):
-        own.append(seating.totals()), kept.append((seating.t1, seating.t2, seating.t3.copy()))
-    samples = summed(given, SWEEPS, own)
-    for x, (mine.t1, mine.t2, mine.t3) in zip(samples, kept, strict=True):
-        table += mine.probabilities(Totals(x), word, context).reshape(table.shape)
-    table = np.log10(table / len(samples)).astype(np.float32) if len(heavy) else table
-    base = np.log10(np.bincount(mine.word, mine.c1, len(heavy)) + 0.1)
-
-    parts = tail.mapInArrow(_scored(samples, given), "first long, rows binary, known binary, base binary, model binary")
-    parts = parts.repartition(partitions, "first").sortWithinPartitions("first").mapInArrow(_gathered, "row long, known long, base double, model double")
-    out = rows.mapInArrow(_heavy_scored(heavy, base, table), f"row long, doc_id {kind}, n_tokens long, known long, base double, model double")
-    parts = parts.select("row", F.struct("known", "base", "model").alias("tail"))
-    of = lambda c: F.col(c) + F.coalesce(F.col(f"tail.{c}"), F.lit(0))
-    distinct = Totals(samples[0]).distinct
-    whole = float(np.log10(n_train + 0.1 * (distinct + 1)))
-    out = out.join(parts, "row", "left")
-    return out.select("doc_id", "n_tokens", of("known").alias("n_known"), F.lit(int(n_train)).alias("train_tokens"), (of("base") - F.col("n_tokens") * F.lit(whole)).alias("base_score"), of("model").alias("score"))
+    names = f"kind int, part int, first long, words binary, words_rest binary, pairs binary, contexts binary, contexts_rest binary, trained binary, doc_ids array<{kind}>"
+    routed = rows.mapInArrow(_routed(book, partitions), names).repartition(partitions, "part").checkpoint()
+    pairs = routed.filter("kind = 0").drop("doc_ids").groupBy("part")
+
+    def exchanged(out: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
+        """What all partitions have told, what is sent back to them, and the sums for the root."""
+        out = stored(out, "told")
+        back = stored(out.filter("kind = 0").groupBy("to").applyInArrow(_owned, _TOLD_SCHEMA), "owned")
+        summed = out.filter("kind = 1").select("b", "c").repartition(-(-partitions // 64)).mapInArrow(_for_root, "at long, n long")
+        total = np.zeros(2 * ESCAPE + 3, np.int64)
+        for r in summed.groupBy("at").agg(F.sum("n").alias("n")).collect():
+            total[r["at"]] = r["n"]
+        return out, back, total
+
+    def next_root(total: np.ndarray, t: np.ndarray) -> Root:
+        return Root(total[: len(book)].sum() + total[-3], t.sum() + total[-2], int(len(book) + total[-1]), total[: len(book)], t)
+
+    out, back, total = exchanged(pairs.applyInArrow(_started(book, partitions), _TOLD_SCHEMA))
+    counts, root = total[ESCAPE : ESCAPE + len(book)], next_root(total, np.ones(len(book), np.int64))
+    roots, kept = {}, None
+    for sweep in range(1, SWEEPS + 1):
+        before = out.filter("kind = 2").unionByName(back)
+        told = pairs.cogroup(before.groupBy("part")).applyInArrow(_swept(book, partitions, root, sweep), _TOLD_SCHEMA)
+        old, tables, base = (out, back), root.tables, root.base
+        out, back, total = exchanged(told)
+        for x in old if sweep - 1 not in roots else ():
+            dropped(x)
+        c = total[: len(book)]
+        t = _tables(c, np.minimum(root.t, c), 1, np.full(len(c), tables), np.full(len(c), base), _rng(-1, sweep))
+        root = next_root(total, t)
+        if sweep > BURN_IN:
+            roots[sweep] = root
+            mine = out.filter("kind = 2").unionByName(back)
+            kept = mine if kept is None else kept.unionByName(mine)
+
+    scored = pairs.cogroup(kept.groupBy("part")).applyInArrow(_scored(book, partitions, roots, counts), "first long, part int, model binary, n binary")
+    home = routed.filter("kind = 1").select("first", "words", "pairs", "contexts", "doc_ids").groupBy("first")
+    out = home.cogroup(scored.groupBy("first")).applyInArrow(_gathered, f"doc_id {kind}, n_tokens long, known long, base double, model double")
+    whole = float(np.log10(n_train + 0.1 * (root.distinct + 1)))
+    return out.select("doc_id", "n_tokens", F.col("known").alias("n_known"), F.lit(int(n_train)).alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(whole)).alias("base_score"), F.col("model").alias("score"))
 
 
 def held_out(doc_id: Column) -> Column:

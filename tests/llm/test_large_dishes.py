@@ -19,7 +19,7 @@ def exact(c, level, others, parent):
 
 
 @pytest.mark.parametrize("c", [129, 1000])
-@pytest.mark.parametrize(("level", "others", "parent"), [(0, 1000, 0.001), (0, 20000, 0.001), (0, 0, 0.999), (1, 20000, 0.001), (2, 500, 0.01), (0, 100000, 0.1)])
+@pytest.mark.parametrize(("level", "others", "parent"), [(0, 1000, 0.001), (0, 20000, 0.001), (0, 0, 0.999), (1, 20000, 0.001), (1, 500, 0.01), (0, 100000, 0.1)])
 def test_large_dishes_follow_the_same_conditional(c, level, others, parent):
     law, n = exact(c, level, others, parent), 4000
     got = py._tables(np.full(n, c), np.ones(n, int), level, np.full(n, others + 1.0), np.full(n, parent), np.random.default_rng(0))
@@ -29,7 +29,7 @@ def test_large_dishes_follow_the_same_conditional(c, level, others, parent):
     assert np.abs(np.cumsum(np.bincount(got, minlength=c + 1)[1:] / n) - np.cumsum(law)).max() < 0.03
 
 
-@pytest.mark.parametrize("level", [0, 1, 2])
+@pytest.mark.parametrize("level", [0, 1])
 def test_integral_gives_stirling_numbers(level):
     d, c = py.DISCOUNT[level], py.STIRLING
     t = np.arange(1, c - 2, 4)

@@ -282,19 +282,107 @@ def test_language_model(spark, monkeypatch, flush):
     assert held and sum(got[d]["score"] for d in held) > sum(got[d]["base_score"] for d in held) * 0.95
 
 
-def test_probabilities_sum_to_one():
+def seated_alone(pairs, sweeps):
+    """A seating of all words in one partition after some sweeps, with its customers, tables and root."""
+    words, word = np.unique([w for w, _ in pairs], return_inverse=True)
+    contexts, context = np.unique([u for _, u in pairs], return_inverse=True)
+    s = py.Seating(word, context, np.array(list(pairs.values())), np.full(len(words), py.ESCAPE))
+    customers = np.bincount(context, s.c)
+
+    def now():
+        return np.bincount(context, s.t), py.Root(s.root_c.sum(), s.root_t.sum(), len(words), np.zeros(0), np.zeros(0))
+
+    for k in range(sweeps):
+        s.sweep(*now(), np.random.default_rng(k))
+    return s, customers, *now()
+
+
+@pytest.mark.parametrize("sweeps", [0, 1, 3])
+def test_probabilities_sum_to_one(sweeps):
     rng = np.random.default_rng(0)
-    words, contexts = rng.zipf(1.4, 4000) % 300, rng.integers(0, py.CONTEXTS, 4000) % 37
-    key, n = np.unique(words * py.CONTEXTS + contexts, return_counts=True)
-    uniq, word = np.unique(key // py.CONTEXTS, return_inverse=True)
-    s = py.Seating(word, key % py.CONTEXTS, n, len(uniq))
-    for k in range(3):
-        s.sweep(py.Totals(s.totals()), np.random.default_rng(k))
-        assert ((s.t1 >= 1) & (s.t1 <= s.c1)).all() and ((s.t2 >= 1) & (s.t2 <= s.c2)).all() and (s.t3 <= s.c3).all()
-        totals = py.Totals(s.totals())
-        for context in (0, 5, 40, 2000):
-            p = s.probabilities(totals, np.r_[np.arange(len(uniq)), -1], np.full(len(uniq) + 1, context))
-            assert (p > 0).all() and p.sum() == pytest.approx(1, abs=1e-9)
+    s, customers, tables, root = seated_alone(Counter(zip(rng.zipf(1.4, 4000) % 300, rng.integers(0, 5000, 4000) % 37, strict=True)), sweeps)
+    assert ((s.t >= 1) & (s.t <= s.c)).all() and ((s.root_t >= 1) & (s.root_t <= s.root_c)).all()
+    words = len(s.place)
+    for u in (0, 5, 36):
+        c, t = np.zeros(words, int), np.zeros(words, int)
+        mine = s.context == u
+        c[s.word[mine]], t[s.word[mine]] = s.c[mine], s.t[mine]
+        p = s.probabilities(np.arange(words), np.full(words, u), c, t, customers, tables, root)
+        unknown = (py.STRENGTH[1] + py.DISCOUNT[1] * root.tables) * root.base / (py.STRENGTH[1] + root.customers)
+        unknown *= (py.STRENGTH[0] + py.DISCOUNT[0] * tables[u]) / (py.STRENGTH[0] + customers[u])
+        assert (p > 0).all() and p.sum() + unknown == pytest.approx(1, abs=1e-9)
+
+
+def brute_scores(train, texts, sweeps, burn_in):
+    """Customer by customer: each is taken from a table and seated anew by the predictive rule."""
+    rng, (d, e), (s, r) = np.random.default_rng(3), py.DISCOUNT, py.STRENGTH
+    split = lambda t: [w.decode() for w in (t or "").encode().lower().split()] + ["\n"]
+    pairs = [(a, b) for t in train for a, b in zip(["\n", *split(t)], split(t), strict=False)]
+    base = 1 / (len({w for _, w in pairs}) + 1)
+    tables, top = {}, {}  # the sizes of the tables of (context, word), and of the root's tables of words
+
+    def root(w):
+        return (sum(top.get(w, [])) - e * len(top.get(w, [])) + (r + e * sum(map(len, top.values()))) * base) / (r + sum(map(sum, top.values())))
+
+    def of(u, w):
+        here = [x for (v, _), x in tables.items() if v == u]
+        mine = tables.get((u, w), [])
+        return (sum(mine) - d * len(mine) + (s + d * sum(map(len, here))) * root(w)) / (s + sum(map(sum, here)))
+
+    def seat(sizes, discount, new):
+        weights = np.array([n - discount for n in sizes] + [new])
+        k = rng.choice(len(weights), p=weights / weights.sum())
+        sizes[k:] = [sizes[k] + 1, *sizes[k + 1 :]] if k < len(sizes) else [1]
+        return k == len(sizes) - 1 and sizes[k] == 1
+
+    def leave(sizes):
+        k = rng.choice(len(sizes), p=np.array(sizes) / sum(sizes))
+        sizes[k] -= 1
+        if not sizes[k]:
+            del sizes[k]
+            return True
+        return False
+
+    def sit(u, w):
+        here = sum(len(x) for (v, _), x in tables.items() if v == u)
+        if seat(tables.setdefault((u, w), []), d, (s + d * here) * root(w)):
+            seat(top.setdefault(w, []), e, (r + e * sum(map(len, top.values()))) * base)
+
+    for u, w in pairs:
+        sit(u, w)
+    p, asked = Counter(), {(a, b) for t in texts for a, b in zip(["\n", *split(t)], split(t), strict=False)}
+    for k in range(sweeps):
+        for u, w in pairs:
+            if leave(tables[u, w]):
+                leave(top[w])
+            sit(u, w)
+        if k >= burn_in:
+            p.update({x: of(*x) / (sweeps - burn_in) for x in asked})
+    return [sum(math.log10(p[x]) for x in zip(["\n", *split(t)], split(t), strict=False)) for t in texts]
+
+
+def test_scores_against_seating_customer_by_customer(spark, monkeypatch):
+    monkeypatch.setattr(py, "LEAST_PARTITIONS", 3)
+    monkeypatch.setattr(py, "HEAVY", 10)
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(25)]
+    texts = [" ".join(words[i] for i in rng.zipf(1.5, 12) % 25) for _ in range(40)] + ["unseen w1 w2", None, "w1 " * 20]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], DOCS)
+    train = [t for i, t in enumerate(texts) if i < 30]
+    got = [r["score"] for r in py.score_texts(docs, F.col("doc_id") < 30).orderBy("doc_id").collect()]
+    assert got == pytest.approx(brute_scores(train, texts, 14, 4), rel=0.06, abs=0.3)
+    again = [r["score"] for r in py.score_texts(docs.repartition(3), F.col("doc_id") < 30).orderBy("doc_id").collect()]
+    assert again == pytest.approx(got, rel=1e-9)
+
+
+def test_a_learnt_text_scores_above_its_kind(spark, monkeypatch):
+    monkeypatch.setattr(py, "LEAST_PARTITIONS", 4)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 3000, 60)) for _ in range(300)]
+    rows = [(i, t, i % 3 > 0) for i, t in enumerate(texts)] + [(1000 + i, texts[i], False) for i in range(1, 300, 30)]
+    got = {r["doc_id"]: r["score"] for r in py.score_texts(spark.createDataFrame(rows, DOCS + ", l boolean"), F.col("l")).collect()}
+    fresh = [got[i] for i in range(0, 300, 3)]
+    assert min(got[d] for d in got if d >= 1000) > max(fresh)
 
 
 def test_tables_follow_their_conditional():
@@ -317,8 +405,14 @@ def test_tables_follow_their_conditional():
     assert np.abs(got - weight / weight.sum()).max() < 0.01
 
 
-def test_language_model_edges(spark):
+def test_language_model_edges(spark, monkeypatch):
+    monkeypatch.setattr(py, "LEAST_PARTITIONS", 4)
     docs = spark.createDataFrame([(1, "a b")], DOCS)
     row = py.score_texts(docs, F.lit(False)).first()
     assert (row["n_known"], row["train_tokens"], row["base_score"]) == (0, 0, 0.0)
+    rows = [(None, "a b", 1), (1, "a b", 2), (1, "a b", 2), (2, None, 3), (3, "long word " * 40_000, 4)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, part int").select("*", F.lit("x").alias("first"), F.lit(0).alias("row"), F.lit(0).alias("learns"))
+    got = py.score_texts(odd, ~py.held_out(F.col("doc_id"))).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == [("1", 3), ("1", 3), ("2", 1), ("3", 80_001), ("None", 3)]
+    assert len({r["score"] for r in got if r["doc_id"] == 1}) == 1
     assert py.score_texts(docs.limit(0), F.lit(True)).count() == 0
