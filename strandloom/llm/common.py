@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandloom.plans.storage import dropped, looked_up, shared_folder, stored
 
-__all__ = ["ascii_lower", "dropped", "let", "looked_up", "ready_for_checkpoints", "shared_folder", "space_words", "stored", "table", "text_or_empty", "worker_cache"]
+__all__ = ["CLEAN", "ascii_lower", "checkpointed", "dropped", "let", "looked_up", "ready_for_checkpoints", "settings", "shared_folder", "space_words", "stored", "table", "text_or_empty", "worker_cache"]
 
 #: ASCII white space, as the contracts of the operators define it.
 SPACES = "\t\n\x0b\x0c\r "
@@ -43,6 +44,32 @@ def ready_for_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
+#: Shuffle files go as soon as the action that wrote them has ended.
+CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the actions within."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def checkpointed(df: DataFrame, partitions: int, key: str) -> DataFrame:
+    """``df`` in partitions by ``key``, checkpointed so that later groupings by the key need no shuffle.
+
+    An adaptive plan doesn't tell its partitioning, so the plan of this one action is not adaptive.
+    """
+    with settings(df.sparkSession, {**CLEAN, "spark.sql.adaptive.enabled": "false"}):
+        return df.repartition(partitions, key).checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import dropped, ready_for_checkpoints, stored, worker_cache
+from strandloom.llm.common import CLEAN, checkpointed, dropped, ready_for_checkpoints, settings, stored, worker_cache
 
 HEAVY = 32767
 DISCOUNT = (0.75, 0.6)
@@ -111,13 +111,15 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(x: np.ndarray, kind) -> bytes:
-    raw = np.ascontiguousarray(x, kind).tobytes()
+    """Compressed, the lowest bytes of all numbers first, then the next ones."""
+    raw = np.ascontiguousarray(x, kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
     return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
 
 
 def _unpacked(x: bytes, kind) -> np.ndarray:
     n = int.from_bytes(x[:8], "little")
-    return np.frombuffer(pa.decompress(x[8:], n, "zstd", asbytes=True) if n else b"", kind)
+    raw = np.frombuffer(pa.decompress(x[8:], n, "zstd", asbytes=True) if n else b"", np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _place(book: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -528,7 +530,8 @@ def _gathered(home: pa.Table, told: pa.Table) -> pa.Table:
 
 def score_texts(docs: DataFrame, learns: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; the model learns from rows where ``learns``."""
-    ready_for_checkpoints(docs.sparkSession)
+    spark = docs.sparkSession
+    ready_for_checkpoints(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(learns, F.lit(True)).alias("learns"))
 
@@ -540,39 +543,39 @@ def score_texts(docs: DataFrame, learns: Column, text: str = "text", doc_id: str
     partitions = max(LEAST_PARTITIONS, -(-n_train // TOKENS_EACH))
 
     names = f"kind int, part int, first long, words binary, words_rest binary, pairs binary, contexts binary, contexts_rest binary, trained binary, doc_ids array<{kind}>"
-    routed = rows.mapInArrow(_routed(book, partitions), names).repartition(partitions, "part").checkpoint()
+    routed = checkpointed(rows.mapInArrow(_routed(book, partitions), names), partitions, "part")
     pairs = routed.filter("kind = 0").drop("doc_ids").groupBy("part")
 
-    def exchanged(out: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
-        """What all partitions have told, what is sent back to them, and the sums for the root."""
-        out = stored(out, "told")
-        back = stored(out.filter("kind = 0").groupBy("to").applyInArrow(_owned, _TOLD_SCHEMA), "owned")
-        summed = out.filter("kind = 1").select("b", "c").repartition(-(-partitions // 64)).mapInArrow(_for_root, "at long, n long")
-        total = np.zeros(2 * ESCAPE + 3, np.int64)
-        for r in summed.groupBy("at").agg(F.sum("n").alias("n")).collect():
-            total[r["at"]] = r["n"]
-        return out, back, total
+    def exchanged(told: DataFrame) -> tuple[DataFrame, np.ndarray]:
+        """What goes back to the partitions, their own seating and the totals of their contexts, and the sums for the root."""
+        with settings(spark, CLEAN):
+            out = stored(told, "told")
+            owned = out.filter("kind = 0").groupBy("to").applyInArrow(_owned, _TOLD_SCHEMA)
+            back = stored(out.filter("kind = 2").unionByName(owned), "back")
+            summed = out.filter("kind = 1").select("b", "c").repartition(-(-partitions // 64)).mapInArrow(_for_root, "at long, n long")
+            total = np.zeros(2 * ESCAPE + 3, np.int64)
+            for r in summed.groupBy("at").agg(F.sum("n").alias("n")).collect():
+                total[r["at"]] = r["n"]
+            dropped(out)
+        return back, total
 
     def next_root(total: np.ndarray, t: np.ndarray) -> Root:
         return Root(total[: len(book)].sum() + total[-3], t.sum() + total[-2], int(len(book) + total[-1]), total[: len(book)], t)
 
-    out, back, total = exchanged(pairs.applyInArrow(_started(book, partitions), _TOLD_SCHEMA))
+    back, total = exchanged(pairs.applyInArrow(_started(book, partitions), _TOLD_SCHEMA))
     counts, root = total[ESCAPE : ESCAPE + len(book)], next_root(total, np.ones(len(book), np.int64))
     roots, kept = {}, None
     for sweep in range(1, SWEEPS + 1):
-        before = out.filter("kind = 2").unionByName(back)
-        told = pairs.cogroup(before.groupBy("part")).applyInArrow(_swept(book, partitions, root, sweep), _TOLD_SCHEMA)
-        old, tables, base = (out, back), root.tables, root.base
-        out, back, total = exchanged(told)
-        for x in old if sweep - 1 not in roots else ():
-            dropped(x)
+        old, tables, base = back, root.tables, root.base
+        back, total = exchanged(pairs.cogroup(old.groupBy("part")).applyInArrow(_swept(book, partitions, root, sweep), _TOLD_SCHEMA))
+        if sweep - 1 not in roots:
+            dropped(old)
         c = total[: len(book)]
         t = _tables(c, np.minimum(root.t, c), 1, np.full(len(c), tables), np.full(len(c), base), _rng(-1, sweep))
         root = next_root(total, t)
         if sweep > BURN_IN:
             roots[sweep] = root
-            mine = out.filter("kind = 2").unionByName(back)
-            kept = mine if kept is None else kept.unionByName(mine)
+            kept = back if kept is None else kept.unionByName(back)
 
     scored = pairs.cogroup(kept.groupBy("part")).applyInArrow(_scored(book, partitions, roots, counts), "first long, part int, model binary, n binary")
     home = routed.filter("kind = 1").select("first", "words", "pairs", "contexts", "doc_ids").groupBy("first")
