@@ -3,12 +3,13 @@
 Each stage takes all rows that its predecessor kept, and is written and read again as Parquet;
 all but the last return the columns of ``documents``. Duplicates and contaminated texts go by
 doc_id: rows that share one go together, and rows without one are kept, as no group can be
-represented by them.
+represented by them. Null and empty texts fail the quality rules; repeated rows that pass stay repeated.
+Empty tables give empty results. Other columns, of any name, come out as they went in.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import stored, table
@@ -19,8 +20,13 @@ from strandloom.llm.simhash import near_duplicates
 from strandloom.llm.toxicity import accepted, held_out, train
 
 
+def columns_of(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules(docs, name="_verdict").filter("_verdict.kept").select(*docs.columns)
+    verdict = "_" * (1 + max(map(len, docs.columns)))  # longer than any name, so none is replaced
+    return quality_rules(docs, name=verdict).filter(F.col(verdict)["kept"]).select(columns_of(docs))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +36,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rejected = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(rejected, "doc_id", "left_anti").select(columns_of(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rejected = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(rejected, "doc_id", "left_anti").select(columns_of(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +56,7 @@ STAGES = [
     ("best_fit_packing", packing),
 ]
 
-#: The classifier and the packing are not expressible in SQL; tests hold each stage against a brute-force version.
+#: The classifier and the packing are not expressible in SQL; tests hold the decisions of each stage against a brute-force version.
 ORACLE_SQL = None
 
 
