@@ -229,7 +229,8 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float
             z = np.array(model.logits(batch.column(at).to_pylist(), held))
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))) < threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # as names may hold dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def held_out(doc_id: Column) -> Column:
