@@ -9,6 +9,7 @@ Rows are judged one by one: repeated rows get repeated verdicts, an empty table
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,9 +76,9 @@ def _repeat_words(words: Column, hashes: Column, n: Column) -> Column:
 
             def same(x: Column, j: Column) -> Column:
                 back, on = F.get(s, j - 1), F.get(s, j + 1)
-                near = equal(x, back) | equal(x, on)
-                far = lambda y, k: head(x).eqNullSafe(head(y)) & (equal(x, F.get(s, j + 2 * k)) | equal(x, F.get(s, j + 3 * k)))
-                return F.coalesce(near, F.lit(False)) | F.coalesce(far(back, -1), F.lit(False)) | F.coalesce(far(on, 1), F.lit(False))
+                beside = head(x).eqNullSafe(head(back)) | head(x).eqNullSafe(head(on))  # false for most windows, which are done with then
+                others = [equal(x, F.get(s, j + k)) for k in (-1, 1, -2, 2, -3, 3)]
+                return beside & reduce(lambda a, b: a | b, (F.coalesce(e, F.lit(False)) for e in others))
 
             return F.array_sort(F.transform(F.filter(s, same), lambda x: x.bitwiseAND(low)))
 
