@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import oracles
 from strandloom.llm.common import table
+from strandloom.llm.conversations import damaged, repairs
 from strandloom.llm.decontaminate import decontaminate
 from strandloom.llm.html_text import extract_text
 from strandloom.llm.licences import licence_scan
@@ -64,6 +65,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repairs(damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,6 +82,7 @@ QUERIES = {
         op8_licence_scan,
         op9_quality_rules,
         op10_best_fit_packing,
+        op11_conversation_repair,
     )
 }
 ORACLE_SQL = {
