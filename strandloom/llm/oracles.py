@@ -80,3 +80,54 @@ w AS (SELECT doc_id, {_canonical('text')} AS digest FROM d)
 SELECT w.doc_id, w.digest, known.name AS licence, coalesce(n.notices, '') AS notices
 FROM w LEFT JOIN known ON w.digest = known.digest LEFT JOIN n ON w.doc_id = n.doc_id
 """
+
+_FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+
+OP12 = f"""
+WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE {_FINITE} AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+pairs AS (
+    SELECT q.vec_id AS query_id, q.x AS asked, c.vec_id AS vec_id, list_inner_product(q.x, c.x) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND NOT (q.vec_id = c.vec_id AND q.x = c.x)
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id)::INTEGER AS "rank", vec_id, score
+FROM pairs QUALIFY "rank" <= 20
+"""
+
+
+def _vector_codes(rounds: int = 4) -> str:
+    """Lloyd's rounds one after another; sums of products of integers are exact in doubles here."""
+    near = lambda r: f"""assigned{r} AS MATERIALIZED (
+    SELECT p.row_no, p.part, arg_min(b.entry, (p.norm + b.norm - 2 * list_inner_product(p.x, b.x), b.entry)) AS entry,
+        min(p.norm + b.norm - 2 * list_inner_product(p.x, b.x))::BIGINT AS squares
+    FROM parts p JOIN book{r} b ON p.part = b.part GROUP BY p.row_no, p.part)"""
+    moved = lambda r: f"""sums{r} AS (
+    SELECT a.part, a.entry, c.i, sum(c.v) AS total, count(*) AS n
+    FROM assigned{r} a JOIN components c ON a.row_no = c.row_no AND a.part = c.part GROUP BY a.part, a.entry, c.i),
+means{r} AS (
+    SELECT part, entry, list(((total - ((total % n) + n) % n) // n)::DOUBLE ORDER BY i) AS x FROM sums{r} GROUP BY part, entry),
+book{r + 1} AS MATERIALIZED (
+    SELECT part, entry, x, list_inner_product(x, x) AS norm
+    FROM (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN means{r} m ON b.part = m.part AND b.entry = m.entry))"""
+    steps = ",\n".join(f"{near(r)},\n{moved(r)}" for r in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row_no, vec_id, label, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS x
+    FROM embeddings WHERE {_FINITE}),
+parts AS MATERIALIZED (
+    SELECT row_no, part, x, list_inner_product(x, x) AS norm
+    FROM (SELECT row_no, j AS part, x[j * (len(x) // 4) + 1 : (j + 1) * (len(x) // 4)] AS x FROM kept, range(4) t(j))),
+components AS MATERIALIZED (SELECT row_no, part, unnest(range(1, len(x) + 1)) AS i, unnest(x)::BIGINT AS v FROM parts),
+book0 AS MATERIALIZED (SELECT part, row_no - 1 AS entry, x, norm FROM parts WHERE row_no <= 256),
+{steps},
+{near(rounds)},
+told AS (
+    SELECT k.vec_id, k.label, string_agg(printf('%02x', a.entry::INTEGER), '' ORDER BY a.part) AS code, sum(a.squares)::BIGINT AS error
+    FROM kept k JOIN assigned{rounds} a ON k.row_no = a.row_no GROUP BY k.row_no, k.vec_id, k.label),
+hashed AS (
+    SELECT sha256(string_agg(s, ',' ORDER BY part, entry)) AS codebooks_sha256
+    FROM (SELECT part, entry, array_to_string(list_transform(x, lambda c: c::BIGINT::VARCHAR), ',') AS s FROM book{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM told, hashed
+"""
+
+
+OP13 = _vector_codes()

@@ -17,6 +17,8 @@ from strandloom.llm.quality import quality_rules
 from strandloom.llm.simhash import near_duplicates
 from strandloom.llm.token_counts import context_limits, length_histogram
 from strandloom.llm.toxicity import toxicity
+from strandloom.llm.vector_codes import compress
+from strandloom.llm.vector_search import nearest
 from strandloom.llm.warc import archive_round_trip
 
 
@@ -69,6 +71,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repairs(damaged(table(spark, sf_dir, "conversations")))
 
 
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,6 +93,8 @@ QUERIES = {
         op9_quality_rules,
         op10_best_fit_packing,
         op11_conversation_repair,
+        op12_nearest_vectors,
+        op13_vector_codes,
     )
 }
 ORACLE_SQL = {
@@ -90,4 +102,6 @@ ORACLE_SQL = {
     "op4_benchmark_decontamination": oracles.OP4,
     "op8_licence_scan": oracles.OP8,
     "op9_quality_rules": oracles.OP9,
+    "op12_nearest_vectors": oracles.OP12,
+    "op13_vector_codes": oracles.OP13,
 }
