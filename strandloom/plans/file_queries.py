@@ -266,7 +266,7 @@ def weakest_node(spark, sf_dir):
     return filters.weakest_node(filters.shared_reads(g), graph.node_numbers(g), 2)
 
 
-@query(L3 + _SHARED + ", few AS (SELECT num.node_id, number, (SELECT count(*) FROM num) - count(sh.a) AS below FROM num LEFT JOIN sh ON sh.a = num.node_id AND sh.n >= 2 GROUP BY ALL), w AS (SELECT node_id FROM few ORDER BY below DESC, number LIMIT 1) SELECT a, b, n FROM sh WHERE a NOT IN (SELECT node_id FROM w) AND b NOT IN (SELECT node_id FROM w)")
+@query(L3 + _SHARED.replace("sh AS (", "sh AS MATERIALIZED (").replace("num AS (", "num AS MATERIALIZED (") + ", rich AS (SELECT a, count(*) AS n FROM sh WHERE n >= 2 GROUP BY a), w AS MATERIALIZED (SELECT num.node_id FROM num LEFT JOIN rich ON rich.a = num.node_id ORDER BY coalesce(rich.n, 0), number LIMIT 1) SELECT a, b, n FROM sh ANTI JOIN w ON w.node_id = sh.a ANTI JOIN w AS w2 ON w2.node_id = sh.b")
 def intersection_filter(spark, sf_dir):
     g = _orders(spark, sf_dir)
     return filters.intersection_filter(filters.shared_reads(g), graph.node_numbers(g), 2)

@@ -12,7 +12,6 @@ from strandloom.plans.sequences import DNA_SQL, document_dna, event_reads, event
 E3, L3 = event_sql(3), order_sql(3)
 _LISTS = ", lists AS (SELECT read_id, list(gene ORDER BY pos) AS g FROM calls GROUP BY read_id)"
 _FLIP = "list_reverse(list_transform({x}, lambda c: (CASE WHEN c[1] = '+' THEN '-' ELSE '+' END) || c[2:]))"
-_FIRST8 = ", lists AS (SELECT read_id, list(gene ORDER BY pos)[1:8] AS g FROM calls GROUP BY read_id)"
 
 
 def _events(spark, sf_dir):
@@ -52,7 +51,7 @@ def sublist_match(spark, sf_dir):
     return rows.select("read_id", F.col("p.start").cast("long").alias("start"), F.col("p.end").cast("long").alias("end"))
 
 
-@query(E3 + _FIRST8 + " SELECT read_id, array_to_string(g[i:j], ',') AS sub, count(*) AS n FROM lists, unnest(range(1, len(g) + 1)) AS t(i), unnest(range(1, len(g) + 1)) AS u(j) WHERE j >= i GROUP BY ALL")
+@query(E3 + _LISTS + " SELECT read_id, array_to_string(g[i:j], ',') AS sub, count(*) AS n FROM lists, unnest(range(1, len(g) + 1)) AS t(i), unnest(range(1, len(g) + 1)) AS u(j) WHERE j >= i GROUP BY ALL")
 def sublists(spark, sf_dir):
     rows = _events(spark, sf_dir).select("read_id", F.explode(arrays.all_sublists(F.col("calls"))).alias("s"))
     return rows.groupBy("read_id", F.array_join("s", ",").alias("sub")).agg(F.count("*").alias("n"))
@@ -70,7 +69,7 @@ def smaller_way(spark, sf_dir):
     return _events(spark, sf_dir).select("read_id", F.array_join(arrays.smaller_way(F.col("calls")), ",").alias("way"))
 
 
-@query(E3 + _FIRST8 + " SELECT read_id, 'up' AS side, array_to_string(g[i:2], ',') AS part FROM lists, unnest([1, 2, 3]) AS t(i) WHERE len(g) >= 5 UNION ALL SELECT read_id, 'down', array_to_string(g[5:i], ',') FROM lists, unnest(range(4, len(g) + 1)) AS t(i) WHERE len(g) >= 5")
+@query(E3 + _LISTS + " SELECT read_id, 'up' AS side, array_to_string(g[i:2], ',') AS part FROM lists, unnest([1, 2, 3]) AS t(i) WHERE len(g) >= 5 UNION ALL SELECT read_id, 'down', array_to_string(g[5:i], ',') FROM lists, unnest(range(4, len(g) + 1)) AS t(i) WHERE len(g) >= 5")
 def context_options(spark, sf_dir):
     up, down = arrays.context_options(F.col("calls"), F.lit(2), F.lit(3))
     rows = _events(spark, sf_dir).filter(F.size("calls") >= 5)

@@ -106,7 +106,7 @@ def neighbours(spark, sf_dir):
     return graph.neighbours(_events(spark, sf_dir), distinct=True)
 
 
-@query(L3 + " SELECT e.src AS a, e.tgt AS b, e.src_dir, e.tgt_dir, e.coverage FROM edges e WHERE e.coverage >= 3")
+@query(L3 + " SELECT e.src AS a, e.tgt AS b, e.src_dir, e.tgt_dir, e.coverage FROM edges e")
 def edges_between_pairs(spark, sf_dir):
     g = _orders(spark, sf_dir)
     pairs = g.edges.select(F.col("src").alias("a"), F.col("tgt").alias("b")).distinct()
@@ -114,7 +114,7 @@ def edges_between_pairs(spark, sf_dir):
     return found.select("a", "b", F.col("src_dir").cast("int").alias("src_dir"), F.col("tgt_dir").cast("int").alias("tgt_dir"), "coverage")
 
 
-@query(L3 + " SELECT DISTINCT src AS a, tgt AS b, -tgt_dir AS dir FROM edges WHERE coverage >= 3")
+@query(L3 + " SELECT DISTINCT src AS a, tgt AS b, -tgt_dir AS dir FROM edges")
 def direction_between_nodes(spark, sf_dir):
     g = _orders(spark, sf_dir)
     pairs = g.edges.select(F.col("src").alias("a"), F.col("tgt").alias("b")).distinct()
