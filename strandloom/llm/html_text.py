@@ -7,13 +7,15 @@ The ratios are smoothed along the page, so that a heading or a short line betwee
 goes with them, averaged per path again, and paths under a share of the best are dropped.
 
 What the page declares has its say in two ways. Elements that are no article text by their tag
-(menus, headers, footers, forms, scripts, ...) don't compete. Elements whose class, id or
-role names such a thing weigh little (``NAMED_WEIGHT``), and don't profit from their
-neighbours. Neither holds for an element around the article: one with all article elements of
+(menus, headers, footers, forms, scripts, ...) don't compete; buttons and labels within an article's sentence
+are words of it. Elements whose class, id or role names such a thing weigh little (``NAMED_WEIGHT``), and don't
+profit from their neighbours. Neither holds for an element around the article: one with all article elements of
 the page (readers' comments aside), or, where it has none, with over half of its text. Names are told by
-whole tokens, so ``has-sidebar`` and ``no-comments`` name nothing. Where the page has an
-article element, all of that element's text but links stays, however short; links in it
-and what stands outside have to reach the share.
+whole tokens, so ``has-sidebar`` and ``no-comments`` name nothing, and other attributes say nothing.
+Where the page has an article element, all of that element's text stays, however short, but for links, which
+have to reach the share like all that stands outside, and for elements whose whole name is one of ``WITHIN``
+(adverts, readers' comments, cookie notices, share buttons, what is not displayed): a section called
+related-work, search or legal is the article's own.
 
 White space in a block becomes one space, a ``br`` is white space; blocks are joined by a newline in
 page order. A null or empty html has an empty text. Pages are independent: repeated rows give
@@ -49,6 +51,8 @@ MARKS = re.compile(r"[.,;:!?。，、！？…\"'»«”“-]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed xmp".split())
 OTHER = RAW | frozenset("svg math object audio video canvas head nav header footer aside form button select option dialog menu label fieldset".split())
+#: Those that an article's sentence can hold outside of forms.
+IN_SENTENCES = frozenset(("button", "label"))
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 MAIN = frozenset(("article", "main"))
 #: Elements that end an open p.
@@ -77,6 +81,12 @@ NAMES = frozenset(
 )
 #: Those of them that say so as any part.
 ANYWHERE = frozenset("advert advertisement sponsored breadcrumb breadcrumbs cookie cookies gdpr comment comments commentlist disqus newsletter".split())
+#: Those that also hold within the article: as whole tokens, or before one of ``SLOTS``.
+WITHIN = frozenset(
+    "ad ads advert adverts advertisement advertisements sponsored promo breadcrumb breadcrumbs sidebar navbar navigation nav cookie cookies gdpr "
+    "comment comments commentlist disqus replies respond share sharing social newsletter subscribe signup login popup modal pagination hidden".split()
+)
+SLOTS = frozenset("area banner bar block box button buttons consent container form icons item links list notice section signup slot thread unit widget wrapper".split())
 #: What is around articles of readers or of other pages, not of this one.
 NOT_AROUND = frozenset("comment comments commentlist disqus reply replies respond related recommended".split())
 #: First parts that turn a name around, and those whose header is the article's own.
@@ -84,24 +94,34 @@ NEGATED = frozenset("no has with without not non hide".split())
 OWN = frozenset("post entry article page content story".split())
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
-ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*+=\s*+[\"']?true|display\s*+:\s*+none", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++)))?+")
+UNSEEN = re.compile(r"(?:^|;)\s*+display\s*+:\s*+none\b", re.I)
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
-def named(token: str) -> set[str]:
-    """The words of a token of class, id or role that say that the element isn't the article."""
+def named(token: str, within: bool = False) -> set[str]:
+    """The words of a token of class, id or role that say that the element isn't the article; ``within``: it is in one."""
     parts = [x.rstrip("0123456789") for x in re.split(r"[-_]+", token.lower()) if x]
     if not parts or parts[0] in NEGATED or (parts[0] in OWN and parts[-1] == "header"):
         return set()
+    if within:
+        return WITHIN & {parts[0]} if all(x in SLOTS or x in WITHIN for x in parts[1:]) else set()
     return (ANYWHERE & set(parts)) | (NAMES & {parts[0], parts[-1]})
 
 
-def _names(attributes: str) -> set[str]:
+def _names(attributes: str, within: bool) -> set[str]:
+    """What the class, id, role and visibility of an element say; other attributes and their values say nothing."""
+    found: set[str] = set()
     if not attributes or attributes.isspace():
-        return set()
-    found = {w for m in ATTRIBUTE.finditer(attributes) for t in next(filter(None, m.groups()), "").split() for w in named(t)}
-    return found | {"hidden"} if HIDDEN.search(attributes) else found
+        return found
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), values[0] or values[1] or values[2]
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                found |= named(token, within)
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and UNSEEN.search(value):
+            found.add("hidden")
+    return found
 
 
 class Zone:
@@ -158,8 +178,8 @@ class Page:
         if name in VOID or attributes.endswith("/") and name not in BLOCK:
             return
         _, path, main, zone = self.stack[-1]
-        words = _names(attributes) if name not in ("html", "body") else set()
-        by_tag = name in OTHER and not (name == "header" and self.open["article"])
+        words = _names(attributes, main) if name not in ("html", "body") else set()
+        by_tag = name in OTHER and not (name == "header" and self.open["article"]) and not (name in IN_SENTENCES and main and self.open["p"] and not self.open["form"])
         if by_tag or words:
             zone = Zone(zone, name if by_tag else "", bool(words & NOT_AROUND))
             self.zones.append(zone)
