@@ -13,6 +13,7 @@ from strandloom.functions.arrays import chained_genes, either_way, find_sublist,
 from strandloom.functions.tokens import JOIN
 from strandloom.operators.filters import bubble_starts, nodes_containing, nodes_of_interest
 from strandloom.operators.graph import Graph, degrees, walks_of
+from strandloom.operators.meeting import alternative_walks, state
 from strandloom.plans.components import component_numbers, label_components
 from strandloom.plans.storage import stored
 
@@ -159,16 +160,19 @@ def junction_paths(g: Graph, most: int) -> DataFrame:
     """(path, coverage): alternative walks between junctions, without those that contain a shorter one.
 
     A walk leaves a branching side and arrives at another node's branching side; there must be two
-    of a pair at least. Coverage is the mean over inner nodes.
+    of a pair at least. Coverage is the mean over inner nodes. See ``operators.meeting`` for how
+    they are found.
     """
-    starts = stored(bubble_starts(g).select("node_id", F.col("dir").cast("int").alias("dir")), "junctions")
-    walks = bounded_paths(g.edges, starts, most)
-    last = F.element_at("path", -1)
-    stops = starts.select(F.struct("node_id", "dir").alias("stop"))
-    pairs = walks.withColumn("stop", F.struct(last["node_id"].alias("node_id"), (-last["dir"]).alias("dir"))).join(stops, "stop")
-    several = pairs.groupBy("start", "stop").agg(F.count("*").alias("n")).filter("n > 1")
-    unique = pairs.join(several, ["start", "stop"], "left_semi").select(F.least("path", turned_path(F.col("path"))).alias("path")).distinct()
-    return inner_coverage(g, shortest_only(stored(unique, "junction_paths")).filter(F.size("path") > 2))
+    numbers = stored(g.nodes.select("node_id", F.monotonically_increasing_id().alias("number")), "numbers")
+    of = lambda c: numbers.select(F.col("node_id").alias(c), F.col("number").alias(f"{c}_number"))
+    steps = g.edges.join(of("src"), "src").join(of("tgt"), "tgt")
+    steps = stored(steps.select(state(F.col("src_number"), F.col("src_dir")).alias("a"), state(F.col("tgt_number"), F.col("tgt_dir")).alias("b")), "steps")
+    starts = bubble_starts(g).withColumnRenamed("node_id", "src").join(of("src"), "src").select(state(F.col("src_number"), F.col("dir")).alias("s"))
+    walks = alternative_walks(steps, starts, most)
+    rows = walks.select("walk", F.posexplode("walk").alias("pos", "s")).withColumn("number", F.shiftright("s", 1)).join(numbers, "number")
+    step = F.struct("pos", F.struct("node_id", F.when(F.col("s") % 2 == 0, 1).otherwise(-1).alias("dir")).alias("step"))
+    named = rows.groupBy("walk").agg(F.array_sort(F.collect_list(step)).alias("steps")).select(F.col("steps.step").cast(f"array<{STEP}>").alias("path"))
+    return inner_coverage(g, stored(named.select(F.least("path", turned_path(F.col("path"))).alias("path")).distinct(), "junction_paths"))
 
 
 def shortest_only(paths: DataFrame) -> DataFrame:
