@@ -104,18 +104,16 @@ def kmer_median_depth(spark, sf_dir):
     return stats.median_depth(stats.kmer_counts(document_dna(spark, sf_dir)))
 
 
-def _benchmark_dna(spark, sf_dir):
-    letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("read_id"), F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("sequence"))
+_SKETCHES = f"k AS MATERIALIZED (SELECT DISTINCT read_id, least(s, reverse(translate(s, 'ACGT', 'TGCA'))) AS kmer FROM (SELECT read_id, sequence[i:i + 8] AS s FROM ({DNA_SQL}), unnest(range(1, len(sequence) - 7)) AS t(i))), n AS MATERIALIZED (SELECT read_id, n, min(read_id) OVER (PARTITION BY s) AS rep FROM (SELECT read_id, count(*) AS n, string_agg(kmer, '' ORDER BY kmer) AS s FROM k GROUP BY read_id)), met AS MATERIALIZED (SELECT a.read_id AS a, b.read_id AS b, count(*) AS shared FROM k a JOIN k b ON a.kmer = b.kmer AND a.read_id < b.read_id GROUP BY ALL), pairs AS MATERIALIZED (SELECT a, b, x.rep AS ra, y.rep AS rb, shared / least(x.n, y.n) AS containment FROM met JOIN n x ON x.read_id = a JOIN n y ON y.read_id = b WHERE shared / least(x.n, y.n) >= {sketch.CLUSTER_CONTAINMENT})"
 
 
-_BENCH = DNA_SQL.replace("doc_id", "item_id").replace("documents", "benchmark")
+def _document_hashes(spark, sf_dir):
+    return sketch.hashes(document_dna(spark, sf_dir), sketch.PATH_K, sketch.PATH_SCALE).withColumnRenamed("read_id", "path_id")
 
 
-@query(f"WITH k AS (SELECT DISTINCT read_id, least(s, reverse(translate(s, 'ACGT', 'TGCA'))) AS kmer FROM (SELECT read_id, sequence[i:i + 8] AS s FROM ({_BENCH}), unnest(range(1, len(sequence) - 7)) AS t(i))), n AS (SELECT read_id, count(*) AS n FROM k GROUP BY read_id) SELECT a.read_id AS a, b.read_id AS b, round(count(*) / least(any_value(x.n), any_value(y.n)), 6) AS containment FROM k a JOIN k b ON a.kmer = b.kmer AND a.read_id < b.read_id JOIN n x ON x.read_id = a.read_id JOIN n y ON y.read_id = b.read_id GROUP BY ALL HAVING count(*) / least(any_value(x.n), any_value(y.n)) >= 0.02")
+@query(f"WITH {_SKETCHES} SELECT a, b, round(containment, 6) AS containment FROM pairs WHERE rb = a OR (ra = a AND rb = b)")
 def containment_pairs(spark, sf_dir):
-    h = sketch.hashes(_benchmark_dna(spark, sf_dir), 9).withColumnRenamed("read_id", "path_id")
-    return sketch.containments(h, 0.02).select("a", "b", F.round("containment", 6).alias("containment"))
+    return sketch.containments(_document_hashes(spark, sf_dir), sketch.CLUSTER_CONTAINMENT).select("a", "b", F.round("containment", 6).alias("containment"))
 
 
 @query()
@@ -123,10 +121,9 @@ def sketch_scaled10(spark, sf_dir):
     return sketch.hashes(document_dna(spark, sf_dir), 11, 10).groupBy("read_id").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH RECURSIVE k AS (SELECT DISTINCT read_id, least(s, reverse(translate(s, 'ACGT', 'TGCA'))) AS kmer FROM (SELECT read_id, sequence[i:i + 8] AS s FROM ({_BENCH}), unnest(range(1, len(sequence) - 7)) AS t(i))), n AS (SELECT read_id, count(*) AS n FROM k GROUP BY read_id), link AS (SELECT a.read_id AS a, b.read_id AS b FROM k a JOIN k b ON a.kmer = b.kmer AND a.read_id <> b.read_id JOIN n x ON x.read_id = a.read_id JOIN n y ON y.read_id = b.read_id GROUP BY ALL HAVING count(*) / least(any_value(x.n), any_value(y.n)) >= 0.85), label(path_id, cluster) USING KEY (path_id) AS (SELECT read_id, read_id FROM n UNION SELECT l.b, min(c.cluster) FROM label c JOIN link l ON l.a = c.path_id JOIN recurring.label r ON r.path_id = l.b GROUP BY l.b, r.cluster HAVING min(c.cluster) < r.cluster) SELECT path_id, cluster FROM label")
+@query(f"WITH RECURSIVE {_SKETCHES}, link AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), label(path_id, cluster) USING KEY (path_id) AS (SELECT read_id, read_id FROM n UNION SELECT l.b, min(c.cluster) FROM label c JOIN link l ON l.a = c.path_id JOIN recurring.label r ON r.path_id = l.b GROUP BY l.b, r.cluster HAVING min(c.cluster) < r.cluster) SELECT path_id, cluster FROM label")
 def sketch_clusters(spark, sf_dir):
-    h = sketch.hashes(_benchmark_dna(spark, sf_dir), 9).withColumnRenamed("read_id", "path_id")
-    return sketch.clusters(h, 0.85)
+    return sketch.clusters(_document_hashes(spark, sf_dir))
 
 
 @query()

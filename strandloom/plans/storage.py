@@ -42,13 +42,14 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def looked_up(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def looked_up(left: DataFrame, right: DataFrame, key: str, count: str, total: int, keep: bool = False) -> DataFrame:
     """``left`` left-joined with ``right``, whose ``key`` is unique and whose ``count`` says how many rows of ``left`` have it.
 
     Keys of over a thousandth of ``total`` rows, a thousand of them at most, are broadcast, so
-    that no task gets all rows of a hot key; the rest are joined as Spark sees fit.
+    that no task gets all rows of a hot key; the rest are joined as Spark sees fit. ``keep``: the
+    counts are wanted too.
     """
-    more = [c for c in right.columns if c not in (key, count)]
+    more = [c for c in right.columns if c != key and (keep or c != count)]
     hot = right.filter(F.col(count) > total / 1000).select(key, F.struct(*more).alias("_hot"))
     told = left.join(F.broadcast(hot), key, "left")
     cold = told.filter("_hot is null").drop("_hot").join(right.filter(F.col(count) <= total / 1000).select(key, *more), key, "left")
