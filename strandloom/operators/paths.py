@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from itertools import permutations, product
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.arrays import chained_genes, either_way, find_sublist, flipped, names
 from strandloom.functions.tokens import JOIN
-from strandloom.operators.filters import bubble_starts, nodes_containing, nodes_of_interest
+from strandloom.operators.alleles import gene_alleles
+from strandloom.operators.filters import bubble_starts, nodes_of_interest
 from strandloom.operators.graph import Graph, degrees, walks_of
 from strandloom.operators.meeting import alternative_walks, state
 from strandloom.plans.components import component_numbers, label_components
@@ -204,216 +203,58 @@ def by_terminals(paths: DataFrame) -> DataFrame:
     return rows.join(most, "terminals")
 
 
-def anchors(g: Graph, gene: str, both_sides: bool = False) -> DataFrame:
-    """(node_id): nodes with ``gene`` at which paths through it can begin or end.
+def gene_anchors(g: Graph, genes: list[str], both_sides: bool = False) -> DataFrame:
+    """(gene, node_id): nodes with a gene at which paths through it can begin or end.
 
     One of: no neighbour but itself in front (``both_sides``: or behind); a read passes it next
     to a node without the gene; it stands at read ends only and has no such neighbour on one
     side; over ``TERMINAL_SHARE`` of its places are read ends. Reads after the first one of a
     single node don't count.
     """
-    hot = stored(nodes_containing(g, gene).select("node_id"), "gene_nodes")
-    e = g.edges.join(hot, F.col("src") == F.col("node_id"), "left_semi").select("src", "src_dir", "tgt")
-    e = e.join(hot.select(F.col("node_id").alias("tgt"), F.lit(1).alias("hot")), "tgt", "left")
+    wanted = F.array(*map(F.lit, genes)).cast("array<string>")
+    hot = stored(g.nodes.select("node_id", F.explode(F.array_intersect(names(F.col("genes")), wanted)).alias("gene")), "gene_nodes")
+    e = g.edges.join(hot, F.col("src") == F.col("node_id")).select("gene", "src", "src_dir", "tgt")
+    e = e.join(hot.select("gene", F.col("node_id").alias("tgt"), F.lit(1).alias("hot")), ["gene", "tgt"], "left")
     side = lambda s, cond: F.coalesce(F.sum(((F.col("src_dir") == s) & cond).cast("int")), F.lit(0))
     other, gene_too = F.col("src") != F.col("tgt"), F.col("hot").isNotNull()
-    around = e.groupBy(F.col("src").alias("node_id")).agg(side(1, other).alias("front"), side(-1, other).alias("back"), side(1, gene_too).alias("hot_front"), side(-1, gene_too).alias("hot_back"))
+    around = e.groupBy("gene", F.col("src").alias("node_id")).agg(side(1, other).alias("front"), side(-1, other).alias("back"), side(1, gene_too).alias("hot_front"), side(-1, gene_too).alias("hot_back"))
 
     walk = walks_of(g).withColumn("ids", F.col("walk.node_id"))
     here = walk.select("read_id", "ids", F.posexplode("ids").alias("pos", "node_id")).select("read_id", "node_id", "pos", (F.size("ids") == 1).alias("single"), F.get("ids", F.col("pos") - 1).alias("left"), F.get("ids", F.col("pos") + 1).alias("right"), (F.col("pos") == 0).alias("first"), (F.col("pos") == F.size("ids") - 1).alias("last"))
-    here = here.join(hot, "node_id", "left_semi")
-    mark = lambda c: hot.select(F.col("node_id").alias(c), F.lit(1).alias(f"{c}_hot"))
-    here = here.join(mark("left"), "left", "left").join(mark("right"), "right", "left")
-    until = here.filter("single").groupBy("node_id").agg(F.min("read_id").alias("until"))
-    here = here.join(until, "node_id", "left").filter("until is null or read_id <= until")
+    here = here.join(hot, "node_id")
+    mark = lambda c: hot.select("gene", F.col("node_id").alias(c), F.lit(1).alias(f"{c}_hot"))
+    here = here.join(mark("left"), ["gene", "left"], "left").join(mark("right"), ["gene", "right"], "left")
+    until = here.filter("single").groupBy("gene", "node_id").agg(F.min("read_id").alias("until"))
+    here = here.join(until, ["gene", "node_id"], "left").filter("until is null or read_id <= until")
     end = F.col("single") | F.col("first") | F.col("last")
     passes = ~end & (F.col("left_hot").isNull() | F.col("right_hot").isNull())
-    told = here.groupBy("node_id").agg(F.max(passes.cast("int")).alias("passes"), F.min(F.col("single").cast("int")).alias("singles"), F.min(end.cast("int")).alias("ends"), F.avg(end.cast("double")).alias("share"))
-    rows = told.join(around, "node_id", "left").na.fill(0)
+    told = here.groupBy("gene", "node_id").agg(F.max(passes.cast("int")).alias("passes"), F.min(F.col("single").cast("int")).alias("singles"), F.min(end.cast("int")).alias("ends"), F.avg(end.cast("double")).alias("share"))
+    rows = told.join(around, ["gene", "node_id"], "left").na.fill(0)
     lonely = (F.col("front") == 0) | ((F.col("back") == 0) if both_sides else F.lit(False))
     closed = ((F.col("singles") == 1) | (F.col("ends") == 1)) & ((F.col("hot_front") == 0) | (F.col("hot_back") == 0))
-    return rows.filter(lonely | (F.col("passes") == 1) | closed | ((F.col("passes") == 0) & (F.col("share") > TERMINAL_SHARE))).select("node_id")
-
-
-# The search for full paths is greedy within one gene; it runs over the distinct walks of a gene.
-
-
-def _inside(long: tuple, short: tuple) -> list[int]:
-    m = len(short)
-    return [i for i in range(len(long) - m + 1) if long[i : i + m] == short] if m else []
+    return rows.filter(lonely | (F.col("passes") == 1) | closed | ((F.col("passes") == 0) & (F.col("share") > TERMINAL_SHARE))).select("gene", "node_id")
 
 
-def _contains(long: tuple, short: tuple) -> bool:
-    return bool(_inside(long, short) or _inside(long, short[::-1]))
-
-
-def _flip(calls: tuple[str, ...]) -> tuple[str, ...]:
-    return tuple(("-" if c[0] == "+" else "+") + c[1:] for c in reversed(calls))
-
-
-def cluster_contexts(contexts: set[tuple], upstream: bool) -> list[tuple]:
-    """The shortest member of each cluster; longest first, a context joins the only head that it ends (or begins).
-
-    A context that several heads share tells nothing and is left out.
-    """
-    heads: dict[tuple, tuple] = {}
-    for c in sorted(contexts, key=lambda c: (-len(c), c)):
-        fits = [h for h in heads if (h[len(h) - len(c) :] if upstream else h[: len(c)]) == c]
-        if len(fits) == 1:
-            if len(c) < len(heads[fits[0]]):
-                heads[fits[0]] = c
-        elif not fits:
-            heads[c] = c
-    return list(heads.values())
-
-
-def blocks_between(walks: dict[str, tuple], a: str, b: str) -> dict[str, tuple]:
-    """Of each walk that has a and later b, what stands from the first a to the last b."""
-    out = {}
-    for read, nodes in walks.items():
-        if a in nodes and b in nodes:
-            i, j = nodes.index(a), len(nodes) - 1 - nodes[::-1].index(b)
-            if i < j and None not in nodes[i : j + 1]:
-                out[read] = nodes[i : j + 1]
-    return out
-
-
-def full_paths(walks: dict[str, tuple], calls: dict[str, tuple], k: int, gene: str, ends: set[str], threshold: float) -> dict[tuple[str, ...], int]:
-    """Paths of calls through ``gene`` and how many reads support each.
-
-    walks: nodes of each read, None where one was removed; no path goes over such a place.
-    """
-    full: set[tuple] = set()
-    for a, b in permutations(sorted(ends), 2):
-        found: dict[tuple, tuple[set, set]] = {}
-        again = set()
-        for block in {min(x, x[::-1]) for x in blocks_between(walks, a, b).values()}:
-            up, down = found.setdefault(block, ({()}, {()}))
-            for nodes in walks.values():
-                fwd, rev = _inside(nodes, block), _inside(nodes, block[::-1]) if block != block[::-1] else []
-                if len(fwd) + len(rev) > 1:
-                    again.add(block)
-                elif fwd or rev:
-                    line = nodes if fwd else nodes[::-1]
-                    i = _inside(line, block)[0]
-                    end = i + len(block)
-                    up.update(line[j:i] for j in range(i) if None not in line[j:i])
-                    down.update(line[end : j + 1] for j in range(end, len(line)) if None not in line[end : j + 1])
-        for block, (up, down) in found.items():
-            if block in again:
-                continue
-            for u, d in product(cluster_contexts(up, True), cluster_contexts(down, False)):
-                path = u + block + d
-                if any(_contains(w, path) for w in walks.values()):
-                    full.add(path)
-    longest: list[tuple] = []
-    for p in sorted(full, key=lambda p: (-len(p), p)):
-        if not any(_contains(q, p) for q in longest):
-            longest.append(p)
-
-    def genes_of(path: tuple) -> tuple[str, ...]:
-        for read, nodes in walks.items():
-            for way in (nodes, nodes[::-1]):
-                if at := _inside(way, path):
-                    line = calls[read] if way is nodes else _flip(calls[read])
-                    return line[at[0] : at[0] + len(path) + k - 1]
-        raise ValueError("no read has the path")
-
-    both = {read: (line, _flip(line)) for read, line in calls.items()}
-    support = lambda p: sum(any(_inside(line, p) for line in ways) for ways in both.values())
-    as_genes = [genes_of(p) for p in longest]
-    out: dict[tuple[str, ...], int] = {}
-    for n, line in enumerate(as_genes):
-        at = [i for i, c in enumerate(line) if c[1:] == gene]
-        if not at:
-            continue
-        others = [o for m, o in enumerate(as_genes) if m != n]
-        best = None
-        for i in range(at[0] + 1):
-            for j in range(at[-1] + 1, len(line) + 1):
-                part = line[i:j]
-                if any(_inside(o, part) or _inside(_flip(o), part) for o in others):
-                    continue
-                s = support(part)
-                if s >= max(threshold, 1):
-                    best = max(filter(None, (best, (len(at), s, len(part), part))))
-        if best:
-            out[best[3]] = best[1]
-    seen = {n for p in longest for n in p}
-    for a in sorted(ends - seen):  # anchors outside all blocks are paths of one node
-        for read, nodes in walks.items():
-            if a in nodes:
-                i = nodes.index(a)
-                line = calls[read][i : i + k]
-                out[min(line, _flip(line))] = sum(a in w for w in walks.values())
-                break
-    return out
-
-
-def split_alleles(paths: dict[tuple[str, ...], int], gene: str, calls: dict[str, tuple], positions: dict[str, list]) -> dict[str, list[tuple[str, int, int]]]:
-    """allele -> (read, start, end): one allele per copy of the gene in each path.
-
-    A read counts if it has the path once. Of alleles that share a place in a read only the best
-    supported one stays.
-    """
-    found: list[list[tuple[str, int, int]]] = []
-    for path in sorted(paths, key=lambda p: (-len(p), p)):
-        copies = [i for i, c in enumerate(path) if c[1:] == gene]
-        rows: list[list[tuple[str, int, int]]] = [[] for _ in copies]
-        for read, line in calls.items():
-            fwd = _inside(line, path)
-            rev = [] if fwd else _inside(line, _flip(path))
-            if len(fwd) + len(rev) != 1:
-                continue
-            for n, c in enumerate(copies):
-                at = fwd[0] + c if fwd else rev[0] + len(path) - 1 - c
-                start, end = positions[read][at]
-                rows[n].append((read, start, end))
-        found += rows
-    kept: list[list[tuple[str, int, int]]] = []
-    taken: set[tuple[str, int, int]] = set()
-    for rows in sorted(filter(None, found), key=lambda r: -len(r)):
-        if taken.isdisjoint(rows):
-            kept.append(rows)
-            taken.update(rows)
-    return {f"{gene}_{n}": rows for n, rows in enumerate(kept, 1)}
-
-
-def _gene_alleles(k: int, threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        gene = pdf["gene"].iloc[0]
-        pdf = pdf.sort_values("read_id")
-        walks = {r: tuple(w) for r, w in zip(pdf["read_id"], pdf["ids"], strict=True)}
-        calls = {r: tuple(c) for r, c in zip(pdf["read_id"], pdf["calls"], strict=True)}
-        positions = {r: [(p["start"], p["end"]) for p in x] if x is not None else [(i, i) for i in range(len(calls[r]))] for r, x in zip(pdf["read_id"], pdf["positions"], strict=True)}
-        # Equal walks count once in the search; each read counts for support.
-        paths = full_paths(walks, calls, k, gene, set(pdf["anchors"].iloc[0]), threshold)
-        alleles = split_alleles(paths, gene, calls, positions)
-        if not alleles:  # a gene without a path has one allele with every place of it
-            alleles = {f"{gene}_1": [(r, *positions[r][i]) for r, line in calls.items() for i, c in enumerate(line) if c[1:] == gene]}
-        rows = [(gene, a, r, s, e) for a, x in alleles.items() for r, s, e in x]
-        return pd.DataFrame(rows, columns=["gene", "allele", "read_id", "start", "end"])
-
-    return run
+def anchors(g: Graph, gene: str, both_sides: bool = False) -> DataFrame:
+    """(node_id): the anchors of one gene."""
+    if gene[:1] in "+-":
+        raise ValueError("a gene is named without its strand")
+    return gene_anchors(g, [gene], both_sides).select("node_id")
 
 
 def assign_alleles(g: Graph, genes: list[str], mean_coverage: float | None = None) -> DataFrame:
-    """(component, gene, allele, read_id, start, end) of every gene of interest.
+    """(component, gene, allele, read_id, start, end) of every gene of interest; see ``operators.alleles``.
 
-    Each gene is one group: only the reads that have it, found by a join. Components come from
-    the first node of an allele's first read; alleles are numbered anew by gene over components.
+    Components come from the first node of an allele's first read; alleles are numbered anew by
+    gene over components.
     """
     g = g.stored()
     if mean_coverage is None:
         mean_coverage = g.nodes.agg(F.avg("coverage")).first()[0] or 0.0
     walk = walks_of(g).select("read_id", F.col("walk.node_id").alias("ids"))
-    reads = g.reads.join(walk, "read_id").withColumn("gene", F.explode(F.array_intersect(names(F.col("calls")), F.array(*map(F.lit, genes)))))
-    marks = None
-    for gene in genes:
-        one = anchors(g, gene).agg(F.collect_set("node_id").alias("anchors")).withColumn("gene", F.lit(gene))
-        marks = one if marks is None else marks.unionByName(one)
-    rows = reads.join(marks, "gene").groupBy("gene").applyInPandas(_gene_alleles(g.k, mean_coverage / SUPPORT_SHARE), "gene string, allele string, read_id string, start int, end int")
-    rows = stored(rows, "alleles")
+    wanted = F.array(*map(F.lit, genes)).cast("array<string>")
+    reads = g.reads.join(walk, "read_id").withColumn("gene", F.explode(F.array_intersect(names(F.col("calls")), wanted)))
+    rows = stored(gene_alleles(reads.select("gene", "read_id", "ids", "calls", "positions"), gene_anchors(g, genes), g.k, mean_coverage / SUPPORT_SHARE), "alleles")
     first = rows.groupBy("gene", "allele").agg(F.min("read_id").alias("read_id"))
     node = g.read_nodes.filter("node_id is not null").groupBy("read_id").agg(F.min_by("node_id", "pos").alias("node_id"))
     parts = stored(component_numbers(g), "components")

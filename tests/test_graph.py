@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from strandloom.operators import filters, graph, paths, sketch
 from strandloom.operators.correct import bubble_operations, correct_reads, popped, repair
 from strandloom.plans.components import component_numbers, label_components
+from tests import serial_paths
 
 
 def reads(spark, *lines, positions=None):
@@ -210,27 +211,27 @@ def search(lines, gene="geneX", k=3, threshold=1, ends=None):
     calls = {f"r{i}": tuple(x.split()) for i, x in enumerate(lines)}
 
     def node(win):
-        return "~~~".join(min(win, paths._flip(win)))
+        return "~~~".join(min(win, serial_paths._flip(win)))
 
     walks = {r: tuple(node(c[i : i + k]) for i in range(len(c) - k + 1)) for r, c in calls.items()}
     with_gene = {n for w in walks.values() for n in w if any(g[1:] == gene for g in n.split("~~~"))}
     if ends is None:
         ends = {w[i] for w in walks.values() for i in range(len(w)) if w[i] in with_gene and (i == 0 or i == len(w) - 1 or w[i - 1] not in with_gene or w[i + 1] not in with_gene)}
-    return paths.full_paths(walks, calls, k, gene, ends, threshold)
+    return serial_paths.full_paths(walks, calls, k, gene, ends, threshold)
 
 
 def test_full_paths():
     line = "+a +b +c +geneX +d +e +f"
-    found = search([line] * 3 + [" ".join(paths._flip(tuple(line.split())))])
+    found = search([line] * 3 + [" ".join(serial_paths._flip(tuple(line.split())))])
     assert list(found.values()) == [4]
     two = search(["+a +b +geneX +c +d"] * 2 + ["+p +q +geneX +s +t"] * 2)
     assert sorted(two.values()) == [2, 2]
 
 
 def test_contexts_cluster_by_the_only_head():
-    c = paths.cluster_contexts({(), ("a",), ("b", "a"), ("c", "a")}, True)
+    c = serial_paths.cluster_contexts({(), ("a",), ("b", "a"), ("c", "a")}, True)
     assert sorted(c) == [("b", "a"), ("c", "a")]
-    assert paths.cluster_contexts({(), ("a",), ("b", "a")}, True) == [()]
+    assert serial_paths.cluster_contexts({(), ("a",), ("b", "a")}, True) == [()]
 
 
 def test_a_read_that_lost_its_middle_is_repaired(spark):
