@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.operators import filters, graph, paths, sketch
-from strandloom.operators.correct import bubble_operations, correct_reads, popped, repair
+from strandloom.operators.correct import correct_reads, popped, repair
 from strandloom.plans.components import component_numbers, label_components
-from tests import serial_paths
+from tests import serial_bubbles, serial_paths
 
 
 def reads(spark, *lines, positions=None):
@@ -251,8 +251,8 @@ def test_repair_trims_lost_ends():
 def test_bubbles():
     strong, weak = [("s", 1), ("a", 1), ("t", 1)], [("s", 1), ("b", 1), ("t", 1)]
     sets = {"s": {1, 2, 3, 4}, "t": {5, 6, 7, 8}, "a": {9}, "b": {10}}
-    assert bubble_operations([[(weak, 1.0), (strong, 5.0)]], sets, 0.8) == [(strong, weak, ["b"])]
-    assert bubble_operations([[(weak, 1.0), (strong, 5.0)]], {**sets, "a": set(range(30, 40)), "b": set(range(20, 30))}, 0.8) == []
+    assert serial_bubbles.bubble_operations([[(weak, 1.0), (strong, 5.0)]], sets, 0.8) == [(strong, weak, ["b"])]
+    assert serial_bubbles.bubble_operations([[(weak, 1.0), (strong, 5.0)]], {**sets, "a": set(range(30, 40)), "b": set(range(20, 30))}, 0.8) == []
     calls, places = popped("+a +b +x +d +e".split(), [(i, i) for i in range(5)], "+a +b +c +d +e".split(), "+a +b +x +d +e".split(), 3, 4)
     assert calls == "+a +b +c +d +e".split() and len(places) == 5
 
