@@ -54,6 +54,25 @@ def interval_depth(spark, sf_dir):
     return readers.interval_depth(_spans(spark, sf_dir))
 
 
+_DEPTHS = f"SELECT name, pos, count(*) AS depth FROM (SELECT name, unnest(range(s, e + 1)) AS pos FROM ({_SPANS.replace('p_size AS BIGINT)', 'p_size * p_size * p_size AS BIGINT)')})) GROUP BY ALL"
+
+
+def _far_spans(spark, sf_dir):
+    start = F.pow("p_size", 3).cast("long")
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), start.alias("start"), (start + F.col("p_partkey") % 7).alias("end"))
+
+
+@query(f"WITH d AS ({_DEPTHS}), i AS (SELECT *, pos - row_number() OVER (PARTITION BY name, depth ORDER BY pos) AS island FROM d) SELECT name, min(pos) AS first, max(pos) AS last, depth FROM i GROUP BY name, depth, island")
+def depth_intervals(spark, sf_dir):
+    """Spans of a part's brand from the cube of its size on, so that most of a reference is not covered."""
+    return readers.depth_intervals(_far_spans(spark, sf_dir))
+
+
+@query(f"WITH d AS ({_DEPTHS}), i AS (SELECT *, pos - row_number() OVER (PARTITION BY name ORDER BY pos) AS island FROM d), r AS (SELECT name, min(pos) AS first, max(pos) AS last FROM i GROUP BY name, island) SELECT name, first, last FROM r QUALIFY row_number() OVER (PARTITION BY name ORDER BY last - first DESC, first) = 1")
+def longest_covered_parts(spark, sf_dir):
+    return readers.longest_covered_parts(_far_spans(spark, sf_dir))
+
+
 @query(f"SELECT name, min(pos) AS first, max(pos) AS last, count(DISTINCT pos) / 100 AS covered FROM (SELECT name, unnest(range(s, e + 1)) AS pos FROM ({_SPANS})) GROUP BY name")
 def pileup(spark, sf_dir):
     spans = _spans(spark, sf_dir)

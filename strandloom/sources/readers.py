@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.arrays import names
 from strandloom.functions.tokens import cigar_sum, mapped_call, parse_cigar, region_length, region_start
+from strandloom.plans.storage import stored
 
 LENGTH_LOW, LENGTH_HIGH = 0.5, 1.5
 
@@ -155,15 +156,11 @@ def mean_depths(align: DataFrame, lengths: DataFrame) -> DataFrame:
 
 
 def uncovered_share(align: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(name, uncovered): of each reference the share of bases that no alignment covers.
-
-    Covered lengths come from merged intervals, so no row is made for a base.
-    """
-    spans = align.filter(F.col("flag").bitwiseAND(F.lit(4)) == 0).select(F.col("rname").alias("name"), (F.col("pos") - 1).alias("a"), (F.col("pos") - 1 + cigar_sum(F.col("cigar"), 0, 2, 3, 7, 8)).alias("b"))
-    w = Window.partitionBy("name").orderBy("a", "b")
-    before = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.greatest(F.lit(0), F.col("b") - F.greatest("a", F.coalesce(before, F.lit(0))))
-    covered = spans.withColumn("new", new).groupBy("name").agg(F.sum("new").alias("covered"))
+    """(name, uncovered): of each reference the share of bases that no alignment covers."""
+    start = F.col("pos") - 1
+    last = start + cigar_sum(F.col("cigar"), 0, 2, 3, 7, 8) - 1
+    spans = align.filter(F.col("flag").bitwiseAND(F.lit(4)) == 0).select(F.col("rname").alias("name"), F.greatest(start, F.lit(0)).alias("start"), last.alias("end"))
+    covered = depth_intervals(spans).groupBy("name").agg(F.sum(F.col("last") - F.col("first") + 1).alias("covered"))
     return lengths.join(covered, "name", "left").select("name", (1 - F.coalesce("covered", F.lit(0)) / F.col("length")).alias("uncovered"))
 
 
@@ -177,18 +174,48 @@ def sample_reads(reads: DataFrame, n: int, seed: int = 2024) -> DataFrame:
     return reads.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "read_id")), "read_id").limit(n)
 
 
+def depth_intervals(spans: DataFrame, covered: bool = False) -> DataFrame:
+    """(name, first, last, depth): the longest runs of equal depth of spans (name, start, end), both included, where it isn't 0.
+
+    ``covered``: the longest runs without a base of depth 0 instead, with the depth at their first base.
+    A span is a step up at its start and one down behind its end. Steps are summed up by place, sorted
+    in ranges and added up within each; a range goes on from the sum of those before it. All
+    steps of a name sum to nothing, so the sums need no regard to names, and a reference
+    with a third of all spans is spread over ranges like any other. Spans that end before they start have no base.
+    """
+    steps = F.array(F.struct(F.col("start").cast("long").alias("pos"), F.lit(1).alias("step")), F.struct((F.col("end").cast("long") + 1).alias("pos"), F.lit(-1).alias("step")))
+    rows = spans.filter("start <= end").select("name", F.explode(steps).alias("s")).groupBy("name", "s.pos").agg(F.sum("s.step").alias("step")).filter("step <> 0")
+    n = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(rows.repartitionByRange(n, "name", "pos").withColumn("part", F.spark_partition_id()), "steps")
+    own, ranges = Window.partitionBy("part").orderBy("name", "pos"), Window.orderBy("part")  # of ranges there is a row each
+    before = ranged.groupBy("part").agg(F.sum("step").alias("sum")).select("part", (F.sum("sum").over(ranges) - F.col("sum")).alias("before"))
+    swept = ranged.withColumn("own", F.sum("step").over(own.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(before), "part")
+    swept = swept.select("name", "pos", "part", (F.col("own") + F.col("before")).alias("depth"), "step")
+    if covered:
+        swept = swept.filter((F.col("depth") > 0) != (F.col("depth") - F.col("step") > 0))
+    begin = swept.groupBy("part").agg(F.min(F.struct("name", "pos")).alias("begin")).select("part", F.lead("begin").over(ranges)["pos"].alias("next"))
+    told = swept.withColumn("after", F.lead("pos").over(own)).join(F.broadcast(begin), "part").filter("depth > 0")
+    return told.select("name", F.col("pos").alias("first"), (F.coalesce("after", "next") - 1).alias("last"), "depth")
+
+
 def interval_depth(spans: DataFrame) -> DataFrame:
     """(name, pos, depth) of every covered base of spans (name, start, end), both included."""
-    rows = spans.select("name", F.explode(F.sequence("start", "end")).alias("pos"))
-    return rows.groupBy("name", "pos").agg(F.count("*").alias("depth"))
+    return depth_intervals(spans).select("name", F.explode(F.sequence("first", "last")).alias("pos"), "depth")
 
 
 def pileup(spans: DataFrame, lengths: DataFrame) -> DataFrame:
     """(name, first, last, covered): bounds of the covered part and the covered share of each reference."""
-    per = interval_depth(spans).groupBy("name").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n"))
+    per = depth_intervals(spans).groupBy("name").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum(F.col("last") - F.col("first") + 1).alias("n"))
     return per.join(lengths, "name").select("name", "first", "last", (F.col("n") / F.col("length")).alias("covered"))
 
 
+def longest_covered_parts(spans: DataFrame) -> DataFrame:
+    """(name, first, last): of each reference the first of its longest runs of covered bases."""
+    runs = depth_intervals(spans, covered=True)
+    best = runs.groupBy("name").agg(F.max(F.struct((F.col("last") - F.col("first")).alias("n"), (-F.col("first")).alias("at"))).alias("b"))
+    return best.select("name", (-F.col("b.at")).alias("first"), (F.col("b.n") - F.col("b.at")).alias("last"))
+
+
 def positions_filled(rows: DataFrame, part: str, order: str, last: Column) -> DataFrame:
     """Null start and end of rows filled from the rows before and after in their part: as windows, for long tables."""
     w = Window.partitionBy(part).orderBy(order)
