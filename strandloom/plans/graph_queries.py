@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.operators import filters, graph, stats
+from strandloom.plans import window_choice
 from strandloom.plans.components import component_numbers
 from strandloom.plans.queries import query
 from strandloom.plans.sequences import COMPONENTS_SQL, E0_GENES, L1_GENES, event_reads, event_sql, order_reads, order_sql, recursive
@@ -252,6 +253,24 @@ def component_validity(spark, sf_dir):
     return filters.component_is_valid(g.reads, component_numbers(g), g.read_nodes, L1_GENES, 3)
 
 
+_BY_K = f""", lists AS (SELECT read_id, list(gene ORDER BY pos) AS g FROM calls GROUP BY read_id),
+wins AS (SELECT k, read_id, i, g[i:i + k - 1] AS win FROM lists, (VALUES (3), (5), (7)) AS v(k), unnest(range(1, len(g) + 1)) AS t(i) WHERE i + k - 1 <= len(g)),
+flips AS (SELECT *, list_reverse(list_transform(win, lambda g: (CASE WHEN g[1] = '+' THEN '-' ELSE '+' END) || g[2:])) AS rc FROM wins),
+kn AS MATERIALIZED (SELECT k, read_id, i, array_to_string(CASE WHEN win <= rc THEN win ELSE rc END, '~~~') AS node FROM flips),
+near AS MATERIALIZED (SELECT DISTINCT a.k, a.node AS src, b.node AS tgt FROM kn a JOIN kn b ON a.k = b.k AND a.read_id = b.read_id AND abs(a.i - b.i) = 1),
+klabel(k, node, label) USING KEY (k, node) AS (SELECT DISTINCT k, node, node FROM kn UNION SELECT e.k, e.tgt, min(c.label) FROM klabel c JOIN near e ON e.k = c.k AND e.src = c.node JOIN recurring.klabel r ON r.k = e.k AND r.node = e.tgt GROUP BY e.k, e.tgt, r.label HAVING min(c.label) < r.label),
+per AS (SELECT DISTINCT k, label, read_id FROM kn JOIN klabel USING (k, node)),
+told AS (SELECT k, label, avg(CASE WHEN len(list_filter(g, lambda c: c[2:] IN ({', '.join(repr(g) for g in L1_GENES)}))) > 0 THEN CAST(len(g) >= 2 * k - 1 AS INT) END) AS share FROM per JOIN lists USING (read_id) GROUP BY k, label)
+SELECT k, count(*) AS n_components, count(*) FILTER (WHERE coalesce(share, 1) >= 0.8) AS n_valid FROM told GROUP BY k"""
+
+
+@query(recursive(L3) + _BY_K)
+def validity_by_k(spark, sf_dir):
+    """Of the graphs of 3, 5 and 7 calls, how many components there are and how many keep enough long reads."""
+    told = window_choice.validity_by_k(order_reads(spark, sf_dir), (3, 5, 7), L1_GENES)
+    return told.groupBy("k").agg(F.count("*").alias("n_components"), F.count_if("valid").alias("n_valid"))
+
+
 @query(E3 + " SELECT node_id, CAST(2 * coverage AS BIGINT) AS coverage FROM nodes")
 def graph_union(spark, sf_dir):
     g = _events(spark, sf_dir)

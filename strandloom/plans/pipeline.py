@@ -13,6 +13,7 @@ from strandloom.operators.graph import Graph, as_reads, build_graph, short_reads
 from strandloom.operators.paths import assign_alleles, short_read_alleles, tips
 from strandloom.plans.components import component_numbers
 from strandloom.plans.storage import stored
+from strandloom.plans.window_choice import largest_valid, validity_by_k
 
 
 @dataclass(frozen=True)
@@ -43,16 +44,9 @@ class Outcome:
 
 def choose_k(reads: DataFrame, config: Config, mean_coverage: float) -> int:
     """The largest k up to which all components keep enough long reads of interest; 3 at low coverage."""
-    k = config.ks[0]
     if mean_coverage < config.depth_for_larger_k:
-        return k
-    for nxt in config.ks:
-        g = build_graph(reads, nxt).stored()
-        told = filters.component_is_valid(g.reads, component_numbers(g), g.read_nodes, config.genes_of_interest, nxt)
-        if told.filter("not valid").limit(1).count():
-            break
-        k = nxt
-    return k
+        return config.ks[0]
+    return largest_valid(validity_by_k(reads, config.ks, config.genes_of_interest), config.ks)
 
 
 def clean(reads: DataFrame, k: int, config: Config, sequences: DataFrame | None) -> tuple[DataFrame, DataFrame]:
