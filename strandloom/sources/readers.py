@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.arrays import names
 from strandloom.functions.tokens import cigar_sum, mapped_call, parse_cigar, region_length, region_start
+from strandloom.operators.substrings import containing
 from strandloom.plans.storage import stored
 
 LENGTH_LOW, LENGTH_HIGH = 0.5, 1.5
@@ -122,7 +123,8 @@ def read_alleles(spark: SparkSession, path: str, promoters: bool = False) -> Dat
 def attach_promoters(genes: DataFrame, promoters: DataFrame) -> DataFrame:
     """(gene, allele, sequence): promoter records under each gene whose name contains theirs, ``_promoter`` aside."""
     p = promoters.select(F.regexp_replace("gene", "(?i)_?promoter", "").alias("part"), "allele", "sequence")
-    return genes.join(p, F.col("gene").contains(F.col("part"))).select("gene", "allele", "sequence")
+    pairs = containing(genes.select(F.col("gene").alias("text")), p).withColumnRenamed("text", "gene")
+    return genes.join(pairs, "gene").join(p, "part").select("gene", "allele", "sequence")
 
 
 def read_histogram(spark: SparkSession, path: str) -> DataFrame:
