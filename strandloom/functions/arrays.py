@@ -1,4 +1,4 @@
-"""Functions on arrays of calls and nodes, as higher-order expressions; the quadratic ones as Arrow UDFs."""
+"""Functions on arrays of calls and nodes, as higher-order expressions. For alignments of whole columns see ``functions.alignments``."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strandloom.functions.tokens import call_name, flip
 
@@ -165,7 +164,7 @@ def row_indices(aln: Column) -> Column:
     return F.struct(without_gap("a"), without_gap("b"))
 
 
-# Plain Python versions of the quadratic ones, and the UDFs made of them.
+# Plain Python versions of the quadratic ones, for one pair.
 
 
 def align(x: list[str], y: list[str]) -> list[tuple[str, str]]:
@@ -230,14 +229,3 @@ def cut_in(nodes: list, dirs: list, replacements: dict[tuple[int, int], list]) -
         ways += dirs[at:start] + [None] * len(new)
         at = end + 1
     return out + nodes[at:], ways + dirs[at:]
-
-
-@F.udf(T.ArrayType(T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])), useArrow=True)
-def align_udf(x, y):
-    return align(list(x), list(y))
-
-
-@F.udf(T.StructType([T.StructField("run", T.ArrayType(T.StringType()))] + [T.StructField(n, T.IntegerType()) for n in ("a_start", "a_end", "b_start", "b_end")]), useArrow=True)
-def common_run_udf(a, b):
-    run, (s, e), (u, v) = longest_common_run(list(a), list(b))
-    return run, s, e, u, v

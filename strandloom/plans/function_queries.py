@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.functions import arrays, tokens
+from strandloom.functions import alignments, arrays, tokens
 from strandloom.operators import sketch, stats
 from strandloom.plans.queries import query
 from strandloom.plans.sequences import DNA_SQL, document_dna, event_reads, event_sql, order_reads, order_sql, table
@@ -131,11 +131,11 @@ def alignment(spark, sf_dir):
     """Each order's calls against those of the order with the next key."""
     reads = order_reads(spark, sf_dir).select(F.col("read_id").cast("long").alias("id"), "calls")
     pairs = reads.join(reads.select((F.col("id") - 1).alias("id"), F.col("calls").alias("other")), "id")
-    return pairs.select("id", arrays.align_udf("calls", "other").alias("aln")).select("id", arrays.snps(F.col("aln")).alias("snps"), arrays.indels(F.col("aln")).alias("indels"))
+    return pairs.select("id", alignments.align_udf("calls", "other").alias("aln")).select("id", arrays.snps(F.col("aln")).alias("snps"), arrays.indels(F.col("aln")).alias("indels"))
 
 
 @query(L3 + _LISTS + ", two AS (SELECT CAST(x.read_id AS BIGINT) AS id, x.g AS a, y.g AS b FROM lists x JOIN lists y ON CAST(y.read_id AS BIGINT) = CAST(x.read_id AS BIGINT) + 1), part AS (SELECT id, a[i:j] AS run, i, j - i + 1 AS n FROM two, unnest(range(1, len(a) + 1)) AS t(i), unnest(range(1, len(a) + 1)) AS u(j) WHERE j >= i AND len(list_filter(range(1, len(b) + 1), lambda p: b[p:p + j - i] = a[i:j])) > 0), best AS (SELECT id, arg_min(run, (-n, i)) AS run FROM part GROUP BY id) SELECT two.id, coalesce(array_to_string(run, ','), '') AS run FROM two LEFT JOIN best ON two.id = best.id")
 def longest_common_run(spark, sf_dir):
     reads = order_reads(spark, sf_dir).select(F.col("read_id").cast("long").alias("id"), "calls")
     pairs = reads.join(reads.select((F.col("id") - 1).alias("id"), F.col("calls").alias("other")), "id")
-    return pairs.select("id", arrays.common_run_udf("calls", "other").alias("r")).select("id", F.array_join("r.run", ",").alias("run"))
+    return pairs.select("id", alignments.common_run_udf("calls", "other").alias("r")).select("id", F.array_join("r.run", ",").alias("run"))

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandloom.functions import arrays as A
+from strandloom.functions.alignments import align_udf
 from strandloom.functions import tokens as T
 from strandloom.operators.correct import filled
 
@@ -78,7 +79,7 @@ def test_alignment():
 
 def test_alignment_functions(spark):
     rows = spark.createDataFrame([(["+1", "-2", "+3"], ["+1", "+3"])], "x array<string>, y array<string>")
-    got = rows.select(A.align_udf("x", "y").alias("a")).select(A.snps(F.col("a")), A.indels(F.col("a")), A.merged_alignment(F.col("a")), A.alignment_flipped(F.col("a"))).first()
+    got = rows.select(align_udf("x", "y").alias("a")).select(A.snps(F.col("a")), A.indels(F.col("a")), A.merged_alignment(F.col("a")), A.alignment_flipped(F.col("a"))).first()
     assert (got[0], got[1], got[2]) == (0, 1, ["+1", "-2", "+3"])
     assert [tuple(c) for c in got[3]] == [("-3", "-3"), ("+2", "*"), ("-1", "-1")]
 
