@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.arrays import either_way
 from strandloom.operators.graph import Graph, degrees, node_names
+from strandloom.plans.storage import stored
+
+#: Reads of more nodes than this are not paired within.
+LONG_READ = 2000
 
 
 def _wanted(genes: list[str]):
@@ -105,13 +109,35 @@ def strong_components(g: Graph, components: DataFrame, least: int) -> Graph:
 
 
 def shared_reads(g: Graph, least: int = 1) -> DataFrame:
-    """(a, b, n): reads that two nodes have in common; the diagonal is the node's own. Absent pairs share none.
+    """(a, b, n): reads that two nodes have in common, if there are ``least`` at least; the diagonal is the node's own. Absent pairs share fewer.
 
-    Pairs come from within reads only, so their number follows the squared length of reads.
+    Nodes in fewer reads than that make no pair. Reads of up to ``LONG_READ`` such nodes are paired within the read.
+    Longer ones never are: they are looked up for the pairs of the others, and pairs that only long
+    reads have come from classes of nodes in the same long reads, and only where two classes share
+    enough of them, so that each pair made is a result.
     """
-    one = g.read_nodes.filter("node_id is not null").select("read_id", "node_id").distinct()
-    pairs = one.withColumnRenamed("node_id", "a").join(one.withColumnRenamed("node_id", "b"), "read_id")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    every = g.read_nodes.filter("node_id is not null").select("read_id", "node_id").distinct()
+    if least > 1:
+        often = every.groupBy("node_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("node_id")
+        every = every.join(often, "node_id", "left_semi")
+    every = stored(every, "read_nodes")
+    sizes = every.groupBy("read_id").agg(F.count("*").alias("size"))
+    long = stored(sizes.filter(F.col("size") > LONG_READ).select("read_id"), "long_reads")
+    short = every.join(long, "read_id", "left_anti")
+    pairs = short.withColumnRenamed("node_id", "a").join(short.withColumnRenamed("node_id", "b"), "read_id").groupBy("a", "b").agg(F.count("*").alias("n"))
+    if long.isEmpty():
+        return pairs.filter(F.col("n") >= least)
+    pairs = stored(pairs, "short_pairs")
+    rest = stored(every.join(long, "read_id", "left_semi"), "long_nodes")
+    seen = pairs.join(rest.withColumnRenamed("node_id", "a"), "a").join(rest.withColumnRenamed("node_id", "b"), ["read_id", "b"]).groupBy("a", "b").agg(F.count("*").alias("more"))
+    both = pairs.join(seen, ["a", "b"], "left").select("a", "b", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")).filter(F.col("n") >= least)
+    marks = rest.groupBy("node_id").agg(F.array_sort(F.collect_list("read_id")).alias("reads")).withColumn("class", F.sha2(F.array_join("reads", "\x1f"), 256))
+    marks = stored(marks, "long_classes")
+    of = marks.groupBy("class").agg(F.first("reads").alias("reads")).select("class", F.explode("reads").alias("read_id"))
+    alike = of.withColumnRenamed("class", "x").join(of.withColumnRenamed("class", "y"), "read_id").groupBy("x", "y").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    node = lambda c, name: marks.select(F.col("class").alias(c), F.col("node_id").alias(name))
+    only = alike.join(node("x", "a"), "x").join(node("y", "b"), "y").join(pairs, ["a", "b"], "left_anti").select("a", "b", "n")
+    return both.unionByName(only)
 
 
 def removal_order(shared: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
