@@ -50,7 +50,7 @@ def fasta_round_trip(spark, sf_dir):
 
 @query(L3 + _LISTS + " SELECT read_id, array_to_string(g, ',') AS calls, CAST(len(g) * 10 - 1 AS BIGINT) AS last FROM lists")
 def calls_round_trip(spark, sf_dir):
-    """JSON lines of all reads, and the maps of calls and positions that readers take, a file for each order of magnitude."""
+    """JSON lines of all reads, and the maps of calls and positions that readers take, one on each line."""
     path = _folder(spark)
     reads = order_reads(spark, sf_dir)
     writers.write_calls(reads, f"{path}/lines")
@@ -58,9 +58,9 @@ def calls_round_trip(spark, sf_dir):
     entry = lambda c: F.concat(F.lit('{"'), "read_id", F.lit('":'), F.to_json(c), F.lit("}")).alias("value")
     one = lines.select(entry(F.col("calls")), entry(F.transform("positions", lambda p: F.array(p["start"], p["end"]))).alias("places"))
     one.select("value").write.text(f"{path}/calls", lineSep="\n")
-    back = spark.read.text(f"{path}/calls").select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("read_id", "calls"))
-    ends = lines.select("read_id", F.element_at("positions", -1)["end"].cast("long").alias("last"))
-    return back.join(ends, "read_id").select("read_id", F.array_join("calls", ",").alias("calls"), "last")
+    one.select("places").write.text(f"{path}/places", lineSep="\n")
+    back = readers.read_calls(spark, f"{path}/calls", f"{path}/places", lines=True)
+    return back.select("read_id", F.array_join("calls", ",").alias("calls"), F.element_at("positions", -1)["end"].cast("long").alias("last"))
 
 
 @query("WITH n AS (SELECT p_brand AS kmer, count(*) AS n FROM part GROUP BY p_brand) SELECT kmer, n FROM n WHERE n <> 0")

@@ -26,4 +26,4 @@ def query(sql: str | None = None, name: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from strandloom.plans import file_queries, function_queries, graph_queries, path_queries, table_queries  # noqa: F401
+    from strandloom.plans import file_queries, function_queries, graph_queries, lookup_queries, path_queries, table_queries  # noqa: F401

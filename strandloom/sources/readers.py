@@ -38,11 +38,14 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("read_id", "description", "sequence", F.repeat(F.lit("I"), F.length("sequence")).alias("quality"))
 
 
-def read_calls(spark: SparkSession, calls_path: str, positions_path: str | None = None) -> DataFrame:
-    """Reads from JSON maps of read id to calls, and of read id to [start, end] pairs."""
+def read_calls(spark: SparkSession, calls_path: str, positions_path: str | None = None, lines: bool = False) -> DataFrame:
+    """Reads from JSON maps of read id to calls, and of read id to [start, end] pairs.
+
+    A file is one map, read whole; ``lines``: each line is one, so that large files are split.
+    """
 
     def entries(path: str, kind: str) -> DataFrame:
-        return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{kind}>")).alias("read_id", "v"))
+        return spark.read.text(path, wholetext=not lines).select(F.explode(F.from_json("value", f"map<string,{kind}>")).alias("read_id", "v"))
 
     reads = entries(calls_path, "array<string>").withColumnRenamed("v", "calls")
     if positions_path is None:
