@@ -7,8 +7,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.arrays import either_way
 from strandloom.operators.graph import Graph, degrees, node_names
+from strandloom.operators.suffixes import find_places, suffix_index
 from strandloom.plans.storage import stored
 
 #: Reads of more nodes than this are not paired within.
@@ -191,9 +191,12 @@ def component_is_valid(reads: DataFrame, components: DataFrame, read_nodes: Data
 def maximal_blocks(blocks: DataFrame) -> DataFrame:
     """Blocks (block) that stand in no longer one, forward or reversed; of a block and its reverse one stays.
 
-    Blocks meet only where they share their first element with the other, not all with all.
+    Places of blocks in others come from a suffix index over all of them.
     """
     one = blocks.select(F.least("block", F.reverse("block")).alias("block")).distinct()
-    long = one.select(F.col("block").alias("whole"), F.explode(F.array_distinct("block")).alias("first"))
-    inside = one.withColumn("first", F.get("block", F.lit(0))).join(long, "first").filter((F.size("whole") > F.size("block")) & either_way(F.col("whole"), F.col("block")))
-    return one.join(inside.select("block").distinct(), "block", "left_anti")
+    one = stored(one.select(F.monotonically_increasing_id().cast("string").alias("id"), "block"), "blocks")
+    index = suffix_index(one.select(F.col("id").alias("read_id"), F.col("block").alias("items")))
+    turned = one.filter(F.col("block") != F.reverse("block")).select(F.concat("id", F.lit("~")).alias("path_id"), F.reverse("block").alias("path"))
+    found = find_places(index, one.select(F.col("id").alias("path_id"), F.col("block").alias("path")).union(turned))
+    inside = found.withColumn("id", F.rtrim("path_id", F.lit("~"))).filter("id <> read_id").select("id").distinct()
+    return one.join(inside, "id", "left_anti").select("block")

@@ -174,15 +174,6 @@ def junction_paths(g: Graph, most: int) -> DataFrame:
     return inner_coverage(g, stored(named.select(F.least("path", turned_path(F.col("path"))).alias("path")).distinct(), "junction_paths"))
 
 
-def shortest_only(paths: DataFrame) -> DataFrame:
-    """Paths that contain no shorter one of them, as they are or reversed. They meet by a shared first node."""
-    ids = F.col("path.node_id")
-    inner = paths.select(ids.alias("inner"), F.get(ids, F.lit(0)).alias("first"))
-    outer = paths.select("path", ids.alias("outer"), F.explode(F.array_distinct(ids)).alias("first"))
-    bad = outer.join(inner, "first").filter((F.size("outer") > F.size("inner")) & either_way(F.col("outer"), F.col("inner")))
-    return paths.join(bad.select("path").distinct(), "path", "left_anti")
-
-
 def inner_coverage(g: Graph, paths: DataFrame) -> DataFrame:
     inner = paths.select("path", F.explode(F.slice("path.node_id", F.lit(2), F.size("path") - 2)).alias("node_id"))
     per = inner.join(g.nodes.select("node_id", "coverage"), "node_id").groupBy("path").agg(F.avg("coverage").alias("coverage"))
