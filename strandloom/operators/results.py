@@ -36,6 +36,26 @@ def closest_alleles(align: DataFrame, refs: DataFrame, required_coverage: float,
     return best.withColumn("rank", F.rank().over(order))
 
 
+def closest_by_allele(align: DataFrame, refs: DataFrame, required_coverage: float) -> DataFrame:
+    """(allele, rname, length, identity, coverage, cigar): the closest references of each allele, the query; tied ones are all given.
+
+    Ranked as in ``closest_alleles`` for one allele, but of all alleles at once and within each. Identity and
+    coverage are percents. References of enough coverage go before all others.
+    """
+    equal = cigar_sum(F.col("cigar"), EQUAL)
+    aligned = cigar_sum(F.col("cigar"), 0, EQUAL, DIFF, DELETE)
+    query = cigar_sum(F.col("cigar"), 0, INSERT, SOFT_CLIP, HARD_CLIP, EQUAL, DIFF)
+    rows = align.filter(F.col("flag").bitwiseAND(F.lit(4)) == 0).join(refs, "rname")
+    text = F.array_join(F.transform("cigar", lambda c: F.concat(c["len"].cast("string"), F.substring(F.lit("MIDNSHP=X"), c["op"] + 1, F.lit(1)))), "")
+    rows = rows.select(F.col("qname").alias("allele"), "rname", "length", (equal / query).alias("match"), (aligned / F.col("length")).alias("coverage"), identity(F.col("cigar")).alias("identity"), text.alias("cigar"))
+    best = rows.groupBy("allele", "rname", "length").agg(F.max(F.struct("match", "coverage", "identity", "cigar")).alias("b"), F.max("coverage").alias("most"))
+    best = best.select("allele", "rname", "length", "b.match", "b.identity", "b.cigar", F.col("most").alias("coverage"), (F.col("most") >= max(0.0, required_coverage - 0.05)).alias("valid"))
+    score = F.when(F.col("valid"), F.least(F.lit(1.0), "coverage")).otherwise(F.col("coverage"))
+    order = Window.partitionBy("allele").orderBy(F.desc("valid"), F.desc(score), F.desc("match"), F.desc(F.when(F.col("valid"), F.col("length"))))
+    found = best.withColumn("rank", F.rank().over(order)).filter("rank = 1")
+    return found.select("allele", "rname", "length", "identity", (F.least(F.lit(1.0), "coverage") * 100).alias("coverage"), "cigar")
+
+
 def identity(cigar: Column) -> Column:
     """Equal bases over all that isn't clipped, in percent."""
     return 100.0 * cigar_sum(cigar, EQUAL) / cigar_sum(cigar, 0, INSERT, DELETE, EQUAL, DIFF)

@@ -28,6 +28,7 @@ class Config:
     ks: tuple[int, ...] = tuple(range(3, 16, 2))
     assembly: bool = False
     meta: bool = False
+    trim: bool = True
 
     def effective(self) -> Config:
         """Assemblies and metagenomes are not thinned out."""
@@ -77,7 +78,7 @@ def run(reads: DataFrame, config: Config, sequences: DataFrame | None = None) ->
     """reads: read_id, calls, positions; sequences: read_id, sequence."""
     config = config.effective()
     g = build_graph(as_reads(reads), config.ks[0]).stored()
-    if config.genes_of_interest:
+    if config.genes_of_interest and config.trim:
         g = filters.relevance_trim(g, config.genes_of_interest).stored()
     mean = stats.coverage_by_k(g).filter(F.col("k") == config.ks[0]).first()
     mean_coverage = float(mean["mean_reads"]) if mean else 0.0
