@@ -2,8 +2,8 @@
 
 An archive is a folder of two Parquet tables. ``headers`` has one row per record: the exact
 bytes of its WARC and HTTP headers, and the digest of its payload. ``payloads`` has each
-distinct payload once, under its SHA-256. Original records are put together again by a join,
-and payloads are hashed anew whenever they are read, so that a damaged one is found.
+distinct payload once, under its SHA-256. Original records are put together again by a join, also
+to read what the archive holds, and payloads are hashed anew whenever they are read, so that a damaged one is found.
 
 Of records with equal payloads that with the least page_id is the response and the others
 revisit it; payloads under ``least_bytes`` are responses always. A null html is an empty
@@ -109,34 +109,49 @@ def _field(head: Column, name: str) -> Column:
     return F.regexp_extract(head, rf"(?m)^{name}: ([^\r\n]*)$", 1)
 
 
-def verified_payloads(archive: Archive) -> DataFrame:
-    """digest, n_records, bytes, sha1 of every payload, from its bytes; a payload that isn't what its name says is an error."""
-    wrong = F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest")))
-    good = F.when(F.sha2("body", 256) == F.col("digest"), base32_sha1(F.col("body"))).otherwise(wrong.cast("string"))
-    return archive.payloads.select("digest", "n_records", F.octet_length("body").cast("long").alias("bytes"), good.alias("sha1"))
+def verified(body: Column, digest: Column) -> Column:
+    """``body``, if it is what its name says; else an error."""
+    wrong = F.raise_error(F.concat(F.lit("damaged payload "), digest))
+    return F.when(F.sha2(body, 256) == digest, body).otherwise(wrong.cast("binary"))
+
+
+def reconstruct(archive: Archive) -> DataFrame:
+    """page_id, kind, head and the exact bytes of every record; revisits have no payload of their own.
+
+    Responses are joined with their payloads by digest. A payload that many of them have is one below the archive's
+    least size, and so are those that are broadcast; a large one has one response.
+    """
+    rows = archive.headers.select("*", _field(F.decode("head", "UTF-8"), "WARC-Type").alias("kind"))
+    end = F.lit(b"\r\n\r\n")
+    responses = rows.filter("kind <> 'revisit'")
+    wanted = responses.groupBy("digest").agg(F.count("*").alias("n"))
+    stock = archive.payloads.select("digest", verified(F.col("body"), F.col("digest")).alias("body")).join(wanted, "digest")
+    full = looked_up(responses, stock, "digest", "n", responses.count())
+    whole = F.when(F.col("body").isNull(), F.raise_error(F.concat(F.lit("no payload "), F.col("digest"))).cast("binary")).otherwise(F.concat("head", "body", end))
+    full = full.select("page_id", "kind", "head", whole.alias("record"))
+    return full.unionByName(rows.filter("kind = 'revisit'").select("page_id", "kind", "head", F.concat("head", end).alias("record")))
 
 
 def read_records(archive: Archive) -> DataFrame:
-    """page_id, url, record_type, refers_to, payload_digest and payload_bytes of every record, from the archive's bytes."""
+    """page_id, url, record_type, refers_to, payload_digest and payload_bytes of every record, from the original records.
+
+    A response's payload is what follows its headers, hashed anew and held against the header; a revisit
+    takes what is told of the record that it refers to.
+    """
     head = F.decode("head", "UTF-8")
-    rows = archive.headers.select("digest", head.alias("head"))
-    kind = _field(F.col("head"), "WARC-Type")
-    page = lambda name: F.expr("try_cast(regexp_extract(head, '\\r\\n" + name + ": (-?[0-9]+)\\r', 1) AS BIGINT)")
-    rows = rows.select("digest", page("X-Page-Id").alias("page_id"), _field(F.col("head"), "WARC-Target-URI").alias("url"), kind.alias("record_type"), page("X-Refers-To-Page-Id").alias("refers_to"), _field(F.col("head"), "WARC-Payload-Digest").alias("named"))
-    stock = verified_payloads(archive)
-    told = looked_up(rows, stock, "digest", "n_records", rows.count())
+    page = lambda name: F.expr("try_cast(regexp_extract(text, '\\r\\n" + name + ": (-?[0-9]+)\\r', 1) AS BIGINT)")
+    payload = F.expr("substring(record, octet_length(head) + 1, octet_length(record) - octet_length(head) - 4)")
+    rows = reconstruct(archive).withColumn("text", head)
+    names = [page("X-Page-Id").alias("page_id"), _field(F.col("text"), "WARC-Target-URI").alias("url"), F.col("kind").alias("record_type"), page("X-Refers-To-Page-Id").alias("refers_to"), _field(F.col("text"), "WARC-Payload-Digest").alias("named")]
+    responses = rows.filter("kind <> 'revisit'").select(*names, _field(F.col("text"), "WARC-Record-ID").alias("record_id"), base32_sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("bytes"))
+    responses = stored(responses, "responses")
+    revisits = archive.headers.select(head.alias("text")).withColumn("kind", _field(F.col("text"), "WARC-Type")).filter("kind = 'revisit'").select(*names, _field(F.col("text"), "WARC-Refers-To").alias("record_id"))
+    revisits = stored(revisits, "revisits")
+    asked = revisits.groupBy("record_id").agg(F.count("*").alias("n"))
+    told = looked_up(revisits, responses.select("record_id", "sha1", "bytes").join(asked, "record_id"), "record_id", "n", revisits.count())
+    both = responses.unionByName(told)
     digest = F.when(F.concat(F.lit("sha1:"), F.col("sha1")) == F.col("named"), F.col("sha1")).otherwise(F.raise_error(F.concat(F.lit("no payload as in the header: "), F.col("named"))).cast("string"))
-    return told.select("page_id", "url", "record_type", "refers_to", digest.alias("payload_digest"), F.col("bytes").alias("payload_bytes"))
-
-
-def reconstruct(archive: Archive) -> DataFrame:
-    """page_id and the exact bytes of every record; revisits have no payload of their own."""
-    kind = _field(F.decode("head", "UTF-8"), "WARC-Type")
-    rows = archive.headers.select("*", kind.alias("kind"))
-    end = F.lit(b"\r\n\r\n")
-    full = rows.filter("kind <> 'revisit'").join(archive.payloads.select("digest", "body"), "digest")
-    full = full.select("page_id", F.concat("head", "body", end).alias("record"))
-    return full.unionByName(rows.filter("kind = 'revisit'").select("page_id", F.concat("head", end).alias("record")))
+    return both.select("page_id", "url", "record_type", "refers_to", digest.alias("payload_digest"), F.col("bytes").alias("payload_bytes"))
 
 
 def segments(records: DataFrame) -> DataFrame:
