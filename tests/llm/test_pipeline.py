@@ -16,7 +16,7 @@ from strandloom.llm.tokens import vocabulary_path
 
 
 def test_every_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
 
 
 def test_stages_keep_their_contract(spark, sf):
