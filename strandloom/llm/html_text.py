@@ -13,8 +13,8 @@ profit from their neighbours. Neither holds for an element around the article: o
 the page (readers' comments aside), or, where it has none, with over half of its text. Names are told by
 whole tokens, so ``has-sidebar`` and ``no-comments`` name nothing, and other attributes say nothing.
 Where the page has an article element, all of that element's text stays, however short, but for links, which
-have to reach the share like all that stands outside, and for elements whose whole name is one of ``WITHIN``
-(adverts, readers' comments, cookie notices, share buttons, what is not displayed): a section called
+have to reach the share like all that stands outside, and for elements of which a whole token says no more than
+one of ``WITHIN`` and where it is (adverts, menus, readers' comments, cookie notices, share buttons, what is not displayed): a section called
 related-work, search or legal is the article's own.
 
 White space in a block becomes one space, a ``br`` is white space; blocks are joined by a newline in
@@ -81,12 +81,13 @@ NAMES = frozenset(
 )
 #: Those of them that say so as any part.
 ANYWHERE = frozenset("advert advertisement sponsored breadcrumb breadcrumbs cookie cookies gdpr comment comments commentlist disqus newsletter".split())
-#: Those that also hold within the article: as whole tokens, or before one of ``SLOTS``.
+#: Those that also hold within the article, alone or together with ``SLOTS`` and ``PLACES``.
 WITHIN = frozenset(
-    "ad ads advert adverts advertisement advertisements sponsored promo breadcrumb breadcrumbs sidebar navbar navigation nav cookie cookies gdpr "
+    "ad ads advert adverts advertisement advertisements sponsored promo breadcrumb breadcrumbs sidebar navbar navigation nav menu footer cookie cookies gdpr "
     "comment comments commentlist disqus replies respond share sharing social newsletter subscribe signup login popup modal pagination hidden".split()
 )
 SLOTS = frozenset("area banner bar block box button buttons consent container form icons item links list notice section signup slot thread unit widget wrapper".split())
+PLACES = frozenset("article blog bottom content entry global inner left main mobile page post primary right secondary site sub top".split())
 #: What is around articles of readers or of other pages, not of this one.
 NOT_AROUND = frozenset("comment comments commentlist disqus reply replies respond related recommended".split())
 #: First parts that turn a name around, and those whose header is the article's own.
@@ -105,7 +106,7 @@ def named(token: str, within: bool = False) -> set[str]:
     if not parts or parts[0] in NEGATED or (parts[0] in OWN and parts[-1] == "header"):
         return set()
     if within:
-        return WITHIN & {parts[0]} if all(x in SLOTS or x in WITHIN for x in parts[1:]) else set()
+        return WITHIN & set(parts) if all(x in WITHIN or x in SLOTS or x in PLACES or len(x) == 1 for x in parts) else set()
     return (ANYWHERE & set(parts)) | (NAMES & {parts[0], parts[-1]})
 
 
