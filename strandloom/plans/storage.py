@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,6 +43,22 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def forget(spark: SparkSession, hours: float = 24.0) -> int:
+    """Delete tables, files and archives in the shared folder that are older than so many hours; returns how many.
+
+    Lazy results read what has been stored, so only what no running query can still need is to go.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/strandloom")
+    files = top.getFileSystem(conf)
+    if not files.exists(top):
+        return 0
+    old = [x.getPath() for x in files.listStatus(top) if x.getModificationTime() < (time.time() - hours * 3600) * 1000]
+    for path in old:
+        files.delete(path, True)
+    return len(old)
+
+
 def looked_up(left: DataFrame, right: DataFrame, key: str, count: str, total: int, keep: bool = False) -> DataFrame:
     """``left`` left-joined with ``right``, whose ``key`` is unique and whose ``count`` says how many rows of ``left`` have it.
 
