@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import alignments, arrays, tokens
 from strandloom.operators import sketch, stats
 from strandloom.plans.queries import query
-from strandloom.plans.sequences import DNA_SQL, document_dna, event_reads, event_sql, order_reads, order_sql, table
+from strandloom.plans.sequences import DNA_SQL, document_dna, event_reads, event_sql, order_reads, order_sql, recursive, table
 
 E3, L3 = event_sql(3), order_sql(3)
 _LISTS = ", lists AS (SELECT read_id, list(gene ORDER BY pos) AS g FROM calls GROUP BY read_id)"
@@ -126,7 +126,20 @@ def sketch_clusters(spark, sf_dir):
     return sketch.clusters(_document_hashes(spark, sf_dir))
 
 
-@query()
+# Cell after cell of each pair's matrix, row by row: score, unequal pairs and gaps on the best way there.
+_ALIGNED = """, two AS (SELECT CAST(x.read_id AS BIGINT) AS id, x.g AS a, y.g AS b FROM lists x JOIN lists y ON CAST(y.read_id AS BIGINT) = CAST(x.read_id AS BIGINT) + 1),
+cell AS (SELECT id, a, b, len(b) + 1 AS w, [struct_pack(s := 0, snps := 0, indels := 0)] AS c FROM two
+UNION ALL SELECT id, a, b, w, list_append(c, CASE
+WHEN j = 0 THEN struct_pack(s := 1 - i, snps := 0, indels := i)
+WHEN i = 0 THEN struct_pack(s := 1 - j, snps := 0, indels := j)
+WHEN c[t].s >= c[t + 1 - w].s AND c[t].s - 1 >= c[t - w].s + same THEN struct_pack(s := c[t].s - 1, snps := c[t].snps, indels := c[t].indels + 1)
+WHEN c[t + 1 - w].s - 1 >= c[t - w].s + same THEN struct_pack(s := c[t + 1 - w].s - 1, snps := c[t + 1 - w].snps, indels := c[t + 1 - w].indels + 1)
+ELSE struct_pack(s := c[t - w].s + same, snps := c[t - w].snps + 1 - same, indels := c[t - w].indels) END)
+FROM (SELECT *, CAST(len(c) AS INT) AS t, CAST(len(c) // w AS INT) AS i, CAST(len(c) % w AS INT) AS j, CASE WHEN a[len(c) // w] = b[len(c) % w] THEN 1 ELSE 0 END AS same FROM cell WHERE len(c) < (len(a) + 1) * w))
+SELECT id, c[-1].snps AS snps, c[-1].indels AS indels FROM cell WHERE len(c) = (len(a) + 1) * w"""
+
+
+@query(recursive(L3) + _LISTS + _ALIGNED)
 def alignment(spark, sf_dir):
     """Each order's calls against those of the order with the next key."""
     reads = order_reads(spark, sf_dir).select(F.col("read_id").cast("long").alias("id"), "calls")
