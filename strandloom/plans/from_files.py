@@ -16,7 +16,7 @@ from strandloom.operators.graph import as_reads, node_colours
 from strandloom.plans.components import component_numbers
 from strandloom.plans.pipeline import Config, Outcome, run
 from strandloom.plans.storage import stored
-from strandloom.sources import readers, writers
+from strandloom.sources import blocks, readers, writers
 
 
 @dataclass(frozen=True)
@@ -82,13 +82,18 @@ def core_depth(reads: DataFrame, core: DataFrame) -> DataFrame:
     return stats.core_gene_depth(calls.groupBy("name").agg(F.count("*").alias("n")), core)
 
 
+def alignments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Alignments and references of a file, in its text or its block-compressed form."""
+    return blocks.read_blocks(spark, path) if path.endswith(".bam") else readers.read_sam(spark, path)
+
+
 def called_reads(spark: SparkSession, options: Options, genes: list[str]) -> tuple[DataFrame, DataFrame]:
     """(reads, mean_depth): calls with their places, from JSON or from alignments."""
     core = readers.read_names(spark, options.core_genes)
     if options.calls is not None:
         reads = readers.read_calls(spark, options.calls, options.positions, options.call_lines)
         return reads, core_depth(reads, core)
-    align, _ = readers.read_sam(spark, options.alignments)
+    align, _ = alignments(spark, options.alignments)
     lengths = readers.read_fastq(spark, options.consensus).select(F.col("read_id").alias("name"), F.length("sequence").alias("length"))
     reads = stored(readers.calls_from_alignments(align, lengths, genes, options.shortest, options.longest, options.gene_min), "called")
     if not options.sample:
@@ -111,7 +116,7 @@ def allele_results(spark: SparkSession, options: Options, outcome: Outcome, sequ
     n = outcome.alleles.groupBy("allele", "gene").agg(F.count_distinct("read_id").alias("n_reads"))
     if options.allele_alignments is None:
         return spark.createDataFrame([], results.RESULT)
-    align, _ = readers.read_sam(spark, options.allele_alignments)
+    align, _ = alignments(spark, options.allele_alignments)
     lengths = references.select(F.col("allele").alias("rname"), F.length("sequence").alias("length")).distinct()
     own = n.join(references.select("gene", F.col("allele").alias("rname")).distinct(), "gene").select(F.col("allele").alias("qname"), "rname")
     best = results.closest_by_allele(align.join(own, ["qname", "rname"], "left_semi"), lengths, options.coverage)
