@@ -50,6 +50,8 @@ SWEEPS, BURN_IN = 4, 1
 STIRLING = 128
 FLUSH_CHARS = 6 << 20
 LEAST_PARTITIONS, TOKENS_EACH = 96, 2_000_000
+#: So many bytes of text count as a token at least.
+BYTES_A_TOKEN = 12
 END, SEED = b"\n", 7
 ESCAPE = 65535
 
@@ -540,7 +542,9 @@ def score_texts(docs: DataFrame, learns: Column, text: str = "text", doc_id: str
     frequent = often.filter((F.col("hash") != 0) & (F.col("n") * HEAVY * 2 >= n_train)).collect()  # 2 * HEAVY at most
     book = np.sort(np.array([r["hash"] for r in frequent], np.int64).view(np.uint64))
     dropped(often)
-    partitions = max(LEAST_PARTITIONS, -(-n_train // TOKENS_EACH))
+    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # Texts that only are scored are held as well; words of the usual length don't change the number.
+    partitions = max(LEAST_PARTITIONS, -(-n_train // TOKENS_EACH), -(-n_bytes // (BYTES_A_TOKEN * TOKENS_EACH)))
 
     names = f"kind int, part int, first long, words binary, words_rest binary, pairs binary, contexts binary, contexts_rest binary, trained binary, doc_ids array<{kind}>"
     routed = checkpointed(rows.mapInArrow(_routed(book, partitions), names), partitions, "part")
