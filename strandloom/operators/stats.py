@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions.kmers import LONGEST, counted_kmers
 from strandloom.functions.tokens import reverse_complement
 from strandloom.operators.graph import Graph
 
@@ -127,8 +128,21 @@ def kmers(sequences: DataFrame, k: int = KMER, canonical: bool = True) -> DataFr
     return rows.select("read_id", (F.col("base") + F.col("at")).alias("pos"), kmer.alias("kmer"))
 
 
+def keyed_kmers(sequences: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(*keys, kmer, other, n): canonical k-mers of sequences (*keys, sequence), summed up in part.
+
+    kmer is a number, and other the text where a long can't hold it: with letters but ACGT, or of over ``LONGEST`` bases.
+    """
+    if k <= LONGEST:
+        return counted_kmers(sequences, keys, k)
+    of = [F.col(f"read_id.{c}").alias(c) for c in keys]
+    rows = kmers(sequences.select(F.struct(*keys, F.lit(0)).alias("read_id"), "sequence"), k)
+    return rows.select(*of, F.lit(-1).cast("long").alias("kmer"), F.col("kmer").alias("other"), F.lit(1).cast("long").alias("n"))
+
+
 def kmer_counts(sequences: DataFrame, k: int = KMER) -> DataFrame:
-    return kmers(sequences, k).groupBy("kmer").agg(F.count("*").alias("n"))
+    """(kmer, other, n): see ``keyed_kmers``."""
+    return keyed_kmers(sequences, [], k).repartition("kmer", "other").groupBy("kmer", "other").agg(F.sum("n").alias("n"))
 
 
 def count_histogram(counts: DataFrame) -> DataFrame:
@@ -153,9 +167,9 @@ def copy_numbers(sequences: DataFrame, path_reads: DataFrame, counts: DataFrame,
 
     path_reads: path_id, read_id, copies (of the gene in the path).
     """
-    own = kmers(path_reads.select("read_id").distinct().join(sequences, "read_id"), k).select("read_id", "kmer").distinct()
-    seen = path_reads.join(own, "read_id").groupBy("path_id", "kmer").agg(F.max("copies").alias("copies"))
-    per = seen.join(counts, "kmer").groupBy("path_id").agg(F.median("n").alias("path_depth"), F.max("copies").alias("copies"))
+    own = keyed_kmers(path_reads.join(sequences, "read_id"), ["path_id", "copies"], k).repartition("kmer", "other")
+    seen = own.groupBy("path_id", "kmer", "other").agg(F.max("copies").alias("copies"))
+    per = seen.join(counts, ["kmer", "other"]).groupBy("path_id").agg(F.median("n").alias("path_depth"), F.max("copies").alias("copies"))
     relative: Column = F.col("path_depth") / F.lit(float(depth))
     return per.select("path_id", "path_depth", relative.alias("relative_depth"), (relative / F.col("copies")).alias("copy_number"))
 
