@@ -17,6 +17,8 @@ from strandloom.plans.components import component_numbers, label_components
 from strandloom.plans.storage import stored
 
 STEP = "struct<node_id:string,dir:int>"
+#: Sequences of up to so many letters go along with their read.
+SHORT_SEQUENCE = 4096
 TIP_FACTOR, TERMINAL_SHARE, SUPPORT_SHARE = 1.5, 0.3, 20
 
 
@@ -292,11 +294,26 @@ def paths_between(g: Graph, nodes: DataFrame, ends: DataFrame, most: int) -> Dat
 
 
 def path_sequences(g: Graph, paths: DataFrame, sequences: DataFrame) -> DataFrame:
-    """(path, read_id, sequence): of each read that shares nodes with a path, what lies from the first to the last of them."""
-    rows = paths.select("path", F.explode("path.node_id").alias("node_id")).distinct().join(g.read_nodes, "node_id")
-    span = rows.groupBy("path", "read_id").agg(F.min("start").alias("start"), F.max("end").alias("end")).filter("start is not null and end is not null")
+    """(path, read_id, sequence): of each read that shares nodes with a path, what lies from the first to the last of them.
+
+    A read and a path meet by each node they share, and the pair is kept for the least of these, as the read's row has
+    them all: so what is shuffled are reads and paths, not pairs. Only long sequences are looked up for the pairs.
+    """
+    on = paths.select("path", F.explode("path.node_id").alias("node_id")).distinct()
+    at = g.read_nodes.join(on.select("node_id").distinct(), "node_id", "left_semi").groupBy("read_id", "node_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    at = at.groupBy("read_id").agg(F.collect_list(F.struct("node_id", "start", "end")).alias("at"))
+    hits = F.filter("at", lambda x: F.array_contains("path.node_id", x["node_id"]))
     cut = F.col("sequence").substr(F.col("start") + 1, F.col("end") - F.col("start") + 1)
-    return span.join(sequences, "read_id").select("path", "read_id", cut.alias("sequence"))
+
+    def spans(reads: DataFrame) -> DataFrame:
+        met = reads.select("*", F.explode("at.node_id").alias("node_id")).join(on, "node_id").withColumn("hits", hits)
+        met = met.filter(F.col("node_id") == F.array_min("hits.node_id")).withColumns({"start": F.array_min("hits.start"), "end": F.array_max("hits.end")})
+        return met.filter("start is not null and end is not null")
+
+    short, long = (sequences.filter(c) for c in (F.length("sequence") <= SHORT_SEQUENCE, F.coalesce(F.length("sequence") > SHORT_SEQUENCE, F.lit(True))))
+    near = spans(at.join(short, "read_id")).select("path", "read_id", cut.alias("sequence"))
+    far = spans(at.join(long.select("read_id"), "read_id")).select("path", "read_id", "start", "end").join(long, "read_id")
+    return near.unionByName(far.select("path", "read_id", cut.alias("sequence")))
 
 
 def anchor_suffixes(walks: DataFrame, anchor: str, hot: DataFrame, least: int = 1) -> DataFrame:
