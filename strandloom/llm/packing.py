@@ -41,6 +41,8 @@ POPULATION, GENERATIONS = 6, 6
 CLOSED = 0.985
 #: Bins of a shard at least, so that tiny pieces don't end up in shards of one bin.
 LEAST_BINS = 16
+#: Texts that a task encodes together; what they need beside the kept words is to stay small.
+ROWS = 1000
 #: Part of a shard's pieces that goes on to the next level at most.
 LEFT_OVER = 0.5
 
@@ -226,7 +228,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             coded = encoder(path).encode(batch.column(2).to_pylist())
             out: tuple[list, ...] = ([], [], [], [], [], [])

@@ -27,7 +27,7 @@ KEPT = 700_000
 #: Longer chunks are encoded each time, so that the memory for kept ones has a bound.
 LONGEST = 64
 #: Characters of texts that are taken together.
-PART_CHARS = 12 << 20
+PART_CHARS = 2 << 20
 #: Chunks in one call of the tokenizer.
 TOGETHER = 32
 
