@@ -40,3 +40,10 @@ def test_relevance_trim_cuts_windows_once(spark):
     assert _cuts(found) == 1
     hot = {i for i, w in _walks(g).items() for _, n in w if {"a", "b"} & {x[1:] for x in n.split("~~~")}}
     assert {r.node_id for r in found.collect()} == {n for i in hot for _, n in _walks(g)[i]}
+
+
+def test_whole_graphs_are_not_filtered(spark, sf, monkeypatch):
+    from strandloom.plans import path_queries
+
+    monkeypatch.setattr(filters, "filter_graph", lambda *_: (_ for _ in ()).throw(AssertionError("filtered")))
+    assert path_queries._orders(spark, sf, 1).nodes.filter("coverage < 1").isEmpty()
