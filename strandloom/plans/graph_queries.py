@@ -28,6 +28,10 @@ def _orders(spark: SparkSession, sf_dir: str, k: int = 3) -> graph.Graph:
     return graph.build_graph(order_reads(spark, sf_dir), k)
 
 
+def _cut(spark: SparkSession, sf_dir: str, k: int = 3) -> graph.Graph:
+    return graph.cut_graph(order_reads(spark, sf_dir), k)
+
+
 def _filtered(spark: SparkSession, sf_dir: str) -> graph.Graph:
     return filters.filter_graph(_orders(spark, sf_dir), 3, 2)
 
@@ -232,24 +236,24 @@ def bubble_starts(spark, sf_dir):
 
 @query(LC + " SELECT node_id, component FROM numbered")
 def components(spark, sf_dir):
-    return component_numbers(_orders(spark, sf_dir))
+    return component_numbers(_cut(spark, sf_dir))
 
 
 @query(LC + ", best AS (SELECT component FROM numbered JOIN nodes USING (node_id) GROUP BY component HAVING max(coverage) >= 3) SELECT node_id, coverage FROM nodes JOIN numbered USING (node_id) JOIN best USING (component)")
 def component_coverage_filter(spark, sf_dir):
-    g = _orders(spark, sf_dir).stored()
+    g = _cut(spark, sf_dir)
     return filters.strong_components(g, component_numbers(g), 3).nodes.select("node_id", "coverage")
 
 
 @query(LC + " SELECT DISTINCT component, read_id FROM numbered JOIN mers USING (node_id)")
 def component_reads(spark, sf_dir):
-    g = _orders(spark, sf_dir).stored()
+    g = _cut(spark, sf_dir)
     return component_numbers(g).join(g.read_nodes, "node_id").select("component", "read_id").distinct()
 
 
 @query(LC + f", hot AS (SELECT read_id, any_value(n) >= 5 AS long_enough FROM calls GROUP BY read_id HAVING bool_or(gene[2:] IN ({', '.join(repr(g) for g in L1_GENES)}))), per AS (SELECT DISTINCT component, read_id FROM numbered JOIN mers USING (node_id)), told AS (SELECT component, avg(CAST(long_enough AS INT)) AS share FROM per JOIN hot USING (read_id) GROUP BY component) SELECT component, coalesce(share, 1) >= 0.8 AS valid FROM parts LEFT JOIN told USING (component)")
 def component_validity(spark, sf_dir):
-    g = _orders(spark, sf_dir).stored()
+    g = _cut(spark, sf_dir)
     return filters.component_is_valid(g.reads, component_numbers(g), g.read_nodes, L1_GENES, 3)
 
 

@@ -49,7 +49,7 @@ SELECT array_to_string(list_transform(path, lambda s: s.node_id || ':' || s.dir)
 @query(recursive(L3) + _SUBSET + _BETWEEN)
 def subset_paths(spark, sf_dir):
     """Walks of up to four nodes of interest from one anchor of their subgraph to another."""
-    g = _orders(spark, sf_dir).stored()
+    g = graph.cut_graph(order_reads(spark, sf_dir), 3)
     nodes = filters.nodes_of_interest(g, L1_GENES).select("node_id")
     ends = paths.subset_anchors(g, nodes).filter("anchor").select("node_id")
     found = paths.paths_between(g, nodes, ends, 4)
@@ -59,7 +59,7 @@ def subset_paths(spark, sf_dir):
 @query(L3 + _SUBSET + ", p AS (SELECT DISTINCT src, tgt FROM se WHERE src < tgt), at AS (SELECT src, tgt, src AS node_id FROM p UNION ALL SELECT src, tgt, tgt FROM p), hit AS (SELECT src, tgt, read_id, min(pos) * 10 AS s, max(pos) * 10 + 29 AS e FROM at JOIN mers USING (node_id) GROUP BY ALL), seq AS (SELECT read_id, string_agg(rpad(gene, 10, '.'), '' ORDER BY pos) AS bases FROM calls GROUP BY read_id) SELECT src, tgt, read_id, substr(bases, s + 1, e - s + 1) AS sequence FROM hit JOIN seq USING (read_id)".replace(" at AS", " spots AS").replace("FROM at JOIN", "FROM spots JOIN"))
 def path_sequences(spark, sf_dir):
     """Of each read what lies along each edge between nodes of interest, ten letters a call."""
-    g = _orders(spark, sf_dir).stored()
+    g = graph.cut_graph(order_reads(spark, sf_dir), 3)
     nodes = filters.nodes_of_interest(g, L1_GENES).select("node_id")
     step = lambda n: F.struct(F.col(n).alias("node_id"), F.lit(1).alias("dir"))
     edges = paths.subgraph_edges(g, nodes).filter("src < tgt").select(F.array(step("src"), step("tgt")).alias("path")).distinct()
@@ -71,7 +71,7 @@ def path_sequences(spark, sf_dir):
 @query(recursive(L3) + COMPONENTS_SQL + " SELECT DISTINCT component AS cluster, read_id FROM numbered JOIN mers USING (node_id)")
 def cluster_reads(spark, sf_dir):
     """The reads of each cluster of nodes, a node's component being its cluster."""
-    g = _orders(spark, sf_dir).stored()
+    g = graph.cut_graph(order_reads(spark, sf_dir), 3)
     clusters = component_numbers(g).select(F.col("node_id").alias("path_id"), F.col("component").alias("cluster"))
     return sketch.merged_clusters(clusters, g.read_nodes.select(F.col("node_id").alias("path_id"), "read_id"))
 

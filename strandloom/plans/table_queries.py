@@ -165,7 +165,7 @@ UNION ALL SELECT 2, s.number, t.number, replace(replace('>edge>[|>>source ' || s
 
 @query(L3 + _GML)
 def gml(spark, sf_dir):
-    g = filters.filter_graph(graph.build_graph(order_reads(spark, sf_dir), 3), 3, 1).stored()
+    g = filters.filter_graph(graph.cut_graph(order_reads(spark, sf_dir), 3), 3, 1).stored()
     return writers.gml_lines(g)
 
 

@@ -70,7 +70,8 @@ def edge_entry(source: Column, target: Column, source_dir: Column, target_dir: C
 def gml_lines(g: Graph, components: DataFrame | None = None, colours: DataFrame | None = None) -> DataFrame:
     """(value) with an order: the graph as GML text."""
     ids = node_numbers(g)
-    reads = g.read_nodes.filter("node_id is not null").select("node_id", "read_id").distinct().groupBy("node_id").agg(F.array_join(F.array_sort(F.collect_set("read_id")), ",").alias("reads"))
+    seen = g.read_nodes.filter("node_id is not null").select("node_id", "read_id").repartition("node_id")  # one shuffle for both groupings
+    reads = seen.distinct().groupBy("node_id").agg(F.array_join(F.array_sort(F.collect_list("read_id")), ",").alias("reads"))
     rows = g.nodes.join(ids, "node_id").join(reads, "node_id", "left")
     for extra, name in ((components, "component"), (colours, "colour")):
         rows = rows.join(extra.select("node_id", name), "node_id", "left") if extra is not None else rows.withColumn(name, F.lit(None).cast("int"))
