@@ -27,3 +27,13 @@ def test_the_largest_k_before_a_bad_one(spark):
     assert window_choice.largest_valid(told, (3, 5, 7, 9)) == 5
     assert window_choice.largest_valid(told.filter("k = 7"), (7, 9)) == 7
     assert window_choice.largest_valid(told.limit(0), (3, 5)) == 5
+
+
+def test_only_windows_seen_again_are_links(spark, monkeypatch):
+    """Before, each window of a read was a link, though most of many calls are seen once."""
+    asked = []
+    monkeypatch.setattr(window_choice, "label_components", lambda nodes, links, f=window_choice.label_components: asked.append(links.count()) or f(nodes, links))
+    rows = [(f"r{i}", [f"+g{i}_{j}" for j in range(6)]) for i in range(5)] + [("s", ["+g0_1", "+g0_2", "+g0_3"])]
+    reads = graph.as_reads(spark.createDataFrame(rows, "read_id string, calls array<string>"))
+    parts = {r.read_id: r.component for r in window_choice.read_components(reads, (3,)).collect()}
+    assert asked == [1] and parts["s"] == parts["r0"] and len(set(parts.values())) == 5
