@@ -6,7 +6,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from strandloom.operators import filters
+from strandloom.operators import filters, graph
 
 
 def brute(reads, least):
@@ -36,3 +36,18 @@ def test_a_very_long_read_makes_no_pairs_of_its_own(spark):
     g = SimpleNamespace(read_nodes=long.union(others).union(second))
     got = filters.shared_reads(g, 2)
     assert got.filter("a = b").count() == 3002 and got.filter("a <> b").count() == 1000 * 6 + 6
+
+
+def test_shared_reads_pair_numbers(spark):
+    """Before, pairs of names were counted, each both ways."""
+    rng = random.Random(5)
+    rows = [(f"r{i}", [rng.choice("+-") + rng.choice("abcd") for _ in range(9)]) for i in range(60)]
+    g = graph.build_graph(spark.createDataFrame(rows, "read_id string, calls array<string>"), 3)
+    found = filters.shared_reads(g, 2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+    seen = {}
+    for r in g.read_nodes.collect():
+        seen.setdefault(r.node_id, set()).add(r.read_id)
+    wanted = {(a, b, len(x & y)) for a, x in seen.items() for b, y in seen.items() if len(x & y) >= 2}
+    assert {tuple(r) for r in found.collect()} == wanted and wanted
