@@ -47,3 +47,14 @@ def test_whole_graphs_are_not_filtered(spark, sf, monkeypatch):
 
     monkeypatch.setattr(filters, "filter_graph", lambda *_: (_ for _ in ()).throw(AssertionError("filtered")))
     assert path_queries._orders(spark, sf, 1).nodes.filter("coverage < 1").isEmpty()
+
+
+def test_bubble_pop_corrects_reads_once(spark, sf, monkeypatch):
+    from strandloom.operators import correct
+    from strandloom.plans import path_queries
+
+    seen = []
+    monkeypatch.setattr(correct, "pop_bubbles", lambda g, *_: seen.append(g) or g.reads)
+    path_queries.bubble_pop(spark, sf)
+    made = [t._jdf.queryExecution().optimizedPlan().toString() for t in (seen[0].reads, seen[0].read_nodes, seen[0].nodes, seen[0].edges)]
+    assert not any("MapIn" in plan for plan in made)
