@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import kmers
-from strandloom.operators import stats
+from strandloom.operators import sketch, stats
 from strandloom.plans.sequences import document_dna
 
 
@@ -52,3 +52,21 @@ def test_letters_of_documents(spark, tmp_path):
     got = {int(r["read_id"]): r["sequence"] for r in document_dna(spark, str(tmp_path)).collect()}
     table = str.maketrans("abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
     assert got == {i: None if t is None else "".join(c for c in t.lower() if "a" <= c <= "z").translate(table) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("k,scale,lot", [(3, 2, 50), (9, 1, 1 << 21), (11, 10, 40), (13, 3, 70), (31, 2, 1 << 21)])
+def test_hashes_are_those_of_the_texts(spark, monkeypatch, k, scale, lot):
+    monkeypatch.setattr(kmers, "LETTERS", lot)
+    rng = random.Random(k)
+    texts = ["".join(rng.choices("ACGT", k=n)) for n in (0, 2, 14, 40, 300, 301)] + ["ACGTNNACGTacgtACGTACG" * 3, "é漢ACGT" * 9, "A" * 200, None]
+    df = spark.createDataFrame([(f"r{i % 7}", t) for i, t in enumerate(texts * 2)], "read_id string, sequence string")
+    rows = [(r["read_id"], x) for r in df.collect() for x in brute(r["sequence"] or "", k)]
+    told = spark.createDataFrame(rows, "read_id string, kmer string").select("read_id", F.xxhash64("kmer").alias("hash")).filter(F.pmod("hash", F.lit(scale)) == 0).distinct()
+    got = sorted(map(tuple, sketch.hashes(df, k, scale).collect()))
+    assert got == sorted(map(tuple, told.collect())) and len(got) > 20
+
+
+def test_kmers_that_are_not_wanted_stay_in_their_task(spark):
+    sequence = "".join(random.Random(2).choices("ACGT", k=20000))
+    out = next(kmers._hashes(11, 10)(iter([kmers.pa.RecordBatch.from_arrays([kmers.pa.array(["r"]), kmers.pa.array([sequence])], ["read_id", "sequence"])])))
+    assert 1500 < out.num_rows < 2500
