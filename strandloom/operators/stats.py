@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.kmers import LONGEST, counted_kmers
+from strandloom.functions.kmers import LONGEST, counted_kmers, path_counts
 from strandloom.functions.tokens import reverse_complement
 from strandloom.operators.graph import Graph
 
@@ -174,6 +174,16 @@ def copy_numbers(sequences: DataFrame, path_reads: DataFrame, counts: DataFrame,
     return per.select("path_id", "path_depth", relative.alias("relative_depth"), (relative / F.col("copies")).alias("copy_number"))
 
 
+def sequence_copy_numbers(sequences: DataFrame, path_reads: DataFrame, depth: float, k: int = KMER) -> DataFrame:
+    """``copy_numbers`` by all k-mers of the sequences."""
+    if k > LONGEST:
+        return copy_numbers(sequences, path_reads, kmer_counts(sequences, k), depth, k)
+    found = path_counts(sequences, path_reads.join(sequences, "read_id").select("path_id", "copies", "sequence"), k)
+    per = found.groupBy("path_id").agg(F.percentile("n", F.lit(0.5), F.col("times")).alias("path_depth"), F.max("copies").alias("copies"))
+    relative: Column = F.col("path_depth") / F.lit(float(depth))
+    return per.select("path_id", "path_depth", relative.alias("relative_depth"), (relative / F.col("copies")).alias("copy_number"))
+
+
 def cluster_copies(clusters: DataFrame, mean_coverage: float) -> DataFrame:
     """clusters: allele, n_reads. The reads over the mean coverage, 1 at least."""
     return clusters.select("allele", F.greatest(F.lit(1.0), F.col("n_reads") / F.lit(float(mean_coverage))).alias("copy_number"))

@@ -84,7 +84,7 @@ def path_copy_numbers(spark, sf_dir):
     """Each source as a path, its documents as reads with one to three copies, at a depth of 2.5."""
     dna = document_dna(spark, sf_dir)
     reads = table(spark, sf_dir, "documents").select(F.col("source").alias("path_id"), F.col("doc_id").cast("string").alias("read_id"), (1 + F.col("doc_id") % 3).alias("copies"))
-    return stats.copy_numbers(dna, reads, stats.kmer_counts(dna), 2.5)
+    return stats.sequence_copy_numbers(dna, reads, 2.5)
 
 
 @query("WITH best AS (SELECT p_brand AS allele, p_type AS rname, CAST(max(p_size) AS INT) AS length, any_value(n) AS n_reads FROM part JOIN (SELECT p_brand AS b, count(*) AS n FROM part GROUP BY 1) ON b = p_brand WHERE p_size > 40 GROUP BY ALL), told AS (SELECT allele, n_reads, rname, length, CASE WHEN length > 45 THEN 'kind of ' || rname END AS phenotype FROM best), ranked AS (SELECT *, row_number() OVER (PARTITION BY allele ORDER BY rname) AS i FROM told) SELECT allele, n_reads, max(rname) FILTER (WHERE i = 1) AS determinant_name, max(phenotype) FILTER (WHERE i = 1) AS sequence_name, string_agg(rname, '/' ORDER BY rname) AS closest_reference, string_agg(length, '/' ORDER BY rname) AS reference_length FROM ranked GROUP BY allele, n_reads".replace("CASE WHEN length > 45 THEN 'kind of ' || rname END AS phenotype", "CASE WHEN rname IN (SELECT p_type FROM part WHERE p_size > 45) THEN 'kind of ' || rname END AS phenotype"))

@@ -70,3 +70,15 @@ def test_kmers_that_are_not_wanted_stay_in_their_task(spark):
     sequence = "".join(random.Random(2).choices("ACGT", k=20000))
     out = next(kmers._hashes(11, 10)(iter([kmers.pa.RecordBatch.from_arrays([kmers.pa.array(["r"]), kmers.pa.array([sequence])], ["read_id", "sequence"])])))
     assert 1500 < out.num_rows < 2500
+
+
+def test_copy_numbers_of_packed_kmers(spark, monkeypatch):
+    """Against the join of rows; what is shuffled are packed k-mers, not a row each."""
+    rng = random.Random(4)
+    base = ["".join(rng.choices("ACGT", k=rng.randint(0, 200))) for _ in range(12)] + ["ACGTNNACGTACGTACGTACGNACGTAAC" * 3, None]
+    dna = spark.createDataFrame([(f"r{i}", rng.choice(base)) for i in range(60)], "read_id string, sequence string")
+    reads = spark.createDataFrame([(f"p{rng.randint(0, 6)}", f"r{rng.randint(0, 70)}", rng.randint(1, 3)) for _ in range(50)], "path_id string, read_id string, copies int")
+    expected = sorted(map(tuple, stats.copy_numbers(dna, reads, stats.kmer_counts(dna, 9), 2.0, 9).collect()))
+    found = stats.sequence_copy_numbers(dna, reads, 2.0, 9)
+    assert sorted(map(tuple, found.collect())) == expected and len(expected) == 7
+    assert "kmers#" in found._jdf.queryExecution().optimizedPlan().toString()
